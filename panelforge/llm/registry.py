@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import pii
+from panelforge.llm import decontam, pii
 
-_MODULES = (pii,)
+_MODULES = (pii, decontam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
