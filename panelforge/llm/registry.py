@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import decontam, pii
+from panelforge.llm import decontam, packing, pii, url_reputation
 
-_MODULES = (pii, decontam)
+_MODULES = (pii, decontam, url_reputation, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
