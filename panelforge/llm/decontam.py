@@ -111,7 +111,9 @@ def _search(broadcast, key: str, text: str, window: int, last: bool):
                     into.update(items)
                     for s in spans:
                         cover[at + s["start"] : at + s["stop"]] += 1
-            out = rows[[key] if last else [key, text]].copy()
+            out = rows[[key]].copy()
+            if not last:
+                out[text] = rows[text].astype(object)
             out["n_words"] = [len(x) for x in ids]
             out["spans"] = [_spans(cover[at : at + len(x)] > 0) for at, x in zip(bounds, ids, strict=False)]
             out["items"] = [sorted(i for i in s if i is not None) for s in found]

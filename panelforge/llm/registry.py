@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import decontam, packing, pii, quality, url_reputation
+from panelforge.llm import decontam, packing, pii, quality, toxicity, url_reputation
 
-_MODULES = (pii, decontam, quality, url_reputation, packing)
+_MODULES = (pii, decontam, toxicity, quality, url_reputation, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
