@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import decontam, langid, packing, pii, quality, toxicity, url_reputation
+from panelforge.llm import ann, decontam, langid, packing, pii, quality, toxicity, url_reputation
 
-_MODULES = (pii, decontam, toxicity, quality, url_reputation, packing, langid)
+_MODULES = (pii, decontam, toxicity, quality, url_reputation, packing, langid, ann)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
