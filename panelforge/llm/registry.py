@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import ann, decontam, jaccard, langid, packing, pii, quality, toxicity, url_reputation
+from panelforge.llm import ann, decontam, jaccard, langid, packing, pii, quality, substring_dedup, toxicity, url_reputation
 
-_MODULES = (pii, decontam, jaccard, toxicity, quality, url_reputation, packing, langid, ann)
+_MODULES = (pii, decontam, jaccard, toxicity, quality, url_reputation, packing, langid, ann, substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

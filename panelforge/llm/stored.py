@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+@contextmanager
+def filtered_scans(spark: SparkSession):
+    """Lets Spark drop rows by a Bloom filter of the join's other side before it shuffles a text column."""
+    names = ("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in zip(names, ("0", "1GB"), strict=True):
+        spark.conf.set(n, value)
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 class Scratch:
     """Written tables of one query; ``drop`` removes one that nothing reads any more."""
 
