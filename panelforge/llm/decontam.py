@@ -17,12 +17,13 @@ windows hit without being listed; repeated documents are judged row by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from panelforge.llm.fm_index import FMIndex
 from panelforge.llm.tables import table
@@ -97,42 +98,41 @@ def _spans(covered: np.ndarray) -> list[dict]:
     return [{"start": int(a), "stop": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
 
 
-def _search(broadcast, key: str, text: str, window: int, last: bool):
-    """One pass over whole rows; earlier passes' spans and items are taken up, and the text is handed on to a later one."""
-
-    def shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _search(broadcast, text: str, window: int, carry: list[str]):
+    """One pass over whole rows, handing on ``carry``; earlier passes' spans and items are taken up."""
+
+    def judged(windows: Windows, rows: pa.Table, ids: list[np.ndarray]) -> pa.RecordBatch:
+        bounds, cover, found = windows.occurrences(ids)
+        if "__spans" in rows.column_names:
+            for at, spans, items, into in zip(bounds, rows["__spans"].to_pylist(), rows["__items"].to_pylist(), found, strict=False):
+                into.update(items)
+                for s in spans:
+                    cover[at + s["start"] : at + s["stop"]] += 1
+        spans = [_spans(cover[at : at + len(x)] > 0) for at, x in zip(bounds, ids, strict=False)]
+        items = [sorted(i for i in s if i is not None) for s in found]
+        columns = {c: rows[c].combine_chunks() for c in carry}
+        columns["__n_words"] = pa.array([len(x) for x in ids], pa.int64())
+        columns["__spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+        columns["__items"] = pa.array(items, pa.list_(pa.int64()))
+        return pa.Table.from_pydict(columns).combine_chunks().to_batches()[0]
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(broadcast.value, window)
         word_id = windows.vocabulary.get
-
-        def judged(rows: pd.DataFrame, ids: list[np.ndarray]) -> pd.DataFrame:
-            bounds, cover, found = windows.occurrences(ids)
-            if "spans" in rows:
-                for at, spans, items, into in zip(bounds, rows["spans"], rows["items"], found, strict=False):
-                    into.update(items)
-                    for s in spans:
-                        cover[at + s["start"] : at + s["stop"]] += 1
-            out = rows[[key]].copy()
-            if not last:
-                out[text] = rows[text].astype(object)
-            out["n_words"] = [len(x) for x in ids]
-            out["spans"] = [_spans(cover[at : at + len(x)] > 0) for at, x in zip(bounds, ids, strict=False)]
-            out["items"] = [sorted(i for i in s if i is not None) for s in found]
-            return out
-
         rows, ids, size = [], [], 0
-        for frame in frames:
-            frame[key] = frame[key].astype("Int64")
+        for batch in batches:
             begin = 0
-            for i, t in enumerate(frame[text]):
+            for i, t in enumerate(batch.column(text).to_pylist()):
                 words = words_of(t)
                 ids.append(np.fromiter((word_id(w, 0) for w in words), np.int64, len(words)))
                 size += len(words)
                 if size >= SHARD_WORDS:
-                    yield judged(pd.concat([*rows, frame[begin : i + 1]]), ids)
+                    yield judged(windows, pa.Table.from_batches([*rows, batch.slice(begin, i + 1 - begin)]), ids)
                     rows, ids, size, begin = [], [], 0, i + 1
-            rows.append(frame[begin:])
+            if begin < batch.num_rows:
+                rows.append(batch.slice(begin))
         if ids:
-            yield judged(pd.concat(rows), ids)
+            yield judged(windows, pa.Table.from_batches(rows), ids)
 
     return shards
 
@@ -156,14 +156,17 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: in
     yield block
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``df``: key, n_words, spans (word ranges to remove) and items found."""
-    sc, rows = df.sparkSession.sparkContext, df.select(F.col(key).cast("long").alias(key), text)
+def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns ``carry`` of every row of ``df``, with __n_words, __spans (word ranges to remove) and __items (found)."""
+    sc, carry = df.sparkSession.sparkContext, list(carry)
+    rows = df.select(*dict.fromkeys([*carry, text]))
     blocks = list(map(sc.broadcast, benchmark_blocks(benchmark, item, item_text, block_bytes)))
+    span = StructType().add("start", "long").add("stop", "long")
+    found = StructType().add("__n_words", "long").add("__spans", ArrayType(span)).add("__items", ArrayType(LongType()))
     for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        schema = f"{key} long, " + f"{text} string, " * (not last) + "n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
-        rows = rows.mapInPandas(_search(block, key, text, window, last), schema)
+        handed = carry if i == len(blocks) - 1 else list(dict.fromkeys([*carry, text]))
+        schema = StructType([*(rows.schema[c] for c in handed), *found.fields])
+        rows = rows.mapInArrow(_search(block, text, window, handed), schema)
     return rows
 
 
@@ -176,13 +179,13 @@ def contaminated(spans: Column, n_words: Column) -> tuple[Column, Column]:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words hit and items found in every whole document."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    n_hit, bad = contaminated(F.col("spans"), F.col("n_words"))
+    n_hit, bad = contaminated(F.col("__spans"), F.col("__n_words"))
     return found.select(
         "doc_id",
-        "n_words",
+        F.col("__n_words").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("__items").cast("array<string>")), ","), 256).alias("items_sha256"),
         bad.alias("contaminated"),
     )
 
