@@ -28,8 +28,10 @@ from contextlib import AbstractContextManager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelforge.llm.stored import Scratch, filtered_scans
 from panelforge.llm.suffix_sort import permuted_lcp, suffix_array
@@ -40,7 +42,7 @@ LENGTH = 400
 SPREAD, RUN = 256, 64
 #: Bytes of the core: the part that all windows of one anchor share.
 CORE = LENGTH - SPREAD + 1
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 768 << 10
 CROWD = 1500
 #: Window starts of one text handled at once.
 PIECE = 1 << 20
@@ -166,18 +168,29 @@ def _single_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
-def _kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """What is left of each text when all windows in its spans are removed."""
-    out = []
-    for text, marked in zip(texts, spans, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        edges = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edges, [s["first"] for s in marked], 1)
-        np.add.at(edges, [s["last"] + LENGTH for s in marked], -1)
-        gone = np.cumsum(edges[:-1]) > 0
-        kept = data[~gone].tobytes()
-        out.append((len(data) - len(kept), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
-    return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
+def _without(carry: list[str], kept: bool):
+    """Counts and digest, and if wanted the bytes, of what is left of each text without the windows in its spans."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, runs, digests, left = [], [], [], []
+            for text, marked in zip(batch.column("__text"), batch.column("spans"), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                first, last = (marked.values.field(i).to_numpy() for i in (0, 1))
+                edges = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edges, first, 1)
+                np.add.at(edges, last + LENGTH, -1)
+                gone = np.cumsum(edges[:-1]) > 0
+                rest = data[~gone].tobytes()
+                removed.append(len(data) - len(rest))
+                runs.append(len(_runs(gone)[0]))
+                digests.append(hashlib.sha256(rest).hexdigest())
+                if kept:
+                    left.append(rest)
+            columns = {c: batch.column(c) for c in carry} | {"n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(left, pa.binary())} if kept else {}))
+
+    return cut
 
 
 class Repeats:
@@ -236,9 +249,11 @@ class Repeats:
         spans = self.spans()
         columns = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else [])]
         texts, filtered = self._texts_of(spans)
-        cut = F.pandas_udf(_kept, "n_removed long, n_spans long, kept_sha256 string, kept binary")
+        carry = [*keep, "n_bytes"]
+        rows = texts.select(*carry, "__text", "spans")
+        schema = StructType([*(rows.schema[c] for c in carry), *StructType().add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").fields])
         with filtered:
-            some = self.scratch.store(texts.withColumn("__cut", cut("__text", "spans")).select(*keep, "n_bytes", "__cut.*").select(*columns))
+            some = self.scratch.store(rows.mapInArrow(_without(carry, kept), schema.add("kept", "binary") if kept else schema).select(*columns))
         # All that is wanted of the others is worked out before they are shuffled.
         zero = F.lit(0).cast("long")
         rest = self.docs.withColumns({"n_removed": zero, "n_spans": zero, "kept_sha256": F.sha2(F.col("__text"), 256), "kept": F.encode(F.col("__text"), "UTF-8")})
