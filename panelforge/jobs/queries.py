@@ -82,8 +82,8 @@ class Panel:
         return once.withColumn("backtest_run_id", F.explode(F.array(F.col("model_run_id") * 10 + code, 1000 + F.col("model_run_id") * 10 + code)))
 
 
-def _on(build: Callable[[Panel], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: rounded(build(Panel(spark, sf_dir)))
+def _on(build: Callable[[Panel], DataFrame], places: int = PLACES) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(build(Panel(spark, sf_dir)), places)
 
 
 def _copied(p: Panel) -> DataFrame:
@@ -232,7 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rolling_folds": _on(lambda p: generate_folds(p.dataset(), train_window=500)),
     "fold_split_counts": _on(_split_counts),
     "fold_scalers": _on(_scalers),
-    "predictions_fixed": _on(lambda p: p.predictions().select("fold", "asset_id", "trading_date", "p_up", "p_large_move", F.col("signal").cast("int").alias("signal"))),
+    "predictions_fixed": _on(lambda p: p.predictions().select("fold", "asset_id", "trading_date", "p_up", "p_large_move", F.col("signal").cast("int").alias("signal")), 9),
     "positions": _on(lambda p: backtest.turnover(p.positions()).select("fold", "asset_id", "trading_date", "strategy", "position", "turnover")),
     "daily_portfolio": _on(lambda p: p.curve()),
     "backtest_summary": _on(lambda p: p.summary()),
