@@ -94,10 +94,13 @@ class CrossParser:
             self.symbols[ord(c)] = i
 
     def _table(self, text: str) -> np.ndarray:
-        """Flat (state, symbol) -> 2 * next state * width + broke: a break starts anew with the symbol."""
+        """Flat (state, symbol) -> 2 * next state * width + broke: a break starts anew with the symbol.
+
+        A symbol that the language lacks is a phrase of its own: the extra last state breaks off at once.
+        """
         automaton = suffix_automaton(text)
-        width = len(self.alphabet) + 1
-        out = np.ones((len(automaton), width), np.int32)
+        width, lost = len(self.alphabet) + 1, len(automaton)
+        out = np.full((lost + 1, width), 2 * lost * width + 1, np.int32)
         for c, state in automaton[0].items():
             out[:, self.alphabet[c]] = 2 * state * width + 1
         for s, arcs in enumerate(automaton):
