@@ -216,6 +216,32 @@ _QUERIES = {
     "stream_bars": """SELECT asset_id, trading_date, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, n_ticks FROM (SELECT user_id AS asset_id, CAST(ts AS DATE) AS trading_date, arg_min(100 + value / 100, row(ts, event_id)) AS open, max(100 + value / 100) AS high, min(100 + value / 100) AS low, arg_max(100 + value / 100, row(ts, event_id)) AS close, count(*) AS n_ticks FROM events GROUP BY ALL)
       WHERE trading_date < (SELECT max(CAST(ts AS DATE)) FROM events)""",
 }
+# Every order as an event.
+CTE |= {
+    "loc_all": CTE["loc"].replace("FROM ev", "FROM ev_all"),
+    "sess_all": CTE["sess"].replace("FROM loc ", "FROM loc_all "),
+    "newest_all": "SELECT event_type, session, arg_max(row(surprise), row(event_ts, event_id)) AS s FROM sess_all WHERE session IS NOT NULL GROUP BY ALL",
+    "grid_all": "SELECT c.*, t.event_type FROM pcal c CROSS JOIN (SELECT DISTINCT event_type FROM ev_all) t",
+    "dist_all": """SELECT trading_date, event_type, CAST(least(idx - max(seen) OVER (PARTITION BY event_type ORDER BY idx), 30) AS INTEGER) AS days_since, CAST(least(min(seen) OVER (PARTITION BY event_type ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - idx, 30) AS INTEGER) AS days_until, seen IS NOT NULL AS is_event_day
+    FROM (SELECT g.*, CASE WHEN s.session IS NOT NULL THEN idx END AS seen FROM grid_all g LEFT JOIN newest_all s ON s.session = g.trading_date AND s.event_type = g.event_type)""",
+    "car_all": """SELECT asset_id, trading_date, CASE WHEN n_est = 55 AND n_win = 11 THEN sum_ret - n_win * alpha - beta * sum_mkt END AS car FROM (
+      SELECT *, count(*) OVER b AS n_est, regr_slope(ret_1d, mkt) OVER b AS beta, regr_intercept(ret_1d, mkt) OVER b AS alpha, count(*) OVER a AS n_win, sum(ret_1d) OVER a AS sum_ret, sum(mkt) OVER a AS sum_mkt
+      FROM (SELECT asset_id, trading_date, ret_1d, avg(ret_1d) OVER (PARTITION BY trading_date) AS mkt FROM feat WHERE ret_1d IS NOT NULL)
+      WINDOW b AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 60 PRECEDING AND 6 PRECEDING), a AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))""",
+}
+_QUERIES |= {
+    "assert_events_all": _assert("events", "sessions exist and follow the release", "sess_all", "session < CAST(event_ts AS DATE)"),
+    "event_asset_map_all": "SELECT event_id, asset_id, CAST(1.0 AS DOUBLE) AS weight FROM ev_all CROSS JOIN assets",
+    "event_map_weighted_all": """SELECT event_id, asset_id, round(w / sum(w) OVER (PARTITION BY event_id), 8) AS weight FROM (SELECT event_id, asset_id, sum(l_extendedprice) AS w
+      FROM ev_all JOIN lineitem ON l_orderkey = event_id JOIN supplier ON l_suppkey = s_suppkey JOIN assets ON symbol = s_name GROUP BY ALL)""",
+    "event_effective_session_all": "SELECT event_id, event_type, session FROM sess_all",
+    "last_surprise_asof_all": "SELECT g.trading_date, g.event_type, n.session AS event_date, round(n.s[1], 8) AS surprise FROM grid_all g ASOF LEFT JOIN newest_all n ON n.event_type = g.event_type AND n.session <= g.trading_date",
+    "event_day_distance_all": "SELECT * FROM dist_all",
+    "event_features_all": "SELECT ds.trading_date, event_type, asset_id, round(mom_20d, 8) AS mom_20d, days_since, days_until, is_event_day, round(CASE WHEN is_event_day THEN mom_20d ELSE 0.0 END, 8) AS mom_20d_event FROM ds LEFT JOIN dist_all ON dist_all.trading_date = ds.trading_date",
+    "event_car_all": "SELECT asset_id, trading_date, event_type, round(car, 8) AS car FROM car_all JOIN newest_all ON session = trading_date",
+    "event_day_slice_all": """SELECT event_type, is_event_day, count(*) AS n, round(avg(p_large_move), 8) AS predicted, round(avg(CAST(y_large_move_next AS INTEGER)), 8) AS realized, round(avg(pow(p_large_move - CAST(y_large_move_next AS INTEGER), 2)), 8) AS brier
+      FROM preds JOIN dist_all ON dist_all.trading_date = preds.trading_date GROUP BY ALL""",
+}
 CTE["early"] = "SELECT * FROM copied WHERE trading_date > DATE '1995-01-20'"
 _QUERIES["training_dataset_joined"] = _QUERIES["training_dataset"]
 

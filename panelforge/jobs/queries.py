@@ -63,15 +63,15 @@ class Panel:
     def summary(self) -> DataFrame:
         return backtest.summarize(self.curve())
 
-    def macro(self) -> DataFrame:
-        return staging.stage_events(fixtures.raw_events(self.spark, self.sf_dir))
+    def events(self, macro: bool = True) -> DataFrame:
+        return staging.stage_events(fixtures.raw_events(self.spark, self.sf_dir, macro))
 
     def calendar(self) -> DataFrame:
         return trading_calendar(self.raw_prices)
 
-    def sessions(self) -> DataFrame:
-        """Staged macro events with their effective session; a stated date counts as the source gave it."""
-        raw = fixtures.raw_events(self.spark, self.sf_dir)
+    def sessions(self, macro: bool = True) -> DataFrame:
+        """Staged events with their effective session; a stated date counts as the source gave it."""
+        raw = fixtures.raw_events(self.spark, self.sf_dir, macro)
         surprise = staging.stage_events(raw).select("event_id", "surprise")
         return events.effective_session(raw.drop("raw_text"), self.calendar()).join(surprise, "event_id")
 
@@ -149,15 +149,20 @@ def _out_of_sample(p: Panel) -> DataFrame:
 
 def _event_features(p: Panel) -> DataFrame:
     one = events.event_distance(p.calendar(), p.sessions()).where(F.col("event_type") == EVENT_TYPE)
-    return events.event_features(p.dataset().select("asset_id", "trading_date", "mom_20d"), one)
+    return events.event_features(p.dataset().select("asset_id", "trading_date", "mom_20d"), one).drop("event_type")
 
 
-def _event_map(p: Panel) -> DataFrame:
+def _event_features_all(p: Panel) -> DataFrame:
+    distances = events.event_distance(p.calendar(), p.sessions(macro=False))
+    return events.event_features(p.dataset().select("asset_id", "trading_date", "mom_20d"), distances)
+
+
+def _event_map(p: Panel, macro: bool = True) -> DataFrame:
     """Orders as events, weighted by their lines' suppliers."""
     lines = table(p.spark, p.sf_dir, "lineitem")
     keys = table(p.spark, p.sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("symbol")).join(p.assets, "symbol")
     rules = lines.join(keys, "l_suppkey").select(F.col("l_orderkey").alias("event_id"), "asset_id", F.col("l_extendedprice").alias("weight"))
-    return staging.map_events(fixtures.raw_events(p.spark, p.sf_dir), rules)
+    return staging.map_events(fixtures.raw_events(p.spark, p.sf_dir, macro), rules)
 
 
 def _event_slice(p: Panel) -> DataFrame:
@@ -165,6 +170,12 @@ def _event_slice(p: Panel) -> DataFrame:
     return evaluate.event_day_slice(p.predictions(), flags, "y_large_move_next", "p_large_move")
 
 
+def _event_slice_all(p: Panel) -> DataFrame:
+    """Event days of each type against its other days."""
+    flags = events.event_distance(p.calendar(), p.sessions(macro=False))
+    return evaluate.event_day_slice(p.predictions(), flags, "y_large_move_next", "p_large_move", ["event_type"])
+
+
 def _paired(p: Panel) -> DataFrame:
     """The direction model against its reversal by the large-move score."""
     rows = p.predictions()
@@ -259,15 +270,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assert_net_identity": _on(lambda p: assertions.assert_net_identity(p.curve())),
     "assert_events": _on(lambda p: assertions.assert_events(p.sessions(), p.calendar())),
     "events_staged": _on(lambda p: staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir, macro=False)).select("event_id", "event_type", "event_date", "previous", "surprise", "surprise_pct", "cleaned_text")),
-    "event_asset_map": _on(lambda p: staging.event_asset_map(p.macro(), p.assets)),
+    "event_asset_map": _on(lambda p: staging.event_asset_map(p.events(), p.assets)),
     "event_map_weighted": _on(_event_map),
     "event_effective_session": _on(lambda p: p.sessions().select("event_id", "event_type", "session")),
     "last_surprise_asof": _on(lambda p: events.last_event_asof(p.calendar(), p.sessions())),
     "surprise_std": _on(lambda p: events.standardised_surprise(staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir, macro=False)), 50).select("event_id", "surprise_std")),
     "event_day_distance": _on(lambda p: events.event_distance(p.calendar(), p.sessions())),
     "event_features": _on(_event_features),
-    "event_car": _on(lambda p: events.event_car(features_daily(p.bars()), p.sessions())),
+    "event_car": _on(lambda p: events.event_car(features_daily(p.bars()), p.sessions()).drop("event_type")),
     "event_day_slice": _on(_event_slice),
+    # The event queries above keep to a macro calendar of one type, as their SQL does; these take every order.
+    "assert_events_all": _on(lambda p: assertions.assert_events(p.sessions(macro=False), p.calendar())),
+    "event_asset_map_all": _on(lambda p: staging.event_asset_map(p.events(macro=False), p.assets)),
+    "event_map_weighted_all": _on(lambda p: _event_map(p, macro=False)),
+    "event_effective_session_all": _on(lambda p: p.sessions(macro=False).select("event_id", "event_type", "session")),
+    "last_surprise_asof_all": _on(lambda p: events.last_event_asof(p.calendar(), p.sessions(macro=False))),
+    "event_day_distance_all": _on(lambda p: events.event_distance(p.calendar(), p.sessions(macro=False))),
+    "event_features_all": _on(_event_features_all),
+    "event_car_all": _on(lambda p: events.event_car(features_daily(p.bars()), p.sessions(macro=False))),
+    "event_day_slice_all": _on(_event_slice_all),
     "scaled_training_means": _prepared,
     "logreg_walkforward": _model,
     "platt": _calibrated(calibrate.fit_platt, calibrate.apply_platt),

@@ -91,11 +91,11 @@ def brier(rows: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(F.pow(F.col(p) - F.col(y).cast("int"), F.lit(2))).alias("brier"))
 
 
-def event_day_slice(rows: DataFrame, flags: DataFrame, y: str, p: str) -> DataFrame:
-    """Count, mean prediction, realised rate and Brier score on event days and on others."""
-    marked = rows.join(F.broadcast(flags.select("trading_date", "is_event_day")), "trading_date", "left").withColumn("is_event_day", F.coalesce("is_event_day", F.lit(False)))
+def event_day_slice(rows: DataFrame, flags: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean prediction, realised rate and Brier score on event days and on others; with ``by``, flags have every date of each group."""
+    marked = rows.join(F.broadcast(flags.select("trading_date", *by, "is_event_day")), "trading_date", "left").withColumn("is_event_day", F.coalesce("is_event_day", F.lit(False)))
     hit = F.col(y).cast("int")
-    return marked.groupBy("is_event_day").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(hit).alias("realized"), F.avg(F.pow(F.col(p) - hit, F.lit(2))).alias("brier"))
+    return marked.groupBy(*by, "is_event_day").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(hit).alias("realized"), F.avg(F.pow(F.col(p) - hit, F.lit(2))).alias("brier"))
 
 
 def paired_deltas(a: DataFrame, b: DataFrame) -> DataFrame:

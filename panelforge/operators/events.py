@@ -64,20 +64,20 @@ def event_distance(calendar: DataFrame, events: DataFrame, cap: int = 30, date:
 
 
 def event_features(dataset: DataFrame, distances: DataFrame) -> DataFrame:
-    """One type's distances, its indicator and the indicator's product with momentum, joined to the panel by date."""
-    flags = distances.select("trading_date", "days_since", "days_until", "is_event_day")
+    """Each type's distances, its indicator and the indicator's product with momentum, joined to the panel by date."""
+    flags = distances.select("trading_date", "event_type", "days_since", "days_until", "is_event_day")
     return dataset.join(F.broadcast(flags), "trading_date", "left").withColumn("mom_20d_event", F.when(F.col("is_event_day"), F.col("mom_20d")).otherwise(0.0))
 
 
 def event_car(returns: DataFrame, events: DataFrame, est: tuple[int, int] = (-60, -6), win: tuple[int, int] = (-5, 5), date: str = "session") -> DataFrame:
-    """asset_id, trading_date, car: abnormal return summed over the window around each event day an asset traded on.
+    """asset_id, trading_date, event_type, car: abnormal return summed over the window around each type's event days an asset traded on.
 
     The market is the day's mean return.  Its model is fitted on the asset's own rows ``est`` before the event; incomplete
     windows give null.
     """
     market = returns.where(F.col("ret_1d").isNotNull()).groupBy("trading_date").agg(F.avg("ret_1d").alias("mkt"))
-    days = events.where(F.col(date).isNotNull()).select(F.col(date).alias("trading_date"), F.lit(True).alias("hit")).distinct()
-    rows = returns.where(F.col("ret_1d").isNotNull()).join(F.broadcast(market), "trading_date").join(F.broadcast(days), "trading_date", "left")
+    days = events.where(F.col(date).isNotNull()).select("event_type", F.col(date).alias("trading_date")).distinct()
+    rows = returns.where(F.col("ret_1d").isNotNull()).join(F.broadcast(market), "trading_date")
     w = Window.partitionBy("asset_id").orderBy("trading_date")
     before, around = w.rowsBetween(*est), w.rowsBetween(*win)
     fitted = rows.withColumns(
@@ -92,4 +92,4 @@ def event_car(returns: DataFrame, events: DataFrame, est: tuple[int, int] = (-60
     )
     full = (F.col("n_est") == est[1] - est[0] + 1) & (F.col("n_win") == win[1] - win[0] + 1)
     car = F.when(full, F.col("sum_ret") - F.col("n_win") * F.col("alpha") - F.col("beta") * F.col("sum_mkt"))
-    return fitted.where("hit").select("asset_id", "trading_date", car.alias("car"))
+    return fitted.join(F.broadcast(days), "trading_date").select("asset_id", "trading_date", "event_type", car.alias("car"))
