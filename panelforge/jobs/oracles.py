@@ -242,6 +242,17 @@ _QUERIES |= {
     "event_day_slice_all": """SELECT event_type, is_event_day, count(*) AS n, round(avg(p_large_move), 8) AS predicted, round(avg(CAST(y_large_move_next AS INTEGER)), 8) AS realized, round(avg(pow(p_large_move - CAST(y_large_move_next AS INTEGER), 2)), 8) AS brier
       FROM preds JOIN dist_all ON dist_all.trading_date = preds.trading_date GROUP BY ALL""",
 }
+# Every bar and order, and an asset for each customer.
+CTE["wide"] = "SELECT symbol, name FROM assets UNION ALL SELECT c_name, c_name FROM customer"
+_QUERIES |= {
+    "validate_summary_all": """SELECT unnest(['blank_symbols', 'missing_keys', 'negative_values', 'inverted_range', 'future_dates', 'blank_event_types', 'undated_events', 'duplicate_symbols', 'duplicate_prices', 'duplicate_series', 'assets_without_prices', 'orphan_prices']) AS check,
+      unnest([(SELECT count(*) FROM wide WHERE trim(symbol) = ''), (SELECT count(*) FROM copied WHERE trim(symbol) = '' OR trading_date IS NULL), (SELECT count(*) FROM copied WHERE least(open, high, low, close, adj_close, volume) < 0),
+      (SELECT count(*) FROM copied WHERE high < low), (SELECT count(*) FROM copied WHERE trading_date > DATE '2000-06-18'), (SELECT count(*) FROM ev_all WHERE trim(event_type) = ''), (SELECT count(*) FROM ev_all WHERE event_ts IS NULL AND event_date IS NULL),
+      (SELECT count(*) FROM (SELECT symbol FROM wide GROUP BY symbol HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT symbol, trading_date FROM copied GROUP BY ALL HAVING count(*) > 1)),
+      (SELECT count(*) FROM (SELECT n, fp FROM series GROUP BY n, fp HAVING count(*) > 1)),
+      (SELECT count(*) FROM wide WHERE symbol NOT IN (SELECT symbol FROM copied)), (SELECT count(*) FROM copied WHERE symbol NOT IN (SELECT symbol FROM wide))]) AS n_violations""",
+    "assets_without_prices_all": "SELECT symbol, name FROM wide WHERE symbol NOT IN (SELECT symbol FROM prices)",
+}
 CTE["early"] = "SELECT * FROM copied WHERE trading_date > DATE '1995-01-20'"
 _QUERIES["training_dataset_joined"] = _QUERIES["training_dataset"]
 

@@ -97,6 +97,16 @@ def _validated(p: Panel) -> DataFrame:
     return validate.validate(p.raw_assets, early, fixtures.raw_events(p.spark, p.sf_dir), AS_OF)
 
 
+def _validated_all(p: Panel) -> DataFrame:
+    return validate.validate(_with_customers(p), _copied(p), fixtures.raw_events(p.spark, p.sf_dir, macro=False), AS_OF)
+
+
+def _with_customers(p: Panel) -> DataFrame:
+    """Assets with one for each customer beside the suppliers': none of those has a price."""
+    customers = table(p.spark, p.sf_dir, "customer").select(F.col("c_name").alias("symbol"), F.col("c_name").alias("name"), F.lit("customer").alias("source"))
+    return p.raw_assets.unionByName(customers, allowMissingColumns=True)
+
+
 def _aucs(p: Panel, *by: str) -> DataFrame:
     rows = p.predictions().select(*by, "y_up_next_day", "y_large_move_next", "p_up", "p_large_move")
     up = evaluate.auc(rows, "y_up_next_day", "p_up", by).withColumn("target", F.lit("up"))
@@ -236,6 +246,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dup_keys": _on(lambda p: validate.duplicate_keys(table(p.spark, p.sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])),
     "duplicate_series": _on(lambda p: validate.duplicate_series(_copied(p))),
     "assets_without_prices": _on(lambda p: validate.assets_without_prices(p.raw_assets, p.raw_prices.where(F.col("trading_date") < "1995-01-20")).select("symbol", "name")),
+    # validate_summary and assets_without_prices, which their SQL cuts to some dates, over every bar and event; assets without prices are added.
+    "validate_summary_all": _on(_validated_all),
+    "assets_without_prices_all": _on(lambda p: validate.assets_without_prices(_with_customers(p), p.raw_prices).select("symbol", "name")),
     "inverted_and_future": _on(lambda p: validate.future_dates(p.raw_prices, AS_OF).unionByName(validate.inverted_range(p.raw_prices)).select("symbol", "trading_date", "close")),
     "orphan_offenders": _on(lambda p: validate.offender_list(validate.orphans(_copied(p).select("symbol").distinct(), p.raw_assets, "symbol"), "symbol")),
     "embargo_reach": _on(_embargo),

@@ -48,3 +48,17 @@ def test_events_of_all_orders(spark, name):
         assert len({r["event_id"] for r in rows}) == orders.count()
     if "event_type" in rows[0]:
         assert {r["event_type"] for r in rows} == {r[0] for r in orders.select("o_orderpriority").distinct().collect()}
+
+
+def test_checks_read_every_bar_and_event(spark):
+    """An asset is without prices if it has none on any date."""
+    customers = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert len(agree(spark, "assets_without_prices_all")) == customers
+    counts = {r["check"]: r["n_violations"] for r in agree(spark, "validate_summary_all")}
+    assert counts["assets_without_prices"] == customers
+
+
+def test_an_asset_with_later_prices_only_has_prices(spark):
+    """At sf0.01 some suppliers have no line before 1995-01-20, but all have lines later."""
+    names = {r["symbol"] for r in agree(spark, "assets_without_prices_all", "/root/testdata/sf0.01")}
+    assert not names & {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").select("s_name").collect()}
