@@ -207,12 +207,11 @@ def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calibrated(fit, apply):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The large-move score of the last fold, calibrated on the latest slice of its training rows."""
+        """The large-move score of every fold, calibrated on the latest slice of the fold's training rows."""
         p = Panel(spark, sf_dir)
         dataset = p.dataset()
-        rows = fixed_predictions(split(dataset, p.folds(dataset)).where("fold = 5"))
-        model = fit(calibrate.calibration_slice(rows), "p_large_move", "y_large_move_next")
-        test = apply(rows.where("role = 'test'"), model, "p_large_move")
+        rows = fixed_predictions(split(dataset, p.folds(dataset))).select("fold", "role", "trading_date", "p_large_move", "y_large_move_next")
+        test = calibrate.calibrate_folds(rows, fit, apply, "p_large_move", "y_large_move_next")
         raw = evaluate.brier(test, "y_large_move_next", "p_large_move", ["fold"]).withColumnRenamed("brier", "brier_raw")
         return rounded(raw.join(evaluate.brier(test, "y_large_move_next", "p_calibrated", ["fold"]).withColumnRenamed("brier", "brier_calibrated"), "fold"), 6)
 

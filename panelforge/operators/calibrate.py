@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -43,3 +45,18 @@ def fit_isotonic(rows: DataFrame, p: str, y: str):
 
 def apply_isotonic(rows: DataFrame, model, p: str, out: str = "p_calibrated") -> DataFrame:
     return model.transform(rows.withColumn("features", F.col(p))).withColumnRenamed("prediction", out).drop("features")
+
+
+def calibrate_folds(rows: DataFrame, fit: Callable, apply: Callable, p: str, y: str) -> DataFrame:
+    """Test rows of every fold with ``p_calibrated``, by a map fitted on the latest slice of that fold's own training rows.
+
+    Folds are looped over as in walk_forward; rows and slices are kept meanwhile.
+    """
+    kept = rows.persist()
+    latest = calibration_slice(kept).persist()
+    out = None
+    for fold in sorted(r[0] for r in kept.select("fold").distinct().collect()):
+        model = fit(latest.where(F.col("fold") == fold), p, y)
+        part = apply(kept.where((F.col("fold") == fold) & (F.col("role") == "test")), model, p)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,11 +1,12 @@
 """Queries over the whole tables, against their SQL."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelforge.operators import calibrate
 
 DATA = "/root/testdata/sf0.001"
 EVENT_QUERIES = ("assert_events_all", "event_asset_map_all", "event_map_weighted_all", "event_effective_session_all", "last_surprise_asof_all", "event_day_distance_all", "event_features_all", "event_car_all", "event_day_slice_all")
@@ -62,3 +63,30 @@ def test_an_asset_with_later_prices_only_has_prices(spark):
     """At sf0.01 some suppliers have no line before 1995-01-20, but all have lines later."""
     names = {r["symbol"] for r in agree(spark, "assets_without_prices_all", "/root/testdata/sf0.01")}
     assert not names & {r[0] for r in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").select("s_name").collect()}
+
+
+@pytest.mark.parametrize("name", ["platt", "isotonic"])
+def test_every_fold_is_calibrated(spark, name):
+    found = {r["fold"]: r for r in entry.queries()[name](spark, DATA).collect()}
+    raw = {r["fold"]: r["brier"] for r in entry.queries()["brier"](spark, DATA).collect()}
+    assert set(found) == set(raw) == {1, 2, 3, 4, 5}
+    for fold, r in found.items():
+        assert abs(r["brier_raw"] - raw[fold]) < 2e-6
+        assert 0 < r["brier_calibrated"] < 1
+
+
+@pytest.mark.parametrize("kind", ["platt", "isotonic"])
+def test_a_fold_is_calibrated_on_its_own_latest_slice(spark, kind):
+    """The same scores come true at other rates in each fold, and at the reverse rates before the slice."""
+    fit, apply = getattr(calibrate, f"fit_{kind}"), getattr(calibrate, f"apply_{kind}")
+    rates, start = {1: {0.3: 0.1, 0.7: 0.4}, 2: {0.3: 0.6, 0.7: 0.9}}, date(2000, 1, 1)
+    rows = [
+        (fold, "train", start + timedelta(day), p, (i < 10 * rate) == (day > 39))
+        for fold, by_score in rates.items() for p, rate in by_score.items() for day in range(50) for i in range(10)
+    ]
+    rows += [(fold, "test", start + timedelta(60), p, True) for fold, by_score in rates.items() for p in by_score]
+    df = spark.createDataFrame(rows, "fold int, role string, trading_date date, p double, y boolean")
+    got = {(r["fold"], r["p"]): r["p_calibrated"] for r in calibrate.calibrate_folds(df, fit, apply, "p", "y").collect()}
+    assert len(got) == 4
+    for (fold, p), q in got.items():
+        assert abs(q - rates[fold][p]) < 1e-4
