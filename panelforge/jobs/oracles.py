@@ -253,6 +253,15 @@ _QUERIES |= {
       (SELECT count(*) FROM wide WHERE symbol NOT IN (SELECT symbol FROM copied)), (SELECT count(*) FROM copied WHERE symbol NOT IN (SELECT symbol FROM wide))]) AS n_violations""",
     "assets_without_prices_all": "SELECT symbol, name FROM wide WHERE symbol NOT IN (SELECT symbol FROM prices)",
 }
+# Joins of predictions, runs and daily results.
+_SCORED = """SELECT fold, a.symbol, p.trading_date, round(p_up, 8) AS p_up, round(p_large_move, 8) AS p_large_move, round(l.ret_fwd_1d, 8) AS ret_fwd_1d, l.y_up_next_day, l.y_large_move_next
+      FROM preds p JOIN lab l ON l.asset_id = p.asset_id AND l.trading_date = p.trading_date JOIN assets a ON a.asset_id = p.asset_id WHERE l.ret_fwd_1d IS NOT NULL"""
+_QUERIES |= {
+    "scored_predictions": _SCORED,
+    "evaluation_rows": f"{_SCORED} AND l.y_up_next_day IS NOT NULL AND l.y_large_move_next IS NOT NULL",
+    "backtest_series": """SELECT CAST(1000 + fold * 10 + CASE strategy WHEN 'always_long' THEN 1 WHEN 'direction_threshold' THEN 2 ELSE 3 END AS BIGINT) AS backtest_run_id, CAST(fold AS BIGINT) AS model_run_id, strategy, trading_date, round(net_return, 8) AS net_return, round(cum_return, 8) AS cum_return FROM curve""",
+    "model_runs": "SELECT CAST(fold AS BIGINT) AS model_run_id, 'logreg' AS model_name, 'v1' AS feature_set_version, train_start, train_end, test_start, test_end, CAST(NULL AS VARCHAR) AS git_commit FROM folds",
+}
 CTE["early"] = "SELECT * FROM copied WHERE trading_date > DATE '1995-01-20'"
 _QUERIES["training_dataset_joined"] = _QUERIES["training_dataset"]
 

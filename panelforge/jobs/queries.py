@@ -14,7 +14,7 @@ from panelforge.operators.dataset import panel, trading_calendar, training_datas
 from panelforge.operators.features import features_daily
 from panelforge.operators.folds import embargo_reach, fold_scalers, generate_folds, split
 from panelforge.operators.labels import labels_daily
-from panelforge.operators.model import fixed_predictions, prepared, walk_forward
+from panelforge.operators.model import fixed_predictions, model_runs, prepared, walk_forward
 from panelforge.schemas import FEATURES, LABELS
 from panelforge.sources import fixtures
 from panelforge.sources.tables import table
@@ -107,6 +107,24 @@ def _with_customers(p: Panel) -> DataFrame:
     return p.raw_assets.unionByName(customers, allowMissingColumns=True)
 
 
+def _scored(join: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[Panel], DataFrame]:
+    """Every run's predictions joined to the labels of all bars."""
+    def build(p: Panel) -> DataFrame:
+        preds = evaluate.select_runs(p.predictions()).select("fold", "asset_id", "trading_date", "p_up", "p_large_move")
+        labels = labels_daily(p.bars(), features_daily(p.bars())).select("asset_id", "trading_date", *LABELS)
+        return join(preds, labels, p.assets).select("fold", "symbol", "trading_date", "p_up", "p_large_move", "ret_fwd_1d", "y_up_next_day", "y_large_move_next")
+
+    return build
+
+
+def _backtest_series(p: Panel) -> DataFrame:
+    """Both backtests' daily results, of which the later one's stay."""
+    runs = p.backtest_runs()
+    key = runs.select(F.col("model_run_id").cast("int").alias("fold"), "strategy", "cost_bps", "backtest_run_id")
+    results = p.curve().join(key, ["fold", "strategy", "cost_bps"]).select("backtest_run_id", "trading_date", "net_return", "cum_return")
+    return backtest.backtest_series(runs, results)
+
+
 def _aucs(p: Panel, *by: str) -> DataFrame:
     rows = p.predictions().select(*by, "y_up_next_day", "y_large_move_next", "p_up", "p_large_move")
     up = evaluate.auc(rows, "y_up_next_day", "p_up", by).withColumn("target", F.lit("up"))
@@ -262,6 +280,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strategy_vs_benchmark": _on(lambda p: backtest.versus_benchmark(p.summary())),
     "cost_sensitivity": _on(lambda p: backtest.cost_sensitivity(p.positions())),
     "latest_backtests": _on(lambda p: backtest.latest_backtests(p.backtest_runs())),
+    "backtest_series": _on(_backtest_series),
+    "model_runs": _on(lambda p: model_runs(p.folds()).drop("created_at")),
+    "scored_predictions": _on(_scored(evaluate.scored_predictions)),
+    "evaluation_rows": _on(_scored(evaluate.evaluation_rows)),
     "confusion": _on(lambda p: evaluate.confusion(p.predictions(), ["fold"])),
     "calibration_fixed": _on(lambda p: evaluate.calibration_fixed(p.predictions(), "p_up", "y_up_next_day", ["fold"])),
     "calibration_decile": _on(lambda p: evaluate.calibration_quantile(p.predictions(), "p_large_move", "y_large_move_next")),

@@ -14,6 +14,11 @@ from panelforge.functions.columns import BIN_WIDTH, LONG_THRESHOLD, bin_index
 SLICES = 1024
 
 
+def select_runs(preds: DataFrame, ids: Sequence[int] | None = None, run: str = "model_run_id") -> DataFrame:
+    """Predictions of the given runs, or of all."""
+    return preds if ids is None else preds.where(F.col(run).isin(list(ids)))
+
+
 def scored_predictions(preds: DataFrame, labels: DataFrame, assets: DataFrame) -> DataFrame:
     """Predictions with their realised return; a missing one drops the row, it is never filled."""
     known = labels.where(F.col("ret_fwd_1d").isNotNull())

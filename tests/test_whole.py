@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from panelforge.operators import calibrate
+from panelforge.operators import calibrate, evaluate
 
 DATA = "/root/testdata/sf0.001"
 EVENT_QUERIES = ("assert_events_all", "event_asset_map_all", "event_map_weighted_all", "event_effective_session_all", "last_surprise_asof_all", "event_day_distance_all", "event_features_all", "event_car_all", "event_day_slice_all")
@@ -90,3 +90,14 @@ def test_a_fold_is_calibrated_on_its_own_latest_slice(spark, kind):
     assert len(got) == 4
     for (fold, p), q in got.items():
         assert abs(q - rates[fold][p]) < 1e-4
+
+
+@pytest.mark.parametrize("name", ["scored_predictions", "evaluation_rows", "backtest_series", "model_runs"])
+def test_joins_over_the_tables(spark, name):
+    assert agree(spark, name)
+
+
+def test_runs_are_selected(spark):
+    preds = spark.range(4).withColumnRenamed("id", "model_run_id")
+    assert evaluate.select_runs(preds).count() == 4
+    assert {r[0] for r in evaluate.select_runs(preds, [1, 3]).collect()} == {1, 3}
