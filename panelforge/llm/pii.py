@@ -5,10 +5,12 @@ Everything is a Spark expression over one row, so a scan is the only work: no sh
 Each kind has a pattern that proposes spans, a validator that confirms them and a base score.
 A word of the kind's context list shortly before the span raises the score.  A span is reported
 when its score reaches ``MIN_SCORE``.  The four base kinds start at that score once validated, so
-they are always reported; ``iban``, ``short_card`` and ``national_id`` depend on checksum and context.
+they are always reported; ``iban``, ``short_card``, ``national_id`` and ``secret`` (access tokens, keys)
+depend on checksum and context.
 
 Defined results: a null text counts as empty and has no spans; spans of one kind never overlap,
-spans of different kinds may; repeated rows and null ids are judged row by row.
+spans of different kinds may; repeated rows and null ids are judged row by row; every pattern is linear
+in the text, so a text of any length is judged whole; other columns stay, and one named like ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -51,6 +53,7 @@ EXTRA_KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]", 0.7, r"iban|account|bank|konto"),
     Kind("short_card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])", r"[0-9][0-9\x20-]{11}", 0.4, r"card|visa|amex|credit|payment"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.4, r"ssn|social|national|identity|\bid\b"),
+    Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}", r"(?i)token|secret|passw|key|bearer|credential", 0.4, r"token|secret|passw|key|bearer|credential"),
 )
 KINDS = BASE_KINDS + EXTRA_KINDS
 
@@ -88,6 +91,8 @@ def confirmed(kind: str, text: Column) -> Column:
         return mod97_valid(F.regexp_replace(text, " ", ""))
     if kind == "national_id":
         return ~text.rlike("^(?:000|666|9..)|-00-|-0000$")
+    if kind == "secret":
+        return text.rlike("[0-9]") & text.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -180,6 +185,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in base],
         F.sha2(digest(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         digest(F.col("spans")).alias("spans"),
+        *[count(k.name) for k in EXTRA_KINDS],
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
