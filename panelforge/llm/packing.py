@@ -11,8 +11,9 @@ The plan says which ranks of each length go to which bins.  Pieces are ranked wi
 parallel, a frequent length in several parts, and meet the plan in a broadcast join; the plan's size
 depends on the permitted lengths, not on the data.
 
-Defined results: a document without tokens (null, empty or blank text) has no piece; rows with equal
-ids are packed as separate documents, each with its own pieces.
+Defined results: a document without tokens (null, empty or blank text) has no piece; rows with equal or
+null ids are packed as separate documents, each with its own pieces; an empty table has no bins; a text of any
+length is cut into pieces; of other columns only ``key`` and ``n_tokens`` are read.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.llm.stored import Scratch
 from panelforge.llm.tables import table
 
 CAPACITIES = (256, 512, 1024, 2048)
-#: Pieces of one length ranked in one task.
-RANKED_TOGETHER = 200_000
+#: Pieces of one length ranked together.
+RANKED_TOGETHER = 512
 
 
 def sequence_cost(capacity: int) -> float:
@@ -118,10 +120,10 @@ def pack(df: DataFrame, key: str = "doc_id", n_tokens: str = "n_tokens", capacit
     """One row per piece: key, piece, start (in the document), n_tokens, bin_id, bin_capacity, bin_offset."""
     spark, longest = df.sparkSession, max(capacities)
     n = F.coalesce(F.col(n_tokens).cast("long"), F.lit(0).cast("long"))
+    # Counting tokens reads every text; it is done once.
+    counted = Scratch(spark, "packing").store(df.select(F.col(key), n.alias("n")).where("n > 0"))
     pieces = (
-        df.select(F.col(key), n.alias("n"))
-        .where("n > 0")
-        .select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
+        counted.select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest))).alias("piece"))
         .select(key, F.col("piece").cast("int").alias("piece"), (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int").alias("length"))
     )
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of this machine's own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder that all executors see.
+
+    In local mode, as in tests, that is one of this machine's own; on a cluster, one in the warehouse.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
-        given = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        given = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", given)
     return given
 
@@ -33,7 +37,7 @@ def filtered_scans(spark: SparkSession):
 
 
 class Scratch:
-    """Written tables of one query; ``drop`` removes one that nothing reads any more."""
+    """Written tables of one query; ``drop`` removes one that nothing reads any more, the session's end the others."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", {}, 0
@@ -42,13 +46,18 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:
+            fs, root = self._at(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
 
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path, _ = self.paths.pop(id(df))
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = self._at(self.paths.pop(id(df))[0])
+            fs.delete(at, True)
