@@ -7,16 +7,19 @@ small part of the text.  All windows of one length are searched backward togethe
 from sampled suffixes; the covered words are merged into removal spans.
 
 A shard is a bounded number of documents of one input partition.  A document lies in one shard, so
-nothing is shuffled.  The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text,
-measured first: a larger benchmark takes more passes, not more memory.
+nothing is shuffled.  The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words.  A
+benchmark of several blocks takes as many passes over the text: each pass writes what it found to the
+shared folder, and its block is freed, in the driver and the tasks, before the next one is taken.
 
 Defined results: null and empty texts have no words and no hits; an empty benchmark hits nothing;
 items without words have no windows; rows with one item_id count as one item, and a null item_id's
-windows hit without being listed; repeated documents are judged row by row.
+windows hit without being listed; repeated documents are judged row by row.  A text longer than a shard is a shard
+of its own; an empty table stays empty.  Columns in ``carry`` named like the results are left out in their favour.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from panelforge.llm.fm_index import FMIndex
+from panelforge.llm.stored import Scratch
 from panelforge.llm.tables import table
 
 WINDOW = 13
-#: Benchmark text in one pass, and words in one shard's index.
-BLOCK_BYTES = 32 << 20
+#: Benchmark words in one pass, of which each begins one window at most, and words in one shard's index.
+BLOCK_WORDS = 250_000
 SHARD_WORDS = 400_000
 
 #: Bytes of words keep their value, A-Z lower-cased; all others become a space.
@@ -98,13 +102,20 @@ def _spans(covered: np.ndarray) -> list[dict]:
     return [{"start": int(a), "stop": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
 
 
+#: The windows of the block that this worker searched last, under the block's name.
+_HELD: dict[str, Windows] = {}
+RESULTS = ("__n_words", "__spans", "__items")
+#: Under these names a pass finds what earlier ones found.
+_EARLIER = {c: f"{c}_before" for c in RESULTS[1:]}
+
+
 def _search(broadcast, text: str, window: int, carry: list[str]):
     """One pass over whole rows, handing on ``carry``; earlier passes' spans and items are taken up."""
 
     def judged(windows: Windows, rows: pa.Table, ids: list[np.ndarray]) -> pa.RecordBatch:
         bounds, cover, found = windows.occurrences(ids)
-        if "__spans" in rows.column_names:
-            for at, spans, items, into in zip(bounds, rows["__spans"].to_pylist(), rows["__items"].to_pylist(), found, strict=False):
+        if _EARLIER["__spans"] in rows.column_names:
+            for at, spans, items, into in zip(bounds, rows[_EARLIER["__spans"]].to_pylist(), rows[_EARLIER["__items"]].to_pylist(), found, strict=False):
                 into.update(items)
                 for s in spans:
                     cover[at + s["start"] : at + s["stop"]] += 1
@@ -117,7 +128,11 @@ def _search(broadcast, text: str, window: int, carry: list[str]):
         return pa.Table.from_pydict(columns).combine_chunks().to_batches()[0]
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(broadcast.value, window)
+        key = broadcast.value[0]
+        if key not in _HELD:
+            _HELD.clear()
+            _HELD[key] = Windows(broadcast.value[1], window)
+        windows = _HELD[key]
         word_id = windows.vocabulary.get
         rows, ids, size = [], [], 0
         for batch in batches:
@@ -137,37 +152,49 @@ def _search(broadcast, text: str, window: int, carry: list[str]):
     return shards
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks of at most ``block_bytes`` of text, or of one longer item."""
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark's rows in blocks of at most ``block_words`` words, or of one longer item, and whether more follow."""
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    if total <= block_bytes:
-        yield [(r[0], r[1]) for r in benchmark.select(item, text).collect()]
+    if (benchmark.agg(F.sum(size)).first()[0] or 0) <= block_words:  # a word takes a byte at least
+        yield [(r[0], r[1]) for r in benchmark.select(item, text).collect()], False
         return
     block: list[tuple] = []
     held = 0
     for r in benchmark.select(item, text).toLocalIterator():
-        n = len((r[1] or "").encode())
-        if block and held + n > block_bytes:
-            yield block
+        n = len(words_of(r[1]))
+        if block and held + n > block_words:
+            yield block, True
             block, held = [], 0
         block.append((r[0], r[1]))
         held += n
-    yield block
+    yield block, False
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns ``carry`` of every row of ``df``, with __n_words, __spans (word ranges to remove) and __items (found)."""
-    sc, carry = df.sparkSession.sparkContext, list(carry)
+    spark = df.sparkSession
+    carry = [c for c in carry if c.lower() not in RESULTS]
     rows = df.select(*dict.fromkeys([*carry, text]))
-    blocks = list(map(sc.broadcast, benchmark_blocks(benchmark, item, item_text, block_bytes)))
     span = StructType().add("start", "long").add("stop", "long")
     found = StructType().add("__n_words", "long").add("__spans", ArrayType(span)).add("__items", ArrayType(LongType()))
-    for i, block in enumerate(blocks):
-        handed = carry if i == len(blocks) - 1 else list(dict.fromkeys([*carry, text]))
+
+    def searched(rows: DataFrame, block: list[tuple], handed: list[str]):
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         schema = StructType([*(rows.schema[c] for c in handed), *found.fields])
-        rows = rows.mapInArrow(_search(block, text, window, handed), schema)
-    return rows
+        return held, rows.mapInArrow(_search(held, text, window, handed), schema)
+
+    stored = scratch = None
+    for block, more in benchmark_blocks(benchmark, item, item_text, block_words):
+        held, judged = searched(rows, block, list(dict.fromkeys([*carry, text])) if more else carry)
+        if not more:
+            return judged
+        scratch = scratch or Scratch(spark, "decontamination")
+        before, stored = stored, scratch.store(judged)
+        held.destroy()
+        if before is not None:
+            scratch.drop(before)
+        rows = stored.withColumnsRenamed(_EARLIER).drop("__n_words")
+    raise AssertionError("a benchmark has a last block")
 
 
 def contaminated(spans: Column, n_words: Column) -> tuple[Column, Column]:

@@ -55,6 +55,7 @@ PII_TEXTS = [
     "4111 1111 1111 1111 +1 (555) 123-4567. GB82 WEST 1234 5698 7654 32 iban",
     "é😀4111-1111-1111-1111 card 4111111111111112 +49 30 123456 256.1.1.1",
     "9" * 5000,
+    "mail a@b.com " * 3_000,
     "",
     None,
     "+((",
@@ -67,9 +68,15 @@ def test_pii_matches_plain_regular_expressions(spark):
         assert [f"{s['kind']}:{s['start']}:{s['stop']}" for s in r["spans"] if s["kind"] in base] == plain_spans(r["text"] or "")
 
 
+def test_pii_of_a_long_text(spark):
+    got = pii.find_spans(docs(spark, ["mail a@b.com token " + "ab1" * 400_000])).first()["spans"]
+    assert [(s["kind"], s["start"], s["stop"]) for s in got] == [("email", 5, 12), ("secret", 19, 1_200_019)]
+
+
 def test_pii_checksums_and_context(spark):
     kinds = lambda t: {s["kind"] for s in pii.find_spans(docs(spark, [t])).first()["spans"]}
     assert "iban" in kinds("GB82 WEST 1234 5698 7654 32") and "iban" not in kinds("GB83 WEST 1234 5698 7654 32")
+    assert "secret" in kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x') and "secret" not in kinds("part 04dbebab91ab85687d33eeaaf9ac699e1188f962")
     assert "national_id" in kinds("social 123-45-6789") and "national_id" not in kinds("part 123-45-6789")
 
 
@@ -94,20 +101,49 @@ def plain_hits(text, items, window=13):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 21])
+def test_decontamination_matches_brute_force(spark, block_words):
     rng = random.Random(3)
     v = ["Ab", "c1", "Ünd", "d", "e"]
     items = [(1, prose(rng, 20, v)), (2, "Ünd c1"), (3, None), (4, "..."), (2, "Ünd c1"), (None, "e e e")]
     texts = [prose(rng, 30, v), f"x, {items[0][1]} y", None, "", "ünd-C1!", f"{items[0][1]} {items[0][1]}"]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     df = docs(spark, [*texts, texts[1]])
-    got = {r["doc_id"]: r for r in decontam.find_contamination(df, benchmark, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: r for r in decontam.find_contamination(df, benchmark, block_words=block_words).collect()}
     for i, t in enumerate([*texts, texts[1]]):
         r = got[i]
         assert (r["__n_words"], sum(s["stop"] - s["start"] for s in r["__spans"]), sorted(r["__items"])) == plain_hits(t, items)
 
 
+def test_decontamination_takes_one_block_at_a_time(spark, monkeypatch):
+    held, most = [], []
+    real = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        out = real(self, value)
+        held.append(out)
+        most.append(sum(len(b.value[1]) for b in held))
+        destroy = out.destroy
+        out.destroy = lambda *a: (held.remove(out), destroy(*a))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    benchmark = spark.createDataFrame([(i, f"item {i} text") for i in range(5)], "item_id long, text string")
+    df = docs(spark, ["say item 3 text", "item 0 text item 4 text", "none"])
+    got = decontam.find_contamination(df, benchmark, block_words=3).orderBy("doc_id").collect()
+    assert [r["__items"] for r in got] == [[3], [0, 4], []] and [r["__n_words"] for r in got] == [4, 6, 1]
+    assert len(most) == 5 and max(most) == 1
+
+
+def test_decontamination_of_nothing_and_of_clashing_names(spark):
+    benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontam.find_contamination(docs(spark, []), benchmark).count() == 0
+    df = docs(spark, ["x a b"]).withColumns({c: F.lit(9) for c in ("__spans", "item_id", "n_words")})
+    for words in (1, 100):
+        got = decontam.find_contamination(df, benchmark.unionByName(benchmark), carry=df.columns, block_words=words).first()
+        assert (got["item_id"], got["n_words"], got["__items"]) == (9, 9, [1])
+
+
 def test_decontamination_with_an_empty_benchmark(spark):
     got = decontam.find_contamination(docs(spark, ["a b"]), spark.createDataFrame([], "item_id long, text string")).first()
     assert (got["__n_words"], got["__spans"], got["__items"]) == (2, [], [])
@@ -311,6 +347,44 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge(df.limit(0)).count() == 0
 
 
+def plain_plan(lengths, capacities, cost):
+    """Tokens and room of each bin: one piece after the other into the fullest that takes it; a length opens bins of one size."""
+    bins, room = [], []
+    lengths = sorted(lengths, reverse=True)
+    for length in sorted(set(lengths), reverse=True):
+        count, size = lengths.count(length), None
+        while count:
+            fits = [i for i, r in enumerate(room) if r >= length]
+            if fits:
+                i = min(fits, key=lambda i: room[i])
+            else:
+                if size is None:
+
+                    def per_token(c, left=count, length=length):
+                        each = c // length
+                        rest = c - each * length
+                        shorter = sum(n for n in lengths if n <= rest and n < length)
+                        return cost(c) / (each * length + min(rest, shorter * each / left))
+
+                    size = min((c for c in sorted(capacities) if c >= length), key=per_token)
+                i = len(bins)
+                bins.append([])
+                room.append(size)
+            bins[i].append(length)
+            room[i] -= length
+            count -= 1
+    return sorted((sum(b), r) for b, r in zip(bins, room, strict=True))
+
+
+def test_packing_plan_matches_piece_by_piece():
+    rng = random.Random(9)
+    for _ in range(60):
+        lengths = [rng.choice([rng.randint(1, 64), 7, 30]) for _ in range(rng.randint(1, 80))]
+        got = packing.plan({n: lengths.count(n) for n in lengths}, (16, 32, 64))
+        got = sorted((sum(n * each for n, each in b.filled), b.room) for b in got for _ in range(b.count))
+        assert got == plain_plan(lengths, (16, 32, 64), packing.sequence_cost)
+
+
 def test_packing_is_a_partition_within_capacities(spark):
     rng = random.Random(8)
     sizes = [rng.choice([0, 5, 5, 5, 40, 100, rng.randint(1, 400)]) for _ in range(500)]
