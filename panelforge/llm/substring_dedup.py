@@ -1,22 +1,27 @@
 """Exact removal of repeated substrings by suffix arrays over shards.
 
-A byte goes when a string of ``LENGTH`` bytes that covers it starts anywhere else as well.
+A byte goes when a string of ``LENGTH`` bytes that covers it starts anywhere else as well.  Beside that,
+passages that documents share are counted: runs of more than ``PASSAGE_WORDS`` words in bytes that strings of
+``PASSAGE`` bytes cover which also start in another document.
 
-Every window of ``LENGTH`` bytes has an anchor: the place of the least hash among its first ``SPREAD``
+Every string of ``PASSAGE`` bytes, a window, has an anchor: the place of the least hash among its first ``SPREAD``
 byte runs.  Equal windows have equal anchors, so windows are handled in groups, one for each anchor of
-a text: those windows overlap, their common part is the group's core, and what they span is its segment.
+a text: those windows overlap, their common part is the group's core, and what they and the longer strings from
+their starts span is its segment.
 A core that occurs once cannot hold a repeated window, which rules out most of the text without moving it.
 A segment that occurs again as a whole holds repeated windows only, which settles most of each copy.
 The rest, where texts agree in part of a segment, goes to shards by core with one example of every
 settled segment.  In a shard, a suffix array built by induced sorting and its permuted common
-prefixes show which windows begin in more than one place.
+prefixes show which windows, of either length, begin in more than one place.
 
 A shard is bounded.  A core with more than ``CROWD`` segments is taken out of the shards; its
 windows are compared singly, by an aggregated count of their hashes.
 
 Texts are told apart by 128-bit hashes, so that equal texts count as different places and are
 settled as whole segments.  Defined results: null and empty texts have no bytes; a text shorter
-than ``LENGTH`` keeps all; repeated rows are copies of each other and lose what they share.
+than ``LENGTH`` keeps all; repeated rows are copies of each other and lose what they share; an empty table
+stays empty; a text of any length is read whole, in pieces.  Columns to keep are handed on under their names, but
+for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,12 +41,16 @@ from pyspark.sql.types import StructType
 from panelforge.llm.stored import Scratch, filtered_scans
 from panelforge.llm.suffix_sort import permuted_lcp, suffix_array
 from panelforge.llm.tables import table
-from panelforge.llm.text_hash import Windows
+from panelforge.llm.text_hash import Windows, mix, word_bounds
 
 LENGTH = 400
-SPREAD, RUN = 256, 64
+#: A shared passage: bytes of the strings that must start in another document, and words that it has more than.
+PASSAGE, PASSAGE_WORDS = 256, 50
+SPREAD, RUN = 192, 64
 #: Bytes of the core: the part that all windows of one anchor share.
-CORE = LENGTH - SPREAD + 1
+CORE = PASSAGE - SPREAD + 1
+#: What a range of window starts is known for: strings of LENGTH repeated anywhere, of PASSAGE in another document.
+REPEATED, SHARED = 1, 2
 SHARD_BYTES = 768 << 10
 CROWD = 1500
 #: Window starts of one text handled at once.
@@ -56,7 +65,7 @@ def text_key(text: Column) -> list[Column]:
 
 def anchored(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor, first and last window start of each group of windows of a text."""
-    n = len(data) - LENGTH + 1
+    n = len(data) - PASSAGE + 1
     found = []
     for at in range(0, n, PIECE):
         size = min(PIECE, n - at)
@@ -64,8 +73,9 @@ def anchored(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
         width = 1
         while width < SPREAD:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
+            step = min(width, SPREAD - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
         anchor = (least[:size] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         found.append(np.stack((anchor[first], first, np.append(first[1:], size) - 1)) + at)
@@ -90,7 +100,8 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = np.frombuffer(text.encode(), np.uint8)
             anchor, first, last = anchored(data)
             core = Windows(data).hash(anchor, anchor + CORE)
-            segment = Windows(data, 1).hash(first, last + LENGTH)
+            # The count of windows goes in as well: near a text's end, equal bytes can hold fewer.
+            segment = mix(Windows(data, 1).hash(first, np.minimum(last + LENGTH, len(data))) ^ (last - first).astype(np.uint64))
             keys.append((k1, k2))
             parts.append((core.view(np.int64), segment.view(np.int64), first.astype(np.int32), last.astype(np.int32)))
             size += len(first)
@@ -121,51 +132,88 @@ def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
 
 
-_SPANS = "k1 long, k2 long, first int, last int"
+_SPANS = "k1 long, k2 long, first int, last int, kind int"
 
 
 def repeated_in_shard(shard: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of window starts in the shard's segments whose windows also begin elsewhere in it."""
+    """Ranges of window starts in the shard's segments whose windows also begin elsewhere in it, by kind."""
     sizes = shard["bytes"].map(len).to_numpy()
     begin = np.cumsum(sizes + 1) - sizes - 1
     symbols = np.frombuffer(b"\0".join(shard["bytes"]) + b"\0", np.uint8)
     coded = symbols.astype(np.uint16) + 1
     coded[begin + sizes] = 0
     order = suffix_array(coded, 257, depth=LENGTH)
-    alike = permuted_lcp(symbols, order, LENGTH)[order] >= LENGTH
-    # Only whole windows of a segment's own text; a place is a text and a position in it.
-    starts = np.zeros(len(symbols) + 1, np.int64)
-    np.add.at(starts, begin, 1)
-    np.add.at(starts, begin + sizes - LENGTH + 1, -1)
-    whole = np.cumsum(starts[:-1]) > 0
+    common = permuted_lcp(symbols, order, LENGTH)[order]
     text = shard.groupby(KEY, sort=False).ngroup().to_numpy()
     owner = np.repeat(np.arange(len(shard)), sizes + 1)
+    # A place is a text and a position in it.
     place = text[owner] * (1 << 40) + shard["first"].to_numpy(np.int64)[owner] + np.arange(len(symbols)) - begin[owner]
-    kind = np.cumsum(~alike)
-    usable = whole[order]
-    order, kind = order[usable], kind[usable]
-    edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
-    several = np.minimum.reduceat(place[order], edge) < np.maximum.reduceat(place[order], edge)
-    mark = np.zeros(len(symbols), bool)
-    mark[order[np.repeat(several, np.diff(np.append(edge, len(order))))]] = True
-    first, last = _runs(mark)
-    at = owner[first]
-    shift = shard["first"].to_numpy(np.int64)[at] - begin[at]
-    return pd.DataFrame({"k1": shard["k1"].to_numpy()[at], "k2": shard["k2"].to_numpy()[at], "first": (first + shift).astype(np.int32), "last": (last + shift).astype(np.int32)})
+    windows = (shard["last"] - shard["first"] + 1).to_numpy()
+    found = []
+    for kind, length, starts, where in ((REPEATED, LENGTH, np.maximum(sizes - LENGTH + 1, 0), place), (SHARED, PASSAGE, windows, text[owner])):
+        # Only whole windows of a segment's own text.
+        edges = np.zeros(len(symbols) + 1, np.int64)
+        np.add.at(edges, begin, 1)
+        np.add.at(edges, begin + starts, -1)
+        usable = (np.cumsum(edges[:-1]) > 0)[order]
+        at, alike = order[usable], np.cumsum(common < length)[usable]
+        edge = np.flatnonzero(np.append(True, alike[1:] != alike[:-1])) if len(at) else np.zeros(0, np.int64)
+        mark = np.zeros(len(symbols), bool)
+        if len(edge):
+            several = np.minimum.reduceat(where[at], edge) < np.maximum.reduceat(where[at], edge)
+            mark[at[np.repeat(several, np.diff(np.append(edge, len(at))))]] = True
+        first, last = _runs(mark)
+        row = owner[first]
+        shift = shard["first"].to_numpy(np.int64)[row] - begin[row]
+        found.append(pd.DataFrame({"k1": shard["k1"].to_numpy()[row], "k2": shard["k2"].to_numpy()[row], "first": (first + shift).astype(np.int32), "last": (last + shift).astype(np.int32), "kind": np.int32(kind)}))
+    return pd.concat(found)
 
 
 def _single_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Both hashes of every window of crowded segments."""
+    """Both hashes of every window, of either length, of crowded segments."""
     for frame in frames:
         for at in range(0, len(frame), BATCH_ROWS // SPREAD):
             part = frame.iloc[at : at + BATCH_ROWS // SPREAD]
-            texts = [np.frombuffer(x, np.uint8) for x in part["bytes"]]
-            sizes = (part["last"] - part["first"] + 1).to_numpy()
-            out = pd.DataFrame(np.repeat(part[KEY].to_numpy(np.int64), sizes, axis=0), columns=KEY)
-            out["at"] = np.concatenate([np.arange(a, b + 1, dtype=np.int32) for a, b in zip(part["first"], part["last"], strict=True)])
-            for seed, name in enumerate(("h1", "h2")):
-                out[name] = np.concatenate([Windows(x, seed).every(LENGTH) for x in texts]).view(np.int64)
-            yield out
+            for kind, length in ((REPEATED, LENGTH), (SHARED, PASSAGE)):
+                some = part[part["bytes"].map(len) >= length]
+                texts = [np.frombuffer(x, np.uint8) for x in some["bytes"]]
+                sizes = np.minimum(some["last"] - some["first"] + 1, [len(x) - length + 1 for x in texts]).to_numpy(np.int64)
+                out = pd.DataFrame(np.repeat(some[KEY].to_numpy(np.int64), sizes, axis=0), columns=KEY)
+                out["kind"] = np.int32(kind)
+                out["at"] = np.concatenate([np.zeros(0, np.int32), *(np.arange(a, a + n, dtype=np.int32) for a, n in zip(some["first"], sizes, strict=True))])
+                for seed, name in enumerate(("h1", "h2")):
+                    out[name] = np.concatenate([np.zeros(0, np.uint64), *(Windows(x, seed).every(length)[:n] for x, n in zip(texts, sizes, strict=True))]).view(np.int64)
+                yield out
+
+
+def _covered(n: int, length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of n bytes are covered by strings that start in the ranges, as far as they fit."""
+    last = np.minimum(last, n - length)
+    first, last = first[first <= last], last[first <= last]
+    edges = np.zeros(n + 1, np.int32)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last + length, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def shared_passages(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> int:
+    """Runs of more than PASSAGE_WORDS words under the windows whose starts are given, or that equal one of those."""
+    last = np.minimum(last, len(data) - PASSAGE)
+    first, last = first[first <= last], last[first <= last]
+    if not len(first):
+        return 0
+    edges = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last + 1, -1)
+    known = np.cumsum(edges[:-1])[: len(data) - PASSAGE + 1] > 0
+    if not known.all():
+        # A segment that recurs within its text was compared with other texts at one of its places only.
+        hashes = Windows(data).every(PASSAGE)
+        known = np.isin(hashes, hashes[known])
+    begin, end = _runs(_covered(len(data), PASSAGE, *_runs(known)))
+    starts, stops = word_bounds(data)
+    words = np.searchsorted(stops, end + 1, side="right") - np.searchsorted(starts, begin)
+    return int((words > PASSAGE_WORDS).sum())
 
 
 def _without(carry: list[str], kept: bool):
@@ -173,59 +221,67 @@ def _without(carry: list[str], kept: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, runs, digests, left = [], [], [], []
+            removed, runs, digests, passages, left = [], [], [], [], []
             for text, marked in zip(batch.column("__text"), batch.column("spans"), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                first, last = (marked.values.field(i).to_numpy() for i in (0, 1))
-                edges = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edges, first, 1)
-                np.add.at(edges, last + LENGTH, -1)
-                gone = np.cumsum(edges[:-1]) > 0
+                first, last, kind = (marked.values.field(i).to_numpy() for i in range(3))
+                again = kind & REPEATED > 0
+                gone = _covered(len(data), LENGTH, first[again], last[again])
                 rest = data[~gone].tobytes()
                 removed.append(len(data) - len(rest))
                 runs.append(len(_runs(gone)[0]))
                 digests.append(hashlib.sha256(rest).hexdigest())
+                passages.append(shared_passages(data, first[kind & SHARED > 0], last[kind & SHARED > 0]))
                 if kept:
                     left.append(rest)
-            columns = {c: batch.column(c) for c in carry} | {"n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+            columns = {c: batch.column(c) for c in carry} | {"n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "n_passages": pa.array(passages, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(left, pa.binary())} if kept else {}))
 
     return cut
 
 
+#: Columns of the result beside the kept ones; the bytes that are left only if wanted.
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept")
+
+
 class Repeats:
     """The repeated windows of one table of texts."""
 
     def __init__(self, docs: DataFrame, text: str):
         self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession, "repeats")
         whole = F.coalesce(F.col(text), F.lit(""))
-        self.docs = docs.withColumns({"__text": whole, "n_bytes": F.octet_length(whole).cast("long")}).withColumns(dict(zip(KEY, text_key(F.col("__text")), strict=True)))
+        self.docs = docs.drop(*[c for c in docs.columns if c.lower() in ("__text", "spans", *KEY) and c != text]).withColumn("__text", whole).withColumns(dict(zip(KEY, text_key(F.col("__text")), strict=True)))
 
-    def _texts_of(self, wanted: DataFrame) -> tuple[DataFrame, AbstractContextManager]:
+    def _texts_of(self, wanted: DataFrame, docs: DataFrame) -> tuple[DataFrame, AbstractContextManager]:
         """The rows of ``docs`` that ``wanted`` names, joined to it, behind a filter on the scan."""
         low = wanted.agg(F.min("k1")).first()[0]
         # Every row passes the condition; it marks this side as the one to filter the scan by.
         wanted = wanted.where(F.col("k1") >= (low if low is not None else 0))
-        return self.docs.join(wanted, KEY), filtered_scans(self.spark)
+        return docs.join(wanted, KEY), filtered_scans(self.spark)
 
     def spans(self) -> DataFrame:
         """k1, k2, first, last: ranges of starts of repeated windows, stored."""
         scratch = self.scratch
-        long_texts = self.docs.where(F.col("n_bytes") >= LENGTH).select(*KEY, F.col("__text").alias("text"))
+        long_texts = self.docs.where(F.octet_length("__text") >= PASSAGE).select(*KEY, F.col("__text").alias("text"))
         groups = scratch.store(long_texts.mapInPandas(_groups, "k1 long, k2 long, core long, segment long, first int, last int"))
         cores = scratch.store(groups.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
         low = cores.agg(F.min("core")).first()[0]
         with filtered_scans(self.spark):
             shared = scratch.store(groups.join(cores.where(F.col("core") >= (low if low is not None else 0)), "core"))
+        # Texts that several rows have are repeated and shared as a whole.
+        copied = groups.where("first = 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        whole = scratch.store(copied.select(*KEY, F.lit(0).alias("first"), F.lit(2**31 - 1).alias("last"), F.lit(REPEATED | SHARED).alias("kind")))
         scratch.drop(groups, cores)
         example = F.min(F.struct(*KEY, "first", "last"))
-        segments = scratch.store(shared.groupBy("core", "segment").agg(F.count(F.lit(1)).alias("n"), example.alias("e")))
-        settled = shared.join(segments.where("n > 1").select("core", "segment"), ["core", "segment"]).select(*KEY, "first", "last")
+        segments = shared.groupBy("core", "segment").agg(F.count(F.lit(1)).alias("n"), example.alias("e"), F.max(F.struct(*KEY)).alias("other"))
+        segments = scratch.store(segments.select("core", "segment", "n", "e", (F.struct("e.k1", "e.k2") != F.col("other")).alias("crosses")))
+        kind = F.when(F.col("crosses"), REPEATED | SHARED).otherwise(REPEATED).alias("kind")
+        settled = shared.join(segments.where("n > 1").select("core", "segment", kind), ["core", "segment"]).select(*KEY, "first", "last", "kind")
 
-        open_cores = segments.groupBy("core").agg(F.count_if(F.col("n") == 1).alias("single"), F.count(F.lit(1)).alias("kinds")).where("single > 0")
+        open_cores = segments.groupBy("core").agg(F.count_if(~F.col("crosses")).alias("own"), F.count(F.lit(1)).alias("kinds")).where("own > 0 and kinds > 1")
         open_segments = segments.join(open_cores, "core").select("core", (F.col("kinds") > CROWD).alias("crowded"), "e.*")
         wanted = scratch.store(open_segments.groupBy(*KEY).agg(F.collect_list(F.struct("core", "crowded", "first", "last")).alias("wanted")))
-        texts, filtered = self._texts_of(wanted)
+        texts, filtered = self._texts_of(wanted, self.docs.select(*KEY, "__text"))
         with filtered:
             cut = texts.select(*KEY, F.col("__text").alias("text"), "wanted").mapInPandas(_cut, "k1 long, k2 long, core long, crowded boolean, first int, last int, bytes binary")
             # Equal texts bring the same segments; one is kept.
@@ -236,27 +292,31 @@ class Repeats:
         sorted_ = cut.where("not crowded").select(*KEY, "first", "last", "bytes", shard)
         found = sorted_.groupBy("shard").applyInPandas(lambda pdf: repeated_in_shard(pdf), _SPANS)
 
-        single = scratch.store(cut.where("crowded").mapInPandas(_single_windows, "k1 long, k2 long, at int, h1 long, h2 long"))
-        twice = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-        crowded = single.join(twice, ["h1", "h2"]).select(*KEY, F.col("at").alias("first"), F.col("at").alias("last"))
-        marks = settled.unionByName(found).unionByName(crowded)
-        out = scratch.store(marks.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-        scratch.drop(shared, segments, wanted, cut, single)
+        single = scratch.store(cut.where("crowded").mapInPandas(_single_windows, "k1 long, k2 long, kind int, at int, h1 long, h2 long"))
+        place = F.struct(*KEY, F.when(F.col("kind") == REPEATED, F.col("at")).alias("at"))
+        twice = single.groupBy("kind", "h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("kind", "h1", "h2")
+        crowded = single.join(twice, ["kind", "h1", "h2"]).select(*KEY, F.col("at").alias("first"), F.col("at").alias("last"), "kind")
+        marks = settled.unionByName(whole).unionByName(found).unionByName(crowded)
+        # A set, as copies of a text bring the same ranges.
+        out = scratch.store(marks.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "kind")).alias("spans")))
+        scratch.drop(shared, segments, whole, wanted, cut, single)
         return out
 
     def removed(self, *keep: str, kept: bool = True) -> DataFrame:
-        """The columns ``keep`` of every row with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept, the bytes that are left."""
+        """The columns ``keep`` of every row with n_bytes, n_removed, n_spans, kept_sha256, n_passages and, if wanted, kept, the bytes that are left."""
         spans = self.spans()
-        columns = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else [])]
-        texts, filtered = self._texts_of(spans)
+        keep = [c for c in keep if c.lower() not in RESULTS]
+        columns = [*keep, *RESULTS[: len(RESULTS) - (not kept)]]
         carry = [*keep, "n_bytes"]
+        docs = self.docs.withColumn("n_bytes", F.octet_length("__text").cast("long"))
+        texts, filtered = self._texts_of(spans, docs)
         rows = texts.select(*carry, "__text", "spans")
-        schema = StructType([*(rows.schema[c] for c in carry), *StructType().add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").fields])
+        schema = StructType([*(rows.schema[c] for c in carry), *StructType().add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_passages", "long").fields])
         with filtered:
             some = self.scratch.store(rows.mapInArrow(_without(carry, kept), schema.add("kept", "binary") if kept else schema).select(*columns))
         # All that is wanted of the others is worked out before they are shuffled.
         zero = F.lit(0).cast("long")
-        rest = self.docs.withColumns({"n_removed": zero, "n_spans": zero, "kept_sha256": F.sha2(F.col("__text"), 256), "kept": F.encode(F.col("__text"), "UTF-8")})
+        rest = docs.withColumns({"n_removed": zero, "n_spans": zero, "n_passages": zero, "kept_sha256": F.sha2(F.col("__text"), 256), "kept": F.encode(F.col("__text"), "UTF-8")})
         return some.unionByName(rest.select(*columns, *KEY).join(spans.select(*KEY), KEY, "left_anti").select(*columns))
 
 

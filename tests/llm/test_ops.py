@@ -312,25 +312,41 @@ def test_suffix_array_and_prefixes():
 def test_repeats_match_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     rng = random.Random(6)
-    shared, long = prose(rng, 80), prose(rng, 300)
+    shared, long, short = prose(rng, 80), prose(rng, 300), " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(60))
+    line = prose(rng, 55) + "\n"
     texts = [None, "", "short", prose(rng, 50) + shared + prose(rng, 90), shared + prose(rng, 70), "é" + shared[:430], long, long, long[:900] + "!" + long[901:], "ab" * 600, prose(rng, 400)]
-    length = substring_dedup.LENGTH
+    texts += [f"{prose(rng, 9)} {short} {prose(rng, 30)}", f"{prose(rng, 40)} {short}", short, short[:290], line * 3 + prose(rng, 20), prose(rng, 7) + " " + line[:310], "x y " * 200]
+    length, passage = substring_dedup.LENGTH, substring_dedup.PASSAGE
     data = [(t or "").encode() for t in texts]
-    seen = {}
+    seen, docs_of = {}, {}
     for i, x in enumerate(data):
         for j in range(len(x) - length + 1):
             seen.setdefault(x[j : j + length], []).append((i, j))
+        for j in range(len(x) - passage + 1):
+            docs_of.setdefault(x[j : j + passage], set()).add(i)
     want = []
     for i, x in enumerate(data):
-        gone = np.zeros(len(x), bool)
+        gone, shares = np.zeros(len(x), bool), np.zeros(len(x), bool)
         for j in range(len(x) - length + 1):
             if len(seen[x[j : j + length]]) > 1:
                 gone[j : j + length] = True
+        for j in range(len(x) - passage + 1):
+            if len(docs_of[x[j : j + passage]]) > 1:
+                shares[j : j + passage] = True
         kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        want.append((i, len(x), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    got = substring_dedup.Repeats(docs(spark, texts), "text").removed("doc_id", kept=False)
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", x)]
+        passages = sum(sum(m.start() <= a and b <= m.end() for a, b in words) > 50 for m in re.finditer(b"1+", shares.astype(np.uint8).tobytes().replace(b"\1", b"1")))
+        want.append((i, len(x), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), passages))
+    df = docs(spark, texts).withColumns({c: F.lit(1) for c in ("spans", "k1", "wanted", "n_bytes", "kept")})
+    got = substring_dedup.Repeats(df, "text").removed("doc_id", kept=False)
     assert sorted(map(tuple, got.collect())) == want
+    passages = [w[-1] for w in want]
+    assert all(passages[11:15]) and not any(passages[:3])
+
+
+def test_repeats_of_nothing(spark):
+    assert substring_dedup.Repeats(docs(spark, []), "text").removed("doc_id").count() == 0
 
 
 # op8, op9 -------------------------------------------------------------------------------------------
