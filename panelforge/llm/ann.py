@@ -3,20 +3,20 @@
 Vectors get ``BITS``-bit codes: principal axes, then rotations learned so that signs lose least.  Codes
 are cut into ``TABLES`` substrings, each with its own index table keyed by the leading bits of the
 substring.  By the pigeonhole principle two codes within a Hamming radius of r agree in some substring up
-to r // TABLES bits, so probing every key that near in every table retrieves each code in the
-radius.  Retrieved codes are checked over their full length and then reranked by the exact cosine.
+to r // TABLES bits, or one less beyond the first r % TABLES + 1 tables.  A query probes every key that can hold
+such a substring; inside, rows are kept by their substring's distance, then by their whole code's, each
+in the first table that finds them, and only the vectors of those are read for the exact cosine.
 
 The radius comes from the fitting sample: it covers ``COVERED`` of the sample's own true neighbours.
-A query that finds fewer than k neighbours is searched again without a radius, so no one gets too few.
-Where the probes of all tables together would read more than the whole index, one table read in
-full retrieves the same codes and is used instead.
+A query that finds fewer than k neighbours is searched again in growing radius, so no one gets too few.
 
-Keys hold blocks of at most about ``BLOCK_ROWS`` rows, a frequent key several; queries travel in blocks too.
-Each (key, block, query block) is one bounded group; it returns at most k rows for each query.
+Keys hold blocks of at most about ``BLOCK_ROWS`` rows, a frequent key several; the queries that probe a key travel in
+parts too.  Each (table, key, block, part) is one bounded group; it returns at most k rows for each query.
 
 Defined results: vectors that are null, empty, zero, hold a null or non-finite component, or differ in
 length from most vectors take no part, nor do rows with a null id.  All rows with a query's id count as
-its own.  Equal scores go to the smaller id.
+its own; rows that share another id count as one, by the best of them.  Equal scores go to the smaller id.  An empty table finds nothing; columns
+other than id and vector are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +33,14 @@ from pyspark.sql.window import Window
 from panelforge.llm.stored import Scratch
 from panelforge.llm.tables import table
 
-BITS, TABLES = 128, 8
+#: A substring is one 64-bit word.
+BITS, TABLES = 256, 4
 #: Bounds of the fitting sample, and of the queries that set the radius.
 FIT_ROWS, FIT_QUERIES = 8000, 400
-COVERED = 0.985
+COVERED = 0.96
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Leading bits that make a key.
+LEAST_KEY, LARGEST_KEY = 4, 16
 #: Queries compared with a block at once.
 CHUNK = 256
 
@@ -88,33 +91,44 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
+def thresholds(radius: int) -> np.ndarray:
+    """Of each table: codes within ``radius`` are within the table's threshold in one substring at least."""
+    return radius // TABLES - (np.arange(TABLES) > radius % TABLES)
+
+
+def retrieved(table_: int, asked: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions of the pairs of codes within the radius that this table is the first to find, and how many pairs it probed."""
+    within = thresholds(radius)
+    q, r = np.nonzero(np.bitwise_count(asked[:, table_, None] ^ rows[None, :, table_]) <= within[table_])
+    probed = len(q)
+    apart = np.bitwise_count(asked[q] ^ rows[r])
+    mine = (apart.sum(axis=1) <= radius) & ~(apart[:, :table_] <= within[:table_]).any(axis=1)
+    return q[mine], r[mine], probed
+
+
 def _nearest(k: int, codes: Codes, radius: int):
-    """The k best rows of a block for each query of a block, codes within the radius only."""
+    """The k best rows of a block for each query of a block, of those that the block's table retrieves."""
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if queries.empty or rows.empty:
             return empty
         x, ids = _stack(rows["vector"]), rows["id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
-        sizes, row_codes = np.sqrt(np.einsum("ij,ij->i", x, x)), codes.of(x)
-        found: list[tuple] = []
+        sizes, row_codes, table_ = np.sqrt(np.einsum("ij,ij->i", x, x)), codes.of(x), int(rows["table"].iloc[0])
+        found = []
         for at in range(0, len(queries), CHUNK):
             some = queries.iloc[at : at + CHUNK]
             q, own = _stack(some["query"]), some["query_id"].to_numpy(np.int64)
-            q_sizes = np.sqrt(np.einsum("ij,ij->i", q, q))
-            distance = np.bitwise_count(codes.of(q)[:, None, :] ^ row_codes[None, :, :]).sum(axis=2)
-            near = (q @ x.T) / q_sizes[:, None] / sizes
-            near[(distance > radius) | (own[:, None] == ids[None, :])] = -np.inf
-            bar = -np.partition(-near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(q), -np.inf)
-            for i in range(len(q)):
-                # Sums in one order for every pair, so that equal vectors score alike.
-                hit = np.flatnonzero((near[i] >= bar[i] - 1e-9) & (near[i] > -np.inf))
-                score = (x[hit] * q[i]).sum(axis=1) / (q_sizes[i] * sizes[hit])
-                best = np.lexsort((ids[hit], -score))[:k]
-                found += zip([own[i]] * len(best), ids[hit][best], score[best], strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]) if found else empty
+            i, j, _ = retrieved(table_, codes.of(q), row_codes, radius)
+            other = own[i] != ids[j]
+            i, j = i[other], j[other]
+            # Sums in one order for every pair, so that equal vectors score alike.
+            score = (x[j] * q[i]).sum(axis=1) / (np.sqrt(np.einsum("ij,ij->i", q, q))[i] * sizes[j])
+            order = np.lexsort((ids[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            found.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "score": score})[rank < k])
+        return pd.concat(found)
 
     return search
 
@@ -132,61 +146,58 @@ class Index:
             sample = self.vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector").collect()
             self.codes = Codes(np.array([r[0] for r in sample]))
 
-    def _keys(self, radius: int) -> tuple[int, int]:
-        """How many tables to probe, and how many leading bits of a substring make a key."""
-        width, within = BITS // TABLES, radius // TABLES
-        bits = min(width, max(0, math.ceil(math.log2(max(1, self.count / BLOCK_ROWS)))))
-        probed = sum(math.comb(bits, i) for i in range(min(bits, within) + 1)) / 2**bits
-        return (TABLES, bits) if TABLES * probed < 1 else (1, 0)
+    def key_bits(self) -> int:
+        """How many leading bits of a substring make a key."""
+        return min(LARGEST_KEY, max(LEAST_KEY, math.ceil(math.log2(max(1, self.count / BLOCK_ROWS)))))
 
-    def _keyed(self, df: DataFrame, tables: int, bits: int, probe: int | None) -> DataFrame:
-        """Adds table and key: a row's own key in each table, or all keys within ``probe`` bits of it."""
-        if tables == 1:
-            return df.select("*", F.lit(0).alias("table"), F.lit(0).alias("key"))
-        codes, width = self.codes, BITS // TABLES
+    def _keyed(self, df: DataFrame, radius: int | None = None) -> DataFrame:
+        """Adds table and key: a row's own key in each table, or with a radius all keys that it probes."""
+        codes, bits = self.codes, self.key_bits()
 
         @F.pandas_udf("array<int>")
         def leading(vectors: pd.Series) -> pd.Series:
-            words = codes.of(_stack(vectors)).astype(">u8").view(np.uint8).reshape(len(vectors), -1)
-            parts = np.unpackbits(words, axis=1).reshape(len(vectors), TABLES, width)[:, :, :bits]
-            return pd.Series(list((parts @ (1 << np.arange(bits)[::-1])).astype(np.int32)))
+            return pd.Series(list((codes.of(_stack(vectors)) >> np.uint64(64 - bits)).astype(np.int32)))
 
         keyed = df.select("*", F.posexplode(leading("vector")).alias("table", "own"))
-        if probe is None:
+        if radius is None:
             return keyed.withColumnRenamed("own", "key")
-        masks = [m for m in range(1 << bits) if m.bit_count() <= probe]
-        return keyed.withColumn("mask", F.explode(F.lit(masks))).withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
-
-    def search(self, queries: DataFrame, k: int, radius: int | None = None) -> DataFrame:
-        """query_id, vec_id, score: at most k best for each query, codes within the radius only."""
-        radius = self.codes.radius if radius is None else radius
-        tables, bits = self._keys(radius)
-        rows, asked = self._keyed(self.vectors, tables, bits, None), self._keyed(queries, tables, bits, radius // TABLES)
-        # At most TABLES * 2 ** 16 keys.
+        masks = [[m for m in range(1 << bits) if m.bit_count() <= t] for t in thresholds(radius).tolist()]
+        probes = df.sparkSession.createDataFrame(list(enumerate(masks)), "table int, masks array<int>")
+        return keyed.join(F.broadcast(probes), "table").withColumn("mask", F.explode("masks")).withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask", "masks")
+
+    def search(self, queries: DataFrame, k: int, radius: int) -> DataFrame:
+        """query_id, vec_id, score: at most k best for each query and group, codes within the radius only."""
+        rows, asked = self._keyed(self.vectors), self._keyed(queries, radius)
+        # At most TABLES * 2 ** LARGEST_KEY keys.
         blocks = rows.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-        spread = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-        row_block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
-        rows = rows.join(F.broadcast(blocks), ["table", "key"]).select("id", "vector", "table", "key", row_block, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
-        query_part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(spread)).cast("int").alias("part")
-        asked = asked.join(F.broadcast(blocks), ["table", "key"]).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "table", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), query_part)
+        parts = asked.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts"))
+        keys = F.broadcast(self.scratch.store(blocks.join(parts, ["table", "key"])))
+        place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = rows.join(keys, ["table", "key"]).select("id", "vector", "table", "key", place(1, "blocks").alias("block"), each("parts").alias("part"))
+        asked = asked.join(keys, ["table", "key"]).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "table", "key", each("blocks").alias("block"), place(2, "parts").alias("part"))
         by = ["table", "key", "block", "part"]
-        found = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_nearest(k, self.codes, radius), "query_id long, vec_id long, score double")
-        return found.distinct() if tables > 1 else found
+        return asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_nearest(k, self.codes, radius), "query_id long, vec_id long, score double")
 
     def nearest(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """query_id, rank, vec_id, score of each query's k nearest; queries are rows of id and vector."""
         if not self.count:
             return self.scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         queries = queries.join(self.vectors.select("id").distinct(), "id", "left_semi").withColumn("vector", F.col("vector").cast("array<double>")).dropDuplicates(["id"])
-        first = self.scratch.store(self.search(queries, k))
-        full = first.groupBy(F.col("query_id").alias("id")).agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
-        short = queries.join(full, "id", "left_anti")
-        parts = [first]
-        if not short.isEmpty():
-            parts = [first.join(full, first["query_id"] == full["id"], "left_semi"), self.search(short, k, BITS)]
-        found = reduce(DataFrame.unionByName, parts)
+        radius, settled = self.codes.radius, []
+        while True:
+            found = self.scratch.store(self.search(queries, k, radius).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+            if radius >= BITS:
+                settled.append(found)
+                break
+            full = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
+            settled.append(found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi"))
+            queries = self.scratch.store(queries.join(full, "id", "left_anti"))
+            if queries.isEmpty():
+                break
+            radius = min(BITS, radius + BITS // 8)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return reduce(DataFrame.unionByName, settled).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,8 +267,9 @@ def test_language_of_odd_texts(spark):
 def test_ann_recall(spark, monkeypatch, tight):
     rng = np.random.default_rng(1)
     x = np.repeat(rng.standard_normal((150, 16)), 4, axis=0) + (0.02 if tight else 0.3) * rng.standard_normal((600, 16))
-    if tight:  # several tables and blocks
+    if tight:  # several blocks, and queries that need a larger radius
         monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+        monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
         monkeypatch.setattr(ann, "COVERED", 0.4)
     x[5] = x[4]
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(600, None), (601, [0.0] * 16), (602, [math.nan] * 16), (650, [None] * 16), (700, [1.0])]
@@ -285,7 +286,16 @@ def test_ann_recall(spark, monkeypatch, tight):
         assert mine["rank"].tolist() == [1, 2, 3] and np.allclose(mine.score, s[mine.vec_id])
         hits += len(set(mine.vec_id) & set(np.lexsort((np.arange(600), -s))[:3]))
     assert hits >= 0.9 * 36 and set(got.query_id) == set(range(0, 600, 50))
-    assert not tight or index._keys(index.codes.radius)[0] == ann.TABLES
+
+
+def test_every_code_within_the_radius_is_retrieved_once():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 1 << 63, (300, ann.TABLES), dtype=np.uint64) ^ rng.integers(0, 2, (300, ann.TABLES), dtype=np.uint64)
+    codes[150:] = codes[:150] ^ (rng.random((150, ann.TABLES)) * 2**40).astype(np.uint64)
+    near = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+    for radius in (0, 3, 50, 101, 115, ann.BITS):
+        got = [p for t in range(ann.TABLES) for p in zip(*(a.tolist() for a in ann.retrieved(t, codes, codes, radius)[:2]), strict=True)]
+        assert sorted(got) == list(zip(*(a.tolist() for a in np.nonzero(near <= radius)), strict=True))
 
 
 def test_ann_of_nothing(spark):
