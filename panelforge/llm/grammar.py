@@ -1,18 +1,20 @@
 """A weighted finite-state grammar of toxic clauses.
 
-Words become symbols: insult, threat, target, negation, report, boundary, other.  Small transducers
-read the symbols in turn, each adding one view: negation weakens what follows closely, reported speech
-weakens the rest of its clause, a target in the clause strengthens it.  ``compose`` joins two of them
-into one machine whose path weight is the product of both views; ``GRAMMAR`` is all three composed.
+Words become symbols: insult, threat, intent, target, negation, report, boundary, other.  Five small
+transducers read the symbols in turn, each adding one view: insults weigh more after one another, a threat
+needs an intent shortly before it to weigh in full, a target in the clause strengthens both, negation weakens
+what follows closely, reported speech weakens the rest of its clause.  ``compose`` joins two of them
+into one machine whose path weight is the product of both views; ``GRAMMAR`` is all five composed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY, OTHER = "insult", "threat", "target", "negation", "report", "boundary", "other"
-SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY, OTHER)
+INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, BOUNDARY, OTHER = "insult", "threat", "intent", "target", "negation", "report", "boundary", "other"
+SYMBOLS = (INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, BOUNDARY, OTHER)
 #: Symbols whose weight counts towards a clause.
 SCORED = (INSULT, THREAT)
 
@@ -45,12 +47,30 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(start, arcs)
 
 
+#: What an insult weighs after none, one, and more in its clause.
+HEAPED = (1.0, 1.25, 1.5)
+#: Words after an intent that it reaches, and what a threat weighs without one.
+INTENDED_WORDS, UNINTENDED = 4, 0.4
 #: Words after a negation that it reaches, and what is left of their weight.
 NEGATED_WORDS, NEGATED = 3, 0.25
 REPORTED = 0.5
 TARGETED = 1.5
 
 
+def _insult(state: int, symbol: str):
+    after = 0 if symbol == BOUNDARY else min(len(HEAPED) - 1, state + (symbol == INSULT))
+    return after, HEAPED[state] if symbol == INSULT else 1.0
+
+
+def _threat(state: int, symbol: str):
+    left = 0 if symbol == BOUNDARY else INTENDED_WORDS if symbol == INTENT else max(0, state - 1)
+    return left, UNINTENDED if symbol == THREAT and not state else 1.0
+
+
+def _target(state: bool, symbol: str):
+    return symbol == TARGET or (state and symbol != BOUNDARY), TARGETED if state else 1.0
+
+
 def _negation(state: int, symbol: str):
     left = 0 if symbol == BOUNDARY else NEGATED_WORDS if symbol == NEGATION else max(0, state - 1)
     return left, NEGATED if state else 1.0
@@ -60,14 +80,14 @@ def _reported(state: bool, symbol: str):
     return symbol == REPORT or (state and symbol != BOUNDARY), REPORTED if state else 1.0
 
 
-def _targeted(state: bool, symbol: str):
-    return symbol == TARGET or (state and symbol != BOUNDARY), TARGETED if state else 1.0
-
-
-GRAMMAR = compose(
-    compose(transducer(0, range(NEGATED_WORDS + 1), _negation), transducer(False, (False, True), _reported)),
-    transducer(False, (False, True), _targeted),
+VIEWS = (
+    transducer(0, range(len(HEAPED)), _insult),
+    transducer(0, range(INTENDED_WORDS + 1), _threat),
+    transducer(False, (False, True), _target),
+    transducer(0, range(NEGATED_WORDS + 1), _negation),
+    transducer(False, (False, True), _reported),
 )
+GRAMMAR = reduce(compose, VIEWS)
 
 
 def clause_scores(symbols: list[str], weights: list[float], grammar: Transducer = GRAMMAR) -> list[float]:

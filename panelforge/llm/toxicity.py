@@ -10,7 +10,9 @@ Learning is bounded: at most ``DOCS_PER_CLASS`` labelled documents of each class
 and ``ENTRIES`` lexicon entries.  Scoring reads all clauses of every document.
 
 Defined results: null and empty texts match nothing and get the score of a text without matches;
-without labels of both classes the given insults alone decide; a null doc_id is scored, not held out.
+without labels of both classes the given insults alone decide; a null doc_id is scored, not held out; repeated
+rows get equal scores; a text of any length is read whole; an empty table stays empty; a column named like the
+score is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.grammar import BOUNDARY, INSULT, NEGATION, OTHER, REPORT, TARGET, THREAT, clause_scores
+from panelforge.llm.grammar import BOUNDARY, INSULT, INTENT, NEGATION, OTHER, REPORT, TARGET, THREAT, clause_scores
 from panelforge.llm.labelled import held_out, sample_by_class
 from panelforge.llm.quality import learning_labels
 from panelforge.llm.tables import table
@@ -38,14 +40,17 @@ CANDIDATES = 4000
 ENTRIES = 400
 #: A candidate form is in at least so many toxic documents, and so much likelier in them.
 MIN_DOCS = 5
-MIN_LOG_ODDS = 3.0
+MIN_LOG_ODDS = 2.0
+#: Log odds of an entry of weight 1.
+UNIT_LOG_ODDS = 3.0
 #: An entry explains at least so many toxic documents, and this share of them, beyond earlier entries.
 MIN_NEW, MIN_NEW_SHARE = 5, 0.004
-EXPLAINED_BY, CLEAN_COST = 2, 20.0
-AFFIX = range(4, 8)
+EXPLAINED_BY, CLEAN_COST = 5, 6.0
+AFFIX = range(3, 8)
 
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "disgusting", "pathetic", "clown", "imbecile", "dumb", "jerk", "filth", "vermin", "garbage")
 THREATS = ("kill", "destroy", "hurt", "punish", "crush", "beat", "hunt")
+INTENTS = ("will", "shall", "should", "must", "gonna", "going", "want", "let", "ll", "werde", "werden", "vais", "voy", "vamos")
 TARGETS = ("you", "your", "yourself", "he", "she", "they", "them", "him", "her", "everyone", "people", "du", "ihr", "sie", "vous", "toi", "usted", "ustedes", "tú")
 NEGATIONS = ("not", "never", "no", "without", "isn", "aren", "don", "doesn", "nicht", "kein", "keine", "jamais", "nunca")
 REPORTS = ("said", "says", "wrote", "called", "claimed", "reported", "quoted", "according", "sagte", "dit", "dijo")
@@ -71,7 +76,7 @@ class Lexicon:
     known: dict[str, tuple[str, float]] = field(default_factory=dict)
 
     def __post_init__(self):
-        for symbol, words, weight in ((THREAT, THREATS, 1.0), (TARGET, TARGETS, 0.0), (NEGATION, NEGATIONS, 0.0), (REPORT, REPORTS, 0.0)):
+        for symbol, words, weight in ((THREAT, THREATS, 1.0), (INTENT, INTENTS, 0.0), (TARGET, TARGETS, 0.0), (NEGATION, NEGATIONS, 0.0), (REPORT, REPORTS, 0.0)):
             self.known |= dict.fromkeys(words, (symbol, weight))
         self.known |= dict.fromkeys(_BOUNDARIES, (BOUNDARY, 0.0))
         self.fixed = dict(self.known)
@@ -135,7 +140,7 @@ def _cover(candidates: dict[str, tuple[float, float]], documents: list[list[str]
     """Greedy choice of entries: each helps to explain the most toxic documents, less its cost in clean ones.
 
     ``candidates`` holds each form's log odds and share of clean documents.  A document is explained
-    by ``EXPLAINED_BY`` entries, so that one rare form beside a frequent one is still learned.
+    by ``EXPLAINED_BY`` entries, so that a rare form beside frequent ones is still learned.
     """
     of = {f: set() for f in candidates}
     for i, held in enumerate(documents):
@@ -208,7 +213,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         likely = counted.where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
         candidates = {r["form"]: (r["odds"], r["clean"] / (sizes[0] + 1)) for r in likely.orderBy(F.desc("toxic"), F.desc("odds"), "form").limit(CANDIDATES).collect()}
         documents = [r[0] for r in drawn.where("label = 1").mapInPandas(_held_forms(frozenset(candidates)), "forms array<string>").collect()]
-        learned = {f: min(2.0, candidates[f][0] / MIN_LOG_ODDS) for f in _cover(candidates, documents)}
+        learned = {f: min(2.0, candidates[f][0] / UNIT_LOG_ODDS) for f in _cover(candidates, documents)}
         lexicon = Lexicon(given | learned)
 
         def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelforge.llm import ann, decontam, jaccard, langid, packing, pii, quality, substring_dedup, toxicity, url_reputation
 from panelforge.llm.components import components
 from panelforge.llm.fm_index import FMIndex
-from panelforge.llm.grammar import BOUNDARY, INSULT, NEGATION, OTHER, REPORT, TARGET, clause_scores
+from panelforge.llm.grammar import BOUNDARY, INSULT, INTENT, NEGATION, OTHER, REPORT, SYMBOLS, TARGET, THREAT, clause_scores
 from panelforge.llm.stored import Scratch
 from panelforge.llm.suffix_sort import permuted_lcp, suffix_array
 
@@ -216,6 +216,35 @@ def test_grammar_weighs_context():
     assert one(TARGET, OTHER, INSULT)[0] > one(OTHER, INSULT)[0] > one(REPORT, INSULT)[0]
     assert one(NEGATION, BOUNDARY, INSULT) == one(OTHER, INSULT)
     assert one(OTHER, TARGET) == []
+    assert one(INTENT, THREAT, TARGET)[0] > one(THREAT)[0] > one(NEGATION, THREAT)[0]
+    assert one(INSULT, INSULT)[0] > 2 * one(INSULT)[0]
+
+
+def plain_clauses(symbols, weights):
+    """Each scored word's weight times what every view makes of the words before it in its clause."""
+    scores, clause = [], []
+    for symbol, weight in [*zip(symbols, weights, strict=True), (BOUNDARY, 0.0)]:
+        if symbol != BOUNDARY:
+            clause.append((symbol, weight))
+            continue
+        total = 0.0
+        for i, (x, w) in enumerate(clause):
+            if x in (INSULT, THREAT):
+                before = [y for y, _ in clause[:i]]
+                w *= (1.0, 1.25, 1.5)[min(2, before.count(INSULT))] if x == INSULT else 1.0 if INTENT in before[-4:] else 0.4
+                total += w * (1.5 if TARGET in before else 1) * (0.25 if NEGATION in before[-3:] else 1) * (0.5 if REPORT in before else 1)
+        if any(x in (INSULT, THREAT) for x, _ in clause):
+            scores.append(total)
+        clause = []
+    return scores
+
+
+def test_grammar_matches_plain_rules():
+    rng = random.Random(5)
+    for _ in range(300):
+        symbols = [rng.choice(SYMBOLS) for _ in range(rng.randint(0, 30))]
+        weights = [rng.uniform(0.3, 2) for _ in symbols]
+        assert np.allclose(clause_scores(symbols, weights), plain_clauses(symbols, weights))
 
 
 def labelled(spark, rows):
