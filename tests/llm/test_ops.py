@@ -180,13 +180,20 @@ def plain_classes(texts, k, percent):
     return [(i, len(sets[i]), root(i)) for i in range(len(sets))]
 
 
+def test_jaccard_of_text_keys(spark):
+    rows = spark.createDataFrame([("b", "v w x y z", 1), ("a", "v w x y z", 1), ("c", "other words here", 1), (None, "v w x y z", 1)], "name string, text string, n int")
+    got = {r["name"]: r["component_id"] for r in jaccard.near_duplicate_classes(rows, key="name").collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", None: None}
+
+
 @pytest.mark.parametrize("crowd", [4096, 4])
 def test_jaccard_classes_match_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard, "CROWD", crowd)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = random.Random(1)
     base = [prose(rng, 60) for _ in range(6)]
-    texts = [None, "", "one", "one", "one two", " \t\n"]
+    base += [" ".join(base[0].split()[:n]) for n in (56, 50, 44)]
+    texts = [None, "", "one", "one", "one two", " \t\n", prose(rng, 30_000)]
     for b in base:
         for _ in range(7):
             w = b.split()
