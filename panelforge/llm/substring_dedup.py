@@ -14,8 +14,9 @@ The rest, where texts agree in part of a segment, goes to shards by core with on
 settled segment.  In a shard, a suffix array built by induced sorting and its permuted common
 prefixes show which windows, of either length, begin in more than one place.
 
-A shard is bounded.  A core with more than ``CROWD`` segments is taken out of the shards; its
-windows are compared singly, by an aggregated count of their hashes.
+A shard is bounded.  A core with more than ``CROWD`` segments is split: windows ``STRIDE`` places or fewer apart
+from each other before the anchor share more text than the core, and that text is their key instead.  Where even
+such a part has more than ``CROWD`` segments, its windows are compared singly, by an aggregated count of their hashes.
 
 Texts are told apart by 128-bit hashes, so that equal texts count as different places and are
 settled as whole segments.  Defined results: null and empty texts have no bytes; a text shorter
@@ -53,6 +54,7 @@ CORE = PASSAGE - SPREAD + 1
 REPEATED, SHARED = 1, 2
 SHARD_BYTES = 768 << 10
 CROWD = 1500
+STRIDE = 16
 #: Window starts of one text handled at once.
 PIECE = 1 << 20
 
@@ -112,6 +114,16 @@ def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield joined()
 
 
+def _parted(data: bytes, core: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """Key, first and last window start of the parts of a segment: windows at up to STRIDE places before the anchor."""
+    anchor = first + int(anchored(np.frombuffer(data, np.uint8, PASSAGE, first))[0][0])
+    for near in range(0, SPREAD, STRIDE):
+        a, b = max(first, anchor - near - STRIDE + 1), min(last, anchor - near)
+        if a <= b:
+            common = data[anchor - near : anchor - near - STRIDE + 1 + PASSAGE]
+            yield int.from_bytes(hashlib.blake2b(common, digest_size=8, key=f"{core} {near}".encode()).digest(), "big", signed=True), a, b
+
+
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of each wanted segment of a text."""
     columns = ["k1", "k2", "core", "crowded", "first", "last", "bytes"]
@@ -119,7 +131,9 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for k1, k2, text, wanted in zip(frame["k1"], frame["k2"], frame["text"], frame["wanted"], strict=True):
             data = text.encode()
-            rows += [(k1, k2, w["core"], w["crowded"], w["first"], w["last"], data[w["first"] : w["last"] + LENGTH]) for w in wanted]
+            for w in wanted:
+                whole = [(w["core"], w["first"], w["last"])]
+                rows += [(k1, k2, key, w["crowded"], a, b, data[a : b + LENGTH]) for key, a, b in (_parted(data, *whole[0]) if w["crowded"] else whole)]
             if len(rows) >= BATCH_ROWS // 10:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
@@ -285,7 +299,9 @@ class Repeats:
         with filtered:
             cut = texts.select(*KEY, F.col("__text").alias("text"), "wanted").mapInPandas(_cut, "k1 long, k2 long, core long, crowded boolean, first int, last int, bytes binary")
             # Equal texts bring the same segments; one is kept.
-            cut = scratch.store(cut.groupBy(*KEY, "core", "crowded", "first", "last").agg(F.first("bytes").alias("bytes")))
+            once = scratch.store(cut.groupBy(*KEY, "core", "crowded", "first", "last").agg(F.first("bytes").alias("bytes")))
+        parts = once.where("crowded").groupBy("core").agg((F.count(F.lit(1)) > CROWD).alias("crowded"))
+        cut = once.where("not crowded").unionByName(once.where("crowded").drop("crowded").join(parts, "core"))
         size = cut.where("not crowded").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
         shards = max(1, math.ceil(size / SHARD_BYTES))
         shard = F.pmod(F.xxhash64(F.lit(3), "core"), F.lit(shards)).alias("shard")
@@ -299,7 +315,7 @@ class Repeats:
         marks = settled.unionByName(whole).unionByName(found).unionByName(crowded)
         # A set, as copies of a text bring the same ranges.
         out = scratch.store(marks.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "kind")).alias("spans")))
-        scratch.drop(shared, segments, whole, wanted, cut, single)
+        scratch.drop(shared, segments, whole, wanted, once, single)
         return out
 
     def removed(self, *keep: str, kept: bool = True) -> DataFrame:

@@ -354,7 +354,7 @@ def test_suffix_array_and_prefixes():
             assert lcp[a] == k
 
 
-@pytest.mark.parametrize("crowd", [1500, 1])
+@pytest.mark.parametrize("crowd", [1500, 2, 1])
 def test_repeats_match_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
     rng = random.Random(6)
