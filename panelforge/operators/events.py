@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.ordered import over_last
+
 
 def next_sessions(calendar: DataFrame) -> DataFrame:
     """day, session: for every day up to the calendar's end the first session on or after it."""
@@ -40,10 +42,15 @@ def last_event_asof(calendar: DataFrame, events: DataFrame, value: str = "surpri
 
 
 def standardised_surprise(events: DataFrame, n: int | None = None) -> DataFrame:
-    """Surprise over the deviation of the type's earlier surprises, all or the last n of them."""
-    order = Window.partitionBy("event_type").orderBy("event_ts", "event_id")
-    past = order.rowsBetween(Window.unboundedPreceding if n is None else -n, -1)
-    return events.withColumn("surprise_std", F.try_divide("surprise", F.stddev_samp("surprise").over(past)))
+    """Surprise over the deviation of the type's earlier surprises, all or the last n of them.
+
+    With n, a type's events are ordered in slices; without, each type is one running window.
+    """
+    spread = lambda w: F.try_divide("surprise", F.stddev_samp("surprise").over(w))
+    if n is None:
+        past = Window.partitionBy("event_type").orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+        return events.withColumn("surprise_std", spread(past))
+    return over_last(events, "event_type", F.to_date("event_ts"), ("event_ts", "event_id"), n, {"surprise_std": spread})
 
 
 def event_distance(calendar: DataFrame, events: DataFrame, cap: int = 30, date: str = "session") -> DataFrame:
