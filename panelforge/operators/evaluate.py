@@ -62,10 +62,29 @@ def calibration_fixed(rows: DataFrame, p: str, y: str, by: Sequence[str] = (), w
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(y).cast("int")).alias("realized"))
 
 
+def quantiles(rows: DataFrame, p: str, bins: int) -> DataFrame:
+    """i and edge, the interpolated i-th of ``bins`` quantiles of a score in [0, 1], exact.
+
+    Scores are counted, and the counts ordered in slices, as for the AUC: no task holds all of them.
+    """
+    counts = rows.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__slice", F.floor(F.col("__p") * SLICES))
+    totals = counts.groupBy("__slice").agg(F.sum("__n").alias("__all"))
+    lower = F.coalesce(F.sum("__all").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("__slice", lower.alias("__below"))
+    within = F.coalesce(F.sum("__n").over(Window.partitionBy("__slice").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.col("__below") + within
+    ranked = counts.join(F.broadcast(offsets), "__slice").select("__p", first.alias("__first"), (first + F.col("__n")).alias("__end"))
+    places = rows.sparkSession.range(bins + 1).join(F.broadcast(totals.agg(F.sum("__all").alias("__total"))))
+    places = places.select(F.col("id").alias("i"), (F.col("id") / bins * (F.col("__total") - 1)).alias("__at"))
+    wanted = places.select("i", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__place"))
+    met = ranked.join(F.broadcast(wanted), (F.col("__place") >= F.col("__first")) & (F.col("__place") < F.col("__end")))
+    low, share = F.min_by("__p", "__place"), F.first("__at") - F.min("__place")
+    return met.groupBy("i").agg(((1 - share) * low + share * F.max_by("__p", "__place")).alias("edge"))
+
+
 def calibration_quantile(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """The same over bins of equal counts, pooled: interpolated quantile edges, repeated ones merged, closed on the right."""
-    at = ", ".join(f"{i}D/{bins}" for i in range(bins + 1))
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile({p}, array({at}))")).alias("edges"))
+    edges = quantiles(rows, p, bins).agg(F.array_distinct(F.array_sort(F.collect_list("edge"))).alias("edges"))
     above = F.size(F.filter("edges", lambda e: e < F.col(p)))
     binned = rows.join(F.broadcast(edges)).withColumn("bin", F.greatest(above - 1, F.lit(0)))
     return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(y).cast("int")).alias("realized"))
