@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CALIBRATION_SHARE = 0.2
 
@@ -17,46 +17,55 @@ CALIBRATION_SHARE = 0.2
 def calibration_slice(rows: DataFrame, share: float = CALIBRATION_SHARE) -> DataFrame:
     """Training rows of the latest ``share`` of each fold's training dates."""
     train = rows.where("role = 'train'")
-    cut = train.groupBy("fold").agg(F.percentile_approx(F.datediff("trading_date", F.lit("1970-01-01")), 1 - share, 100000).alias("cut"))
-    return train.join(F.broadcast(cut), "fold").where(F.datediff("trading_date", F.lit("1970-01-01")) > F.col("cut")).drop("cut")
+    dates = train.select("fold", "trading_date").distinct()
+    latest = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("trading_date"))) <= share * F.count(F.lit(1)).over(Window.partitionBy("fold"))
+    first = dates.withColumn("latest", latest).where("latest").groupBy("fold").agg(F.min("trading_date").alias("__first"))
+    return train.join(F.broadcast(first), "fold").where(F.col("trading_date") >= F.col("__first")).drop("__first")
 
 
-def _logit(p: str):
-    c = F.least(F.greatest(F.col(p), F.lit(1e-9)), F.lit(1 - 1e-9))
+def _logit(p: Column) -> Column:
+    c = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     return F.log(c / (1 - c))
 
 
-def fit_platt(rows: DataFrame, p: str, y: str):
-    """A logistic map of the score, without penalty."""
-    scores = rows.select(_logit(p).alias("score"), F.col(y).cast("double").alias("label"))
-    return LogisticRegression(regParam=0.0, tol=1e-9, maxIter=200).fit(VectorAssembler(inputCols=["score"], outputCol="features").transform(scores))
+def fit_platt(rows: DataFrame, p: str, y: str) -> tuple[list[float], list[float]]:
+    """A logistic map of the score, without penalty: its intercept and slope."""
+    scores = rows.select(_logit(F.col(p)).alias("score"), F.col(y).cast("double").alias("label"))
+    model = LogisticRegression(regParam=0.0, tol=1e-9, maxIter=200).fit(VectorAssembler(inputCols=["score"], outputCol="features").transform(scores))
+    return [model.intercept], model.coefficients.toArray().tolist()
 
 
-def apply_platt(rows: DataFrame, model, p: str, out: str = "p_calibrated") -> DataFrame:
-    scored = VectorAssembler(inputCols=["__score"], outputCol="features").transform(rows.withColumn("__score", _logit(p)))
-    return model.transform(scored).withColumn(out, vector_to_array("probability")[1]).drop("__score", "features", "rawPrediction", "probability", "prediction")
+def apply_platt(p: Column, intercept: Column, slope: Column) -> Column:
+    return 1 / (1 + F.exp(-(intercept[0] + slope[0] * _logit(p))))
 
 
-def fit_isotonic(rows: DataFrame, p: str, y: str):
-    """A monotone map of the score."""
+def fit_isotonic(rows: DataFrame, p: str, y: str) -> tuple[list[float], list[float]]:
+    """A monotone map of the score: rising scores and the values at them."""
     scores = rows.select(F.col(p).alias("features"), F.col(y).cast("double").alias("label"))
-    return IsotonicRegression(isotonic=True).fit(scores)
+    model = IsotonicRegression(isotonic=True).fit(scores)
+    return model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()
 
 
-def apply_isotonic(rows: DataFrame, model, p: str, out: str = "p_calibrated") -> DataFrame:
-    return model.transform(rows.withColumn("features", F.col(p))).withColumnRenamed("prediction", out).drop("features")
+def apply_isotonic(p: Column, at: Column, values: Column) -> Column:
+    """Linear between the scores, constant beyond the first and last."""
+    below = F.size(F.filter(at, lambda b: b <= p))
+    low, high = F.greatest(below - 1, F.lit(0)), F.least(below, F.size(at) - 1)
+    a, b = F.get(at, low), F.get(at, high)
+    share = F.when(b > a, F.greatest((p - a) / (b - a), F.lit(0.0))).otherwise(0.0)
+    return F.get(values, low) + share * (F.get(values, high) - F.get(values, low))
 
 
 def calibrate_folds(rows: DataFrame, fit: Callable, apply: Callable, p: str, y: str) -> DataFrame:
     """Test rows of every fold with ``p_calibrated``, by a map fitted on the latest slice of that fold's own training rows.
 
-    Folds are looped over as in walk_forward; rows and slices are kept meanwhile.
+    Folds are looped over as in walk_forward; the slices are kept meanwhile.  All folds' test rows are then mapped in one pass.
     """
-    kept = rows.persist()
-    latest = calibration_slice(kept).persist()
-    out = None
-    for fold in sorted(r[0] for r in kept.select("fold").distinct().collect()):
-        model = fit(latest.where(F.col("fold") == fold), p, y)
-        part = apply(kept.where((F.col("fold") == fold) & (F.col("role") == "test")), model, p)
-        out = part if out is None else out.unionByName(part)
-    return out
+    latest = calibration_slice(rows).persist()
+    try:
+        folds = sorted(r[0] for r in latest.select("fold").distinct().collect())
+        maps = [(fold, *fit(latest.where(F.col("fold") == fold), p, y)) for fold in folds]
+    finally:
+        latest.unpersist()
+    fitted = rows.sparkSession.createDataFrame(maps, "fold int, __a array<double>, __b array<double>")
+    test = rows.where("role = 'test'").join(F.broadcast(fitted), "fold")
+    return test.withColumn("p_calibrated", apply(F.col(p), F.col("__a"), F.col("__b"))).drop("__a", "__b")

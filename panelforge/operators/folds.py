@@ -30,12 +30,10 @@ def fold_bounds(n: int, n_folds: int = N_FOLDS, initial: float = INITIAL, embarg
 
 def generate_folds(dataset: DataFrame, n_folds: int = N_FOLDS, initial: float = INITIAL, embargo: int = EMBARGO, train_window: int | None = None) -> DataFrame:
     """fold, train_start, train_end, test_start, test_end; training windows expand unless ``train_window`` fixes their length."""
-    calendar = trading_calendar(dataset).persist()
-    bounds = fold_bounds(calendar.count(), n_folds, initial, embargo, train_window)
-    at = [(f, name, i) for f, *indices in bounds for name, i in zip(("train_start", "train_end", "test_start", "test_end"), indices, strict=True)]
-    wanted = dataset.sparkSession.createDataFrame(at, "fold int, name string, idx int")
-    date = lambda name: F.max(F.when(F.col("name") == name, F.col("trading_date"))).alias(name)
-    return calendar.join(F.broadcast(wanted), "idx").groupBy("fold").agg(*map(date, ("train_start", "train_end", "test_start", "test_end")))
+    # A calendar has a row for each day at most; the folds are cut from it on the driver.
+    dates = [r[0] for r in trading_calendar(dataset).orderBy("idx").select("trading_date").collect()]
+    bounds = fold_bounds(len(dates), n_folds, initial, embargo, train_window)
+    return dataset.sparkSession.createDataFrame([(f, *(dates[i] for i in indices)) for f, *indices in bounds], "fold int, train_start date, train_end date, test_start date, test_end date")
 
 
 def split(rows: DataFrame, folds: DataFrame) -> DataFrame:

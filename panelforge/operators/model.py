@@ -61,17 +61,22 @@ def score(rows: DataFrame, model: LogisticRegressionModel, out: str) -> DataFram
 def walk_forward(dataset: DataFrame, folds: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Predictions of every fold's test rows: fold, asset_id, trading_date, p_up, p_large_move, signal.
 
-    Folds are a handful and each fit is a distributed job, so they are looped over; the prepared rows are kept meanwhile.
+    Folds are a handful and each fit is a distributed job, so they are looped over; the training rows are kept
+    meanwhile.  All folds' test rows are then scored in one pass by the fitted coefficients.
     """
-    rows = prepared(dataset, folds, features).persist()
-    out = None
-    for fold in sorted(r[0] for r in folds.select("fold").collect()):
-        train, test = rows.where((F.col("fold") == fold) & (F.col("role") == "train")), rows.where((F.col("fold") == fold) & (F.col("role") == "test"))
-        for p, target in TARGETS.items():
-            test = score(test, fit_logistic(train, target), p)
-        part = test.select("fold", "asset_id", "trading_date", *TARGETS, signal(F.col("p_up")).alias("signal"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = prepared(dataset, folds, features)
+    train = rows.where("role = 'train'").persist()
+    try:
+        fitted = []
+        for fold in sorted(r[0] for r in folds.select("fold").collect()):
+            models = [fit_logistic(train.where(F.col("fold") == fold), target) for target in TARGETS.values()]
+            fitted.append((fold, *([m.intercept, *m.coefficients.toArray().tolist()] for m in models)))
+    finally:
+        train.unpersist()
+    fits = dataset.sparkSession.createDataFrame(fitted, "fold int, " + ", ".join(f"__{p} array<double>" for p in TARGETS))
+    linear = lambda p: sum((F.col(f"__{p}")[i + 1] * F.col(f) for i, f in enumerate(features)), F.col(f"__{p}")[0])
+    test = rows.where("role = 'test'").join(F.broadcast(fits), "fold").withColumns({p: logistic(linear(p)) for p in TARGETS})
+    return test.select("fold", "asset_id", "trading_date", *TARGETS, signal(F.col("p_up")).alias("signal"))
 
 
 def model_runs(folds: DataFrame, name: str = "logreg", feature_set: str = "v1", commit: str | None = None) -> DataFrame:
