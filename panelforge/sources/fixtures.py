@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from panelforge.operators.ordered import over_last
 from panelforge.sources.tables import table
 
-#: Events of a macro calendar: one type, every eleventh order.
-MACRO_TYPE, MACRO_EVERY = "1-URGENT", 11
-
 
 def raw_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One asset for each supplier, with gaps in asset_type and currency."""
@@ -46,8 +43,8 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.join(names, "l_suppkey").select("symbol", "trading_date", "open", "high", "low", "close", "adj_close", "volume", F.lit("lineitem").alias("source"))
 
 
-def raw_events(spark: SparkSession, sf_dir: str, macro: bool = True) -> DataFrame:
-    """Events from orders: with ``macro`` one type's sparse calendar, otherwise all."""
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event for each order, of as many types as there are priorities."""
     key = F.col("o_orderkey")
     hours = F.make_dt_interval(hours=key % 24, mins=key % 60)
     forecast = F.when(key % 10 == 0, F.lit(None)).when(key % 10 == 1, F.lit(0.0)).otherwise(F.col("o_totalprice") * (1 + ((key % 7) - 3) / F.lit(100.0)))
@@ -60,14 +57,21 @@ def raw_events(spark: SparkSession, sf_dir: str, macro: bool = True) -> DataFram
         forecast.alias("forecast"),
         F.concat(F.lit("  Order "), key.cast("string"), F.lit(" ")).alias("raw_text"),
     )
-    if macro:
-        events = events.where((F.col("event_type") == MACRO_TYPE) & (F.col("event_id") % MACRO_EVERY == 0))
-    order = Window.partitionBy("event_type").orderBy("event_ts", "event_id")
-    return events.withColumn("previous", F.lag("actual").over(order))
+    # The value before: over the one row before, as a window of slices.
+    return over_last(events, "event_type", F.to_date("event_ts"), ("event_ts", "event_id"), 1, {"previous": lambda w: F.first("actual").over(w)})
+
+
+def _ticks(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("asset_id"), F.col("ts").cast("timestamp").alias("ts"), (100 + F.col("value") / 100).alias("price"), F.col("event_id").alias("tick_id"))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset_id, ts, price and tick_id of the event stream."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("asset_id"), F.col("ts").cast("timestamp").alias("ts"), (100 + F.col("value") / 100).alias("price"), F.col("event_id").alias("tick_id")
-    )
+    return _ticks(table(spark, sf_dir, "events"))
+
+
+def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files."""
+    declared = table(spark, sf_dir, "events").schema
+    found = spark.readStream.schema(declared).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return _ticks(found.parquet(f"{sf_dir}/event[s].parquet"))

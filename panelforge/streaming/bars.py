@@ -28,8 +28,8 @@ def dedupe_bars(stream: DataFrame, watermark: str = WATERMARK, at: str = "ts") -
     return stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["asset_id", "trading_date"])
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """All there is now, through an in-memory sink."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """What the stream gives of all there is now, written to a folder with its checkpoint beside it, and read again."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
