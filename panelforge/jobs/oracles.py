@@ -100,15 +100,21 @@ CTE = {
     "summaries": _summary("curves"),
     "copied": "SELECT * FROM prices UNION ALL SELECT * REPLACE ('COPY ' || symbol AS symbol) FROM prices WHERE right(symbol, 2) IN ('00', '50')",
     "series": "SELECT symbol, count(*) AS n, md5(string_agg(coalesce(CAST(close AS VARCHAR), '') || '|' || coalesce(CAST(volume AS VARCHAR), ''), ',' ORDER BY trading_date)) AS fp FROM copied GROUP BY symbol",
-    "ev_all": f"SELECT *, lag(actual) OVER (PARTITION BY event_type ORDER BY event_ts, event_id) AS previous, actual - forecast AS surprise FROM (SELECT {_EVENT_COLUMNS} FROM orders)",
-    "ev": f"SELECT *, actual - forecast AS surprise FROM (SELECT {_EVENT_COLUMNS} FROM orders) WHERE event_type = '1-URGENT' AND event_id % 11 = 0",
+    "ev": f"SELECT *, lag(actual) OVER (PARTITION BY event_type ORDER BY event_ts, event_id) AS previous, actual - forecast AS surprise FROM (SELECT {_EVENT_COLUMNS} FROM orders)",
     "pcal": "SELECT trading_date, row_number() OVER (ORDER BY trading_date) - 1 AS idx FROM (SELECT DISTINCT trading_date FROM prices)",
     # Eastern time by the rule in force through the tables' years: from the first Sunday of April to the last of October.
     "loc": """SELECT *, event_ts - CASE WHEN event_ts >= make_date(year(event_ts), 4, 1) + CAST((7 - dayofweek(make_date(year(event_ts), 4, 1))) % 7 AS INTEGER) + to_hours(7)
       AND event_ts < make_date(year(event_ts), 10, 31) - CAST(dayofweek(make_date(year(event_ts), 10, 31)) AS INTEGER) + to_hours(6) THEN to_hours(4) ELSE to_hours(5) END AS local_ts FROM ev""",
     "sess": """SELECT l.*, (SELECT min(trading_date) FROM pcal WHERE trading_date >= coalesce(l.event_date, CAST(l.local_ts AS DATE) + CASE WHEN strftime(l.local_ts, '%H:%M') >= '16:00' THEN 1 ELSE 0 END)) AS session FROM loc l""",
+    "newest": "SELECT event_type, session, arg_max(row(surprise), row(event_ts, event_id)) AS s FROM sess WHERE session IS NOT NULL GROUP BY ALL",
+    "grid": "SELECT c.*, t.event_type FROM pcal c CROSS JOIN (SELECT DISTINCT event_type FROM ev) t",
     "dist": """SELECT trading_date, event_type, CAST(least(idx - max(seen) OVER (PARTITION BY event_type ORDER BY idx), 30) AS INTEGER) AS days_since, CAST(least(min(seen) OVER (PARTITION BY event_type ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - idx, 30) AS INTEGER) AS days_until, seen IS NOT NULL AS is_event_day
-    FROM (SELECT c.*, t.event_type, CASE WHEN s.session IS NOT NULL THEN idx END AS seen FROM pcal c CROSS JOIN (SELECT DISTINCT event_type FROM ev) t LEFT JOIN (SELECT DISTINCT event_type, session FROM sess) s ON s.session = c.trading_date AND s.event_type = t.event_type)""",
+    FROM (SELECT g.*, CASE WHEN s.session IS NOT NULL THEN idx END AS seen FROM grid g LEFT JOIN newest s ON s.session = g.trading_date AND s.event_type = g.event_type)""",
+    "car": """SELECT asset_id, trading_date, CASE WHEN n_est = 55 AND n_win = 11 THEN sum_ret - n_win * alpha - beta * sum_mkt END AS car FROM (
+      SELECT *, count(*) OVER b AS n_est, regr_slope(ret_1d, mkt) OVER b AS beta, regr_intercept(ret_1d, mkt) OVER b AS alpha, count(*) OVER a AS n_win, sum(ret_1d) OVER a AS sum_ret, sum(mkt) OVER a AS sum_mkt
+      FROM (SELECT asset_id, trading_date, ret_1d, avg(ret_1d) OVER (PARTITION BY trading_date) AS mkt FROM feat WHERE ret_1d IS NOT NULL)
+      WINDOW b AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 60 PRECEDING AND 6 PRECEDING), a AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))""",
+    "wide": "SELECT symbol, name FROM assets UNION ALL SELECT c_name, c_name FROM customer",
     "aucs": _aucs("fold"),
     "aucs_symbol": _aucs("fold, symbol"),
 }
@@ -150,14 +156,14 @@ _QUERIES = {
     "training_dataset": f"SELECT asset_id, symbol, trading_date, {_r(*FEATURES, *LABELS[:2])}, y_up_next_day, y_large_move_next FROM ds",
     "settled_bars": "SELECT asset_id, count(*) AS n, max(trading_date) AS last_date FROM bars WHERE trading_date < DATE '2000-06-14' GROUP BY asset_id",
     "validate_summary": """SELECT unnest(['blank_symbols', 'missing_keys', 'negative_values', 'inverted_range', 'future_dates', 'blank_event_types', 'undated_events', 'duplicate_symbols', 'duplicate_prices', 'duplicate_series', 'assets_without_prices', 'orphan_prices']) AS check,
-      unnest([(SELECT count(*) FROM assets WHERE trim(symbol) = ''), (SELECT count(*) FROM early WHERE trim(symbol) = '' OR trading_date IS NULL), (SELECT count(*) FROM early WHERE least(open, high, low, close, adj_close, volume) < 0),
-      (SELECT count(*) FROM early WHERE high < low), (SELECT count(*) FROM early WHERE trading_date > DATE '2000-06-18'), (SELECT count(*) FROM ev WHERE trim(event_type) = ''), (SELECT count(*) FROM ev WHERE event_ts IS NULL AND event_date IS NULL),
-      (SELECT count(*) FROM (SELECT symbol FROM assets GROUP BY symbol HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT symbol, trading_date FROM early GROUP BY ALL HAVING count(*) > 1)),
-      (SELECT count(*) FROM (SELECT n, fp FROM (SELECT symbol, count(*) AS n, md5(string_agg(CAST(close AS VARCHAR) || '|' || CAST(volume AS VARCHAR), ',' ORDER BY trading_date)) AS fp FROM early GROUP BY symbol) GROUP BY n, fp HAVING count(*) > 1)),
-      (SELECT count(*) FROM assets WHERE symbol NOT IN (SELECT symbol FROM early)), (SELECT count(*) FROM early WHERE symbol NOT IN (SELECT symbol FROM assets))]) AS n_violations""",
+      unnest([(SELECT count(*) FROM wide WHERE trim(symbol) = ''), (SELECT count(*) FROM copied WHERE trim(symbol) = '' OR trading_date IS NULL), (SELECT count(*) FROM copied WHERE least(open, high, low, close, adj_close, volume) < 0),
+      (SELECT count(*) FROM copied WHERE high < low), (SELECT count(*) FROM copied WHERE trading_date > DATE '2000-06-18'), (SELECT count(*) FROM ev WHERE trim(event_type) = ''), (SELECT count(*) FROM ev WHERE event_ts IS NULL AND event_date IS NULL),
+      (SELECT count(*) FROM (SELECT symbol FROM wide GROUP BY symbol HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT symbol, trading_date FROM copied GROUP BY ALL HAVING count(*) > 1)),
+      (SELECT count(*) FROM (SELECT n, fp FROM series GROUP BY n, fp HAVING count(*) > 1)),
+      (SELECT count(*) FROM wide WHERE symbol NOT IN (SELECT symbol FROM copied)), (SELECT count(*) FROM copied WHERE symbol NOT IN (SELECT symbol FROM wide))]) AS n_violations""",
     "dup_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "duplicate_series": "SELECT n, string_agg(symbol, ', ' ORDER BY symbol) AS symbols FROM series GROUP BY n, fp HAVING count(*) > 1",
-    "assets_without_prices": "SELECT symbol, name FROM assets WHERE symbol NOT IN (SELECT symbol FROM prices WHERE trading_date < DATE '1995-01-20')",
+    "assets_without_prices": "SELECT symbol, name FROM wide WHERE symbol NOT IN (SELECT symbol FROM prices)",
     "inverted_and_future": "SELECT symbol, trading_date, round(close, 8) AS close FROM prices WHERE trading_date > DATE '2000-06-18' UNION ALL SELECT symbol, trading_date, round(close, 8) AS close FROM prices WHERE high < low",
     "orphan_offenders": "SELECT string_agg(symbol, ', ' ORDER BY symbol) AS offenders FROM (SELECT DISTINCT symbol FROM copied WHERE symbol NOT IN (SELECT symbol FROM assets))",
     "embargo_reach": """SELECT fold, count(*) AS n_test, CAST(count(*) FILTER (reach <= train_end) AS BIGINT) AS n_reaching
@@ -197,62 +203,21 @@ _QUERIES = {
     "assert_out_of_sample": _assert("out_of_sample", "predictions lie in the test window", "preds JOIN folds USING (fold)", "trading_date < test_start OR trading_date > test_end OR trading_date <= train_end"),
     "assert_net_identity": _assert("net_identity", "net = gross - turnover * cost", "curve", "abs(net_return - (gross_return - turnover * cost_bps / 10000)) > 1e-9", "abs(net_return - (gross_return - turnover * cost_bps / 10000))"),
     "assert_events": _assert("events", "sessions exist and follow the release", "sess", "session < CAST(event_ts AS DATE)"),
-    "events_staged": "SELECT event_id, event_type, coalesce(event_date, CAST(event_ts AS DATE)) AS event_date, cleaned_text, round(previous, 8) AS previous, round(surprise, 8) AS surprise, round(surprise / nullif(abs(forecast), 0), 8) AS surprise_pct FROM ev_all",
+    "events_staged": "SELECT event_id, event_type, coalesce(event_date, CAST(event_ts AS DATE)) AS event_date, cleaned_text, round(previous, 8) AS previous, round(surprise, 8) AS surprise, round(surprise / nullif(abs(forecast), 0), 8) AS surprise_pct FROM ev",
     "event_asset_map": "SELECT event_id, asset_id, CAST(1.0 AS DOUBLE) AS weight FROM ev CROSS JOIN assets",
     "event_map_weighted": """SELECT event_id, asset_id, round(w / sum(w) OVER (PARTITION BY event_id), 8) AS weight FROM (SELECT event_id, asset_id, sum(l_extendedprice) AS w
       FROM ev JOIN lineitem ON l_orderkey = event_id JOIN supplier ON l_suppkey = s_suppkey JOIN assets ON symbol = s_name GROUP BY ALL)""",
     "event_effective_session": "SELECT event_id, event_type, session FROM sess",
-    "last_surprise_asof": """SELECT trading_date, et AS event_type, session AS event_date, round(surprise, 8) AS surprise FROM (SELECT c.trading_date, s.session, s.surprise, row_number() OVER (PARTITION BY c.trading_date, t.event_type ORDER BY s.session DESC NULLS LAST, s.event_ts DESC, s.event_id DESC) AS k, t.event_type AS et
-      FROM pcal c CROSS JOIN (SELECT DISTINCT event_type FROM ev) t LEFT JOIN sess s ON s.session <= c.trading_date AND s.event_type = t.event_type) WHERE k = 1""",
-    "surprise_std": "SELECT event_id, round(surprise / nullif(stddev_samp(surprise) OVER (PARTITION BY event_type ORDER BY event_ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 0), 8) AS surprise_std FROM ev_all",
+    "last_surprise_asof": "SELECT g.trading_date, g.event_type, n.session AS event_date, round(n.s[1], 8) AS surprise FROM grid g ASOF LEFT JOIN newest n ON n.event_type = g.event_type AND n.session <= g.trading_date",
+    "surprise_std": "SELECT event_id, round(surprise / nullif(stddev_samp(surprise) OVER (PARTITION BY event_type ORDER BY event_ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 0), 8) AS surprise_std FROM ev",
     "event_day_distance": "SELECT * FROM dist",
-    "event_features": "SELECT ds.trading_date, asset_id, round(mom_20d, 8) AS mom_20d, days_since, days_until, is_event_day, round(CASE WHEN is_event_day THEN mom_20d ELSE 0.0 END, 8) AS mom_20d_event FROM ds LEFT JOIN dist ON dist.trading_date = ds.trading_date AND event_type = '1-URGENT'",
-    "event_car": """SELECT asset_id, trading_date, round(CASE WHEN n_est = 55 AND n_win = 11 THEN sum_ret - n_win * alpha - beta * sum_mkt END, 8) AS car FROM (
-      SELECT *, count(*) OVER b AS n_est, regr_slope(ret_1d, mkt) OVER b AS beta, regr_intercept(ret_1d, mkt) OVER b AS alpha, count(*) OVER a AS n_win, sum(ret_1d) OVER a AS sum_ret, sum(mkt) OVER a AS sum_mkt
-      FROM (SELECT asset_id, trading_date, ret_1d, avg(ret_1d) OVER (PARTITION BY trading_date) AS mkt FROM feat WHERE ret_1d IS NOT NULL)
-      WINDOW b AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 60 PRECEDING AND 6 PRECEDING), a AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-      WHERE trading_date IN (SELECT session FROM sess)""",
-    "event_day_slice": """SELECT trading_date IN (SELECT session FROM sess WHERE session IS NOT NULL) AS is_event_day, count(*) AS n, round(avg(p_large_move), 8) AS predicted, round(avg(CAST(y_large_move_next AS INTEGER)), 8) AS realized, round(avg(pow(p_large_move - CAST(y_large_move_next AS INTEGER), 2)), 8) AS brier FROM preds GROUP BY ALL""",
+    "event_features": "SELECT ds.trading_date, event_type, asset_id, round(mom_20d, 8) AS mom_20d, days_since, days_until, is_event_day, round(CASE WHEN is_event_day THEN mom_20d ELSE 0.0 END, 8) AS mom_20d_event FROM ds LEFT JOIN dist ON dist.trading_date = ds.trading_date",
+    "event_car": "SELECT asset_id, trading_date, event_type, round(car, 8) AS car FROM car JOIN newest ON session = trading_date",
+    "event_day_slice": """SELECT event_type, is_event_day, count(*) AS n, round(avg(p_large_move), 8) AS predicted, round(avg(CAST(y_large_move_next AS INTEGER)), 8) AS realized, round(avg(pow(p_large_move - CAST(y_large_move_next AS INTEGER), 2)), 8) AS brier
+      FROM preds JOIN dist ON dist.trading_date = preds.trading_date GROUP BY ALL""",
     "stream_bars": """SELECT asset_id, trading_date, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, n_ticks FROM (SELECT user_id AS asset_id, CAST(ts AS DATE) AS trading_date, arg_min(100 + value / 100, row(ts, event_id)) AS open, max(100 + value / 100) AS high, min(100 + value / 100) AS low, arg_max(100 + value / 100, row(ts, event_id)) AS close, count(*) AS n_ticks FROM events GROUP BY ALL)
       WHERE trading_date < (SELECT max(CAST(ts AS DATE)) FROM events)""",
 }
-# Every order as an event.
-CTE |= {
-    "loc_all": CTE["loc"].replace("FROM ev", "FROM ev_all"),
-    "sess_all": CTE["sess"].replace("FROM loc ", "FROM loc_all "),
-    "newest_all": "SELECT event_type, session, arg_max(row(surprise), row(event_ts, event_id)) AS s FROM sess_all WHERE session IS NOT NULL GROUP BY ALL",
-    "grid_all": "SELECT c.*, t.event_type FROM pcal c CROSS JOIN (SELECT DISTINCT event_type FROM ev_all) t",
-    "dist_all": """SELECT trading_date, event_type, CAST(least(idx - max(seen) OVER (PARTITION BY event_type ORDER BY idx), 30) AS INTEGER) AS days_since, CAST(least(min(seen) OVER (PARTITION BY event_type ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - idx, 30) AS INTEGER) AS days_until, seen IS NOT NULL AS is_event_day
-    FROM (SELECT g.*, CASE WHEN s.session IS NOT NULL THEN idx END AS seen FROM grid_all g LEFT JOIN newest_all s ON s.session = g.trading_date AND s.event_type = g.event_type)""",
-    "car_all": """SELECT asset_id, trading_date, CASE WHEN n_est = 55 AND n_win = 11 THEN sum_ret - n_win * alpha - beta * sum_mkt END AS car FROM (
-      SELECT *, count(*) OVER b AS n_est, regr_slope(ret_1d, mkt) OVER b AS beta, regr_intercept(ret_1d, mkt) OVER b AS alpha, count(*) OVER a AS n_win, sum(ret_1d) OVER a AS sum_ret, sum(mkt) OVER a AS sum_mkt
-      FROM (SELECT asset_id, trading_date, ret_1d, avg(ret_1d) OVER (PARTITION BY trading_date) AS mkt FROM feat WHERE ret_1d IS NOT NULL)
-      WINDOW b AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 60 PRECEDING AND 6 PRECEDING), a AS (PARTITION BY asset_id ORDER BY trading_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))""",
-}
-_QUERIES |= {
-    "assert_events_all": _assert("events", "sessions exist and follow the release", "sess_all", "session < CAST(event_ts AS DATE)"),
-    "event_asset_map_all": "SELECT event_id, asset_id, CAST(1.0 AS DOUBLE) AS weight FROM ev_all CROSS JOIN assets",
-    "event_map_weighted_all": """SELECT event_id, asset_id, round(w / sum(w) OVER (PARTITION BY event_id), 8) AS weight FROM (SELECT event_id, asset_id, sum(l_extendedprice) AS w
-      FROM ev_all JOIN lineitem ON l_orderkey = event_id JOIN supplier ON l_suppkey = s_suppkey JOIN assets ON symbol = s_name GROUP BY ALL)""",
-    "event_effective_session_all": "SELECT event_id, event_type, session FROM sess_all",
-    "last_surprise_asof_all": "SELECT g.trading_date, g.event_type, n.session AS event_date, round(n.s[1], 8) AS surprise FROM grid_all g ASOF LEFT JOIN newest_all n ON n.event_type = g.event_type AND n.session <= g.trading_date",
-    "event_day_distance_all": "SELECT * FROM dist_all",
-    "event_features_all": "SELECT ds.trading_date, event_type, asset_id, round(mom_20d, 8) AS mom_20d, days_since, days_until, is_event_day, round(CASE WHEN is_event_day THEN mom_20d ELSE 0.0 END, 8) AS mom_20d_event FROM ds LEFT JOIN dist_all ON dist_all.trading_date = ds.trading_date",
-    "event_car_all": "SELECT asset_id, trading_date, event_type, round(car, 8) AS car FROM car_all JOIN newest_all ON session = trading_date",
-    "event_day_slice_all": """SELECT event_type, is_event_day, count(*) AS n, round(avg(p_large_move), 8) AS predicted, round(avg(CAST(y_large_move_next AS INTEGER)), 8) AS realized, round(avg(pow(p_large_move - CAST(y_large_move_next AS INTEGER), 2)), 8) AS brier
-      FROM preds JOIN dist_all ON dist_all.trading_date = preds.trading_date GROUP BY ALL""",
-}
-# Every bar and order, and an asset for each customer.
-CTE["wide"] = "SELECT symbol, name FROM assets UNION ALL SELECT c_name, c_name FROM customer"
-_QUERIES |= {
-    "validate_summary_all": """SELECT unnest(['blank_symbols', 'missing_keys', 'negative_values', 'inverted_range', 'future_dates', 'blank_event_types', 'undated_events', 'duplicate_symbols', 'duplicate_prices', 'duplicate_series', 'assets_without_prices', 'orphan_prices']) AS check,
-      unnest([(SELECT count(*) FROM wide WHERE trim(symbol) = ''), (SELECT count(*) FROM copied WHERE trim(symbol) = '' OR trading_date IS NULL), (SELECT count(*) FROM copied WHERE least(open, high, low, close, adj_close, volume) < 0),
-      (SELECT count(*) FROM copied WHERE high < low), (SELECT count(*) FROM copied WHERE trading_date > DATE '2000-06-18'), (SELECT count(*) FROM ev_all WHERE trim(event_type) = ''), (SELECT count(*) FROM ev_all WHERE event_ts IS NULL AND event_date IS NULL),
-      (SELECT count(*) FROM (SELECT symbol FROM wide GROUP BY symbol HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT symbol, trading_date FROM copied GROUP BY ALL HAVING count(*) > 1)),
-      (SELECT count(*) FROM (SELECT n, fp FROM series GROUP BY n, fp HAVING count(*) > 1)),
-      (SELECT count(*) FROM wide WHERE symbol NOT IN (SELECT symbol FROM copied)), (SELECT count(*) FROM copied WHERE symbol NOT IN (SELECT symbol FROM wide))]) AS n_violations""",
-    "assets_without_prices_all": "SELECT symbol, name FROM wide WHERE symbol NOT IN (SELECT symbol FROM prices)",
-}
 # Joins of predictions, runs and daily results.
 _SCORED = """SELECT fold, a.symbol, p.trading_date, round(p_up, 8) AS p_up, round(p_large_move, 8) AS p_large_move, round(l.ret_fwd_1d, 8) AS ret_fwd_1d, l.y_up_next_day, l.y_large_move_next
       FROM preds p JOIN lab l ON l.asset_id = p.asset_id AND l.trading_date = p.trading_date JOIN assets a ON a.asset_id = p.asset_id WHERE l.ret_fwd_1d IS NOT NULL"""
@@ -262,7 +227,17 @@ _QUERIES |= {
     "backtest_series": """SELECT CAST(1000 + fold * 10 + CASE strategy WHEN 'always_long' THEN 1 WHEN 'direction_threshold' THEN 2 ELSE 3 END AS BIGINT) AS backtest_run_id, CAST(fold AS BIGINT) AS model_run_id, strategy, trading_date, round(net_return, 8) AS net_return, round(cum_return, 8) AS cum_return FROM curve""",
     "model_runs": "SELECT CAST(fold AS BIGINT) AS model_run_id, 'logreg' AS model_name, 'v1' AS feature_set_version, train_start, train_end, test_start, test_end, CAST(NULL AS VARCHAR) AS git_commit FROM folds",
 }
-CTE["early"] = "SELECT * FROM copied WHERE trading_date > DATE '1995-01-20'"
+# Tables that were written and read again.
+_QUERIES |= {
+    "stored_assets": "SELECT s_name AS symbol, s_name AS name, CASE WHEN s_suppkey % 2 <> 0 THEN 'equity' END AS asset_type, CASE WHEN s_suppkey % 3 <> 0 THEN 'EUR' END AS currency, n_name AS exchange, 'supplier' AS source FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
+    "stored_prices": f"SELECT symbol, trading_date, source, {_r(*_PRICE)} FROM prices",
+    "stored_events": """SELECT event_type, event_ts, event_date, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS source, round(actual, 8) AS actual, round(forecast, 8) AS forecast, round(previous, 8) AS previous, '  ' || cleaned_text || ' ' AS raw_text FROM ev""",
+    "vendor_prices": """SELECT 'LINES' AS symbol, 'vendor' AS source, CAST(l_shipdate AS DATE) AS trading_date, count(*) AS n, count(*) FILTER (l_discount <> 0) AS n_adjusted, round(max(l_extendedprice), 8) AS high, round(sum(l_quantity), 8) AS volume FROM lineitem GROUP BY ALL""",
+    "stored_layer": _QUERIES["features_daily"],
+    "stored_runs": f"SELECT CAST(fold + (SELECT max(fold) FROM folds) AS INTEGER) AS model_run_id, strategy, cost_bps, n_days, n_trades, {_r(*_PER, 'expectancy')} FROM summary",
+    "stream_bars_live": _QUERIES["stream_bars"],
+    "stream_days": "SELECT DISTINCT user_id AS asset_id, CAST(ts AS DATE) AS trading_date FROM events",
+}
 _QUERIES["training_dataset_joined"] = _QUERIES["training_dataset"]
 
 ORACLES = {name: _with(sql) for name, sql in _QUERIES.items()}

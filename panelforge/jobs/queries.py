@@ -15,16 +15,16 @@ from panelforge.operators.features import features_daily
 from panelforge.operators.folds import embargo_reach, fold_scalers, generate_folds, split
 from panelforge.operators.labels import labels_daily
 from panelforge.operators.model import fixed_predictions, model_runs, prepared, walk_forward
-from panelforge.schemas import FEATURES, LABELS
+from panelforge.schemas import FEATURES, LABELS, RAW_EVENTS
 from panelforge.sources import fixtures
-from panelforge.sources.tables import table
-from panelforge.streaming.bars import bars_of
+from panelforge.sources.scratch import scratch_path
+from panelforge.sources.tables import append_run, nan_to_null, normalize_prices, number_runs, read_assets, read_events, read_prices, table, write_layer
+from panelforge.streaming.bars import bars_of, dedupe_bars, run_available, stream_bars
 
 PLACES = 8
 AS_OF = date(2000, 6, 15)
 #: One hour after midnight in UTC: still the day before in the market.
 NOW = datetime(2000, 6, 15, 1, 0)
-EVENT_TYPE = "1-URGENT"
 
 
 def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
@@ -63,15 +63,15 @@ class Panel:
     def summary(self) -> DataFrame:
         return backtest.summarize(self.curve())
 
-    def events(self, macro: bool = True) -> DataFrame:
-        return staging.stage_events(fixtures.raw_events(self.spark, self.sf_dir, macro))
+    def events(self) -> DataFrame:
+        return staging.stage_events(fixtures.raw_events(self.spark, self.sf_dir))
 
     def calendar(self) -> DataFrame:
         return trading_calendar(self.raw_prices)
 
-    def sessions(self, macro: bool = True) -> DataFrame:
+    def sessions(self) -> DataFrame:
         """Staged events with their effective session; a stated date counts as the source gave it."""
-        raw = fixtures.raw_events(self.spark, self.sf_dir, macro)
+        raw = fixtures.raw_events(self.spark, self.sf_dir)
         surprise = staging.stage_events(raw).select("event_id", "surprise")
         return events.effective_session(raw.drop("raw_text"), self.calendar()).join(surprise, "event_id")
 
@@ -93,12 +93,7 @@ def _copied(p: Panel) -> DataFrame:
 
 
 def _validated(p: Panel) -> DataFrame:
-    early = _copied(p).where(F.col("trading_date") > "1995-01-20")
-    return validate.validate(p.raw_assets, early, fixtures.raw_events(p.spark, p.sf_dir), AS_OF)
-
-
-def _validated_all(p: Panel) -> DataFrame:
-    return validate.validate(_with_customers(p), _copied(p), fixtures.raw_events(p.spark, p.sf_dir, macro=False), AS_OF)
+    return validate.validate(_with_customers(p), _copied(p), fixtures.raw_events(p.spark, p.sf_dir), AS_OF)
 
 
 def _with_customers(p: Panel) -> DataFrame:
@@ -126,9 +121,10 @@ def _backtest_series(p: Panel) -> DataFrame:
 
 
 def _aucs(p: Panel, *by: str) -> DataFrame:
-    rows = p.predictions().select(*by, "y_up_next_day", "y_large_move_next", "p_up", "p_large_move")
-    up = evaluate.auc(rows, "y_up_next_day", "p_up", by).withColumn("target", F.lit("up"))
-    return up.unionByName(evaluate.auc(rows, "y_large_move_next", "p_large_move", by).withColumn("target", F.lit("large_move")))
+    """Both targets of each prediction as rows, so that predictions are made once."""
+    of = lambda target, y, score: F.struct(F.lit(target).alias("target"), F.col(y).alias("y"), F.col(score).alias("score"))
+    both = F.array(of("up", "y_up_next_day", "p_up"), of("large_move", "y_large_move_next", "p_large_move"))
+    return evaluate.auc(p.predictions().select(*by, F.inline(both)), "y", "score", [*by, "target"])
 
 
 def _symbol_summary(p: Panel) -> DataFrame:
@@ -176,31 +172,21 @@ def _out_of_sample(p: Panel) -> DataFrame:
 
 
 def _event_features(p: Panel) -> DataFrame:
-    one = events.event_distance(p.calendar(), p.sessions()).where(F.col("event_type") == EVENT_TYPE)
-    return events.event_features(p.dataset().select("asset_id", "trading_date", "mom_20d"), one).drop("event_type")
-
-
-def _event_features_all(p: Panel) -> DataFrame:
-    distances = events.event_distance(p.calendar(), p.sessions(macro=False))
+    distances = events.event_distance(p.calendar(), p.sessions())
     return events.event_features(p.dataset().select("asset_id", "trading_date", "mom_20d"), distances)
 
 
-def _event_map(p: Panel, macro: bool = True) -> DataFrame:
+def _event_map(p: Panel) -> DataFrame:
     """Orders as events, weighted by their lines' suppliers."""
     lines = table(p.spark, p.sf_dir, "lineitem")
     keys = table(p.spark, p.sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("symbol")).join(p.assets, "symbol")
     rules = lines.join(keys, "l_suppkey").select(F.col("l_orderkey").alias("event_id"), "asset_id", F.col("l_extendedprice").alias("weight"))
-    return staging.map_events(fixtures.raw_events(p.spark, p.sf_dir, macro), rules)
+    return staging.map_events(fixtures.raw_events(p.spark, p.sf_dir), rules)
 
 
 def _event_slice(p: Panel) -> DataFrame:
-    flags = p.sessions().where("session is not null").select(F.col("session").alias("trading_date"), F.lit(True).alias("is_event_day")).distinct()
-    return evaluate.event_day_slice(p.predictions(), flags, "y_large_move_next", "p_large_move")
-
-
-def _event_slice_all(p: Panel) -> DataFrame:
     """Event days of each type against its other days."""
-    flags = events.event_distance(p.calendar(), p.sessions(macro=False))
+    flags = events.event_distance(p.calendar(), p.sessions())
     return evaluate.event_day_slice(p.predictions(), flags, "y_large_move_next", "p_large_move", ["event_type"])
 
 
@@ -219,7 +205,7 @@ def _proportional(p: Panel) -> DataFrame:
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Panel(spark, sf_dir)
-    dataset = p.dataset().persist()
+    dataset = p.dataset()
     return rounded(walk_forward(dataset, p.folds(dataset)), 6)
 
 
@@ -243,6 +229,66 @@ def _stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.join(F.broadcast(last), F.col("trading_date") < F.col("last")).drop("last"))
 
 
+def _stream_bars_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settled days as the watermarked stream gives them."""
+    return rounded(run_available(stream_bars(fixtures.tick_stream(spark, sf_dir)), scratch_path(spark, "stream")))
+
+
+def _stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which an asset ticked, of a stream that repeats each for every tick."""
+    days = fixtures.tick_stream(spark, sf_dir).select("asset_id", F.to_date("ts").alias("trading_date"), F.date_trunc("day", "ts").alias("ts"))
+    return run_available(dedupe_bars(days), scratch_path(spark, "stream")).select("asset_id", "trading_date")
+
+
+def _through_csv(build: Callable[[Panel], DataFrame], read: Callable[[SparkSession, str], DataFrame]) -> Callable[[Panel], DataFrame]:
+    """A raw table written as CSV and read by its declared schema."""
+
+    def stored(p: Panel) -> DataFrame:
+        path = scratch_path(p.spark, "raw")
+        build(p).write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        return read(p.spark, path)
+
+    return stored
+
+
+def _raw_events(p: Panel) -> DataFrame:
+    lacking = {c: F.lit(None).cast("string") for c in ("title", "country", "source")}
+    columns = [c.split()[0] for c in RAW_EVENTS.split(", ")]
+    return fixtures.raw_events(p.spark, p.sf_dir).withColumns(lacking).select(*columns)
+
+
+def _vendor_prices(p: Panel) -> DataFrame:
+    """Order lines of one day and supplier as a vendor's frame: one bar each, not a number where a discount is zero."""
+    price = lambda c: F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col(c))
+    lines = table(p.spark, p.sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("Date"), *[F.col("l_extendedprice").alias(c) for c in ("Open", "High", "Low", "Close")], price("l_extendedprice").alias("Adj Close"), F.col("l_quantity").alias("Volume")
+    )
+    bars = nan_to_null(normalize_prices(lines, "LINES", "vendor"))
+    return bars.groupBy("symbol", "source", "trading_date").agg(F.count(F.lit(1)).alias("n"), F.count("adj_close").alias("n_adjusted"), F.max("high").alias("high"), F.sum("volume").alias("volume"))
+
+
+def _stored_layer(p: Panel) -> DataFrame:
+    """Features written as a layer, twice, of which the second stays."""
+    path = scratch_path(p.spark, "layer")
+    for _ in range(2):
+        write_layer(features_daily(p.bars()), path)
+    return p.spark.read.parquet(path)
+
+
+def _stored_runs(p: Panel) -> DataFrame:
+    """Two appends of numbered runs and their predictions; the second's, joined to labels and backtested."""
+    runs, path = p.folds().select("fold"), scratch_path(p.spark, "runs")
+    preds = p.predictions().select("fold", "asset_id", "trading_date", "p_up", "p_large_move", "signal")
+    for last in (0, runs.count()):
+        append_run(preds.join(F.broadcast(number_runs(runs, last, ["fold"])), "fold").drop("fold"), path)
+    ids = [r[0] for r in number_runs(runs, runs.count(), ["fold"]).select("model_run_id").collect()]
+    chosen = evaluate.select_runs(p.spark.read.parquet(path), ids).withColumn("model_run_id", F.col("model_run_id").cast("long"))
+    labels = labels_daily(p.bars(), features_daily(p.bars())).select("asset_id", "trading_date", "ret_fwd_1d")
+    scored = evaluate.scored_predictions(chosen, labels, p.assets).withColumn("fold", F.col("model_run_id").cast("int"))
+    positions = backtest.positions(scored).select("fold", "asset_id", "trading_date", "strategy", "position", "ret_fwd_1d")
+    return backtest.summarize(backtest.equity_curve(backtest.daily_portfolio(positions))).withColumnRenamed("fold", "model_run_id")
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over standardised training features: near zero by construction."""
     p = Panel(spark, sf_dir)
@@ -262,10 +308,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_summary": _on(_validated),
     "dup_keys": _on(lambda p: validate.duplicate_keys(table(p.spark, p.sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])),
     "duplicate_series": _on(lambda p: validate.duplicate_series(_copied(p))),
-    "assets_without_prices": _on(lambda p: validate.assets_without_prices(p.raw_assets, p.raw_prices.where(F.col("trading_date") < "1995-01-20")).select("symbol", "name")),
-    # validate_summary and assets_without_prices, which their SQL cuts to some dates, over every bar and event; assets without prices are added.
-    "validate_summary_all": _on(_validated_all),
-    "assets_without_prices_all": _on(lambda p: validate.assets_without_prices(_with_customers(p), p.raw_prices).select("symbol", "name")),
+    "assets_without_prices": _on(lambda p: validate.assets_without_prices(_with_customers(p), p.raw_prices).select("symbol", "name")),
     "inverted_and_future": _on(lambda p: validate.future_dates(p.raw_prices, AS_OF).unionByName(validate.inverted_range(p.raw_prices)).select("symbol", "trading_date", "close")),
     "orphan_offenders": _on(lambda p: validate.offender_list(validate.orphans(_copied(p).select("symbol").distinct(), p.raw_assets, "symbol"), "symbol")),
     "embargo_reach": _on(_embargo),
@@ -303,29 +346,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assert_out_of_sample": _on(_out_of_sample),
     "assert_net_identity": _on(lambda p: assertions.assert_net_identity(p.curve())),
     "assert_events": _on(lambda p: assertions.assert_events(p.sessions(), p.calendar())),
-    "events_staged": _on(lambda p: staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir, macro=False)).select("event_id", "event_type", "event_date", "previous", "surprise", "surprise_pct", "cleaned_text")),
+    "events_staged": _on(lambda p: staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir)).select("event_id", "event_type", "event_date", "previous", "surprise", "surprise_pct", "cleaned_text")),
     "event_asset_map": _on(lambda p: staging.event_asset_map(p.events(), p.assets)),
     "event_map_weighted": _on(_event_map),
     "event_effective_session": _on(lambda p: p.sessions().select("event_id", "event_type", "session")),
     "last_surprise_asof": _on(lambda p: events.last_event_asof(p.calendar(), p.sessions())),
-    "surprise_std": _on(lambda p: events.standardised_surprise(staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir, macro=False)), 50).select("event_id", "surprise_std")),
+    "surprise_std": _on(lambda p: events.standardised_surprise(staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir)), 50).select("event_id", "surprise_std")),
     "event_day_distance": _on(lambda p: events.event_distance(p.calendar(), p.sessions())),
     "event_features": _on(_event_features),
-    "event_car": _on(lambda p: events.event_car(features_daily(p.bars()), p.sessions()).drop("event_type")),
+    "event_car": _on(lambda p: events.event_car(features_daily(p.bars()), p.sessions())),
     "event_day_slice": _on(_event_slice),
-    # The event queries above keep to a macro calendar of one type, as their SQL does; these take every order.
-    "assert_events_all": _on(lambda p: assertions.assert_events(p.sessions(macro=False), p.calendar())),
-    "event_asset_map_all": _on(lambda p: staging.event_asset_map(p.events(macro=False), p.assets)),
-    "event_map_weighted_all": _on(lambda p: _event_map(p, macro=False)),
-    "event_effective_session_all": _on(lambda p: p.sessions(macro=False).select("event_id", "event_type", "session")),
-    "last_surprise_asof_all": _on(lambda p: events.last_event_asof(p.calendar(), p.sessions(macro=False))),
-    "event_day_distance_all": _on(lambda p: events.event_distance(p.calendar(), p.sessions(macro=False))),
-    "event_features_all": _on(_event_features_all),
-    "event_car_all": _on(lambda p: events.event_car(features_daily(p.bars()), p.sessions(macro=False))),
-    "event_day_slice_all": _on(_event_slice_all),
     "scaled_training_means": _prepared,
     "logreg_walkforward": _model,
     "platt": _calibrated(calibrate.fit_platt, calibrate.apply_platt),
     "isotonic": _calibrated(calibrate.fit_isotonic, calibrate.apply_isotonic),
     "stream_bars": _stream_bars,
+    "stream_bars_live": _stream_bars_live,
+    "stream_days": _stream_days,
+    "stored_assets": _on(_through_csv(lambda p: p.raw_assets, read_assets)),
+    "stored_prices": _on(_through_csv(lambda p: p.raw_prices, read_prices)),
+    "stored_events": _on(_through_csv(_raw_events, read_events)),
+    "vendor_prices": _on(_vendor_prices),
+    "stored_layer": _on(_stored_layer),
+    "stored_runs": _on(_stored_runs),
 }

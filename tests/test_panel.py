@@ -144,7 +144,7 @@ def test_stream_gives_settled_days_only(spark, tmp_path):
     ticks = spark.createDataFrame(rows, "asset_id long, ts timestamp, price double, tick_id long")
     ticks.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "in"))
-    got = run_available(stream_bars(stream), "settled", str(tmp_path / "cp"))
+    got = run_available(stream_bars(stream), str(tmp_path / "out"))
     want = bars_of(ticks).where(F.col("trading_date") < "2024-01-03")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
