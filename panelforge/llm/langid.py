@@ -12,11 +12,12 @@ batch of documents is parsed by table lookups, one character of every document a
 are cut into runs of ``RUN`` characters that are parsed side by side; a cut costs each language the
 same fraction of a phrase.
 
-Learning is bounded: ``TRAIN_CHARS`` characters for each language, drawn as the beginnings of at most
-``TRAIN_DOCS`` labelled documents each; prediction reads every whole text.
+Learning is bounded: ``TRAIN_CHARS`` characters for each language, as stretches of equal length of ``TRAIN_DOCS``
+different labelled texts, from a place anywhere in each that its hash chooses; prediction reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
-nothing is labelled.  Rows with null labels teach nothing; a null doc_id is predicted, not held out.
+nothing is labelled.  Rows with null labels teach nothing; a null doc_id is predicted, not held out; repeated rows
+get equal results; an empty table stays empty; columns named like the results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.llm.labelled import held_out
-from panelforge.llm.tables import table
+from panelforge.llm.tables import table, unused
 
 TRAIN_CHARS = 24_000
 TRAIN_DOCS = 120
@@ -163,18 +164,19 @@ class CrossParser:
         return labels, scores
 
 
-def training_text(labelled: DataFrame, text: str, lang: str, key: str) -> dict[str, str]:
-    """Bounded training text of each language, from documents in the order of their ids' hash."""
-    part = F.substring(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}]+", " "), 1, 4 * TRAIN_CHARS // TRAIN_DOCS)
-    useful = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    near = useful.select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.col(key).alias("id"), part.alias("part"))
-    # The limit on the rank is applied in each partition before the exchange, so no task gathers a frequent language.
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "part")))
-    first = ranked.where(F.col("r") <= TRAIN_DOCS)
+def training_text(labelled: DataFrame, text: str, lang: str) -> dict[str, str]:
+    """Bounded training text of each language: a stretch of each of its first texts in the order of their hash."""
+    useful = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # Copies count once.  The limit on the rank is applied before the exchange, so no task gathers a frequent language.
+    ranked = useful.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    drawn = useful.join(F.broadcast(ranked.where(F.col("r") <= TRAIN_DOCS).drop("r")), ["lang", "h"])
+    each = TRAIN_CHARS // TRAIN_DOCS
+    begin = F.pmod("h", F.greatest(F.length("text") - 4 * each, F.lit(0)) + 1) + 1
+    stretches = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", begin.cast("int"), F.lit(4 * each))).alias("part"))
     texts: dict[str, list] = {}
-    for r in first.select("lang", "h", "id", "part").collect():
-        texts.setdefault(r["lang"], []).append((r["h"], r["id"], r["part"]))
-    return {x: " ".join(letters(t) for _, _, t in sorted(parts))[:TRAIN_CHARS] for x, parts in texts.items()}
+    for r in stretches.collect():
+        texts.setdefault(r["lang"], []).append((r["h"], letters(r["part"])[:each]))
+    return {x: " ".join(t for _, t in sorted(parts) if t) for x, parts in texts.items() if any(t for _, t in parts)}
 
 
 _PARSERS: dict[int, CrossParser] = {}
@@ -195,14 +197,15 @@ def identify(df: DataFrame, training: dict[str, str], text: str = "text") -> Dat
             yield pd.DataFrame({"lang_pred": labels, "lang_score": scores})
 
     found = F.pandas_udf(predicted, "lang_pred string, lang_score double")
-    return df.withColumn("__found", found(F.col(text))).withColumns({c: F.col("__found")[c] for c in ("lang_pred", "lang_score")}).drop("__found")
+    held_in = unused(df, "__found")
+    return df.withColumn(held_in, found(F.col(text))).withColumns({c: F.col(held_in)[c] for c in ("lang_pred", "lang_score")}).drop(held_in)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole document."""
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
-    training = training_text(docs.where(~out), "text", "lang", "doc_id")
+    training = training_text(docs.where(~out), "text", "lang")
     return identify(docs.select("doc_id", "text"), training).select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 

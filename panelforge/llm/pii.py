@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.tables import table
+from panelforge.llm.tables import table, unused
 
 #: A span is reported from this score on.
 MIN_SCORE = 0.6
@@ -166,7 +166,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces ``text`` by its masked form; a null text stays null, other columns are kept."""
-    spans = "__pii_spans"
+    spans = unused(df, "__pii_spans")
     return find_spans(df, text, spans).withColumn(text, F.when(F.col(text).isNotNull(), masked(F.col(text), F.col(spans)))).drop(spans)
 
 

@@ -292,7 +292,7 @@ def test_cross_parsing_counts_phrases():
 
 def test_language_of_odd_texts(spark):
     df = spark.createDataFrame([(1, "der die das und nicht", "de"), (2, "the and of with that", "en"), (3, None, None), (4, "123 ½!", None), (5, "and the", None)], "doc_id long, text string, lang string")
-    training = langid.training_text(df, "text", "lang", "doc_id")
+    training = langid.training_text(df, "text", "lang")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, training).collect()}
     assert got == {1: "de", 2: "en", 3: "und", 4: "und", 5: "en"}
     assert {r["lang_pred"] for r in langid.identify(df, {}).collect()} == {"und"}
