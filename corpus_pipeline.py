@@ -5,7 +5,9 @@ Each stage's output is written as Parquet to the shared folder and read as the n
 columns of documents.
 
 Rows without a doc_id pass every stage; nothing can be linked to them.  Rows with one id and one text are
-one document, of which one stays.
+one document, of which one stays.  A null or empty text is judged by its quality score like any other, is in no class,
+holds no benchmark text and no personal data, and has no piece in the packing.  Texts of any length are read whole; an
+empty table passes through; further columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,19 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.decontam import contaminated, find_contamination
+from panelforge.llm.decontam import RESULTS, contaminated, find_contamination
 from panelforge.llm.jaccard import near_duplicate_classes
 from panelforge.llm.packing import pack, token_count
 from panelforge.llm.pii import redact
 from panelforge.llm.quality import fit_quality, learning_labels, score_quality
 from panelforge.llm.stored import Scratch
-from panelforge.llm.tables import table
+from panelforge.llm.tables import table, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = fit_quality(docs, learning_labels(table(spark, sf_dir, "labels"), "quality"))
-    return score_quality(docs, model, out="__score").where("__score >= 0.5").select(*docs.columns)
+    score = unused(docs, "__score")
+    return score_quality(docs, model, out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,20 +36,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = near_duplicate_classes(docs.select("doc_id", "text"), k=5, percent=80)
     extra = classes.where("doc_id <> component_id").select("doc_id")
     kept = docs.join(extra, "doc_id", "left_anti")
-    named = kept.where("doc_id is not null").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    hashed = unused(docs, "__text")
+    named = kept.where("doc_id is not null").withColumn(hashed, F.xxhash64("text")).dropDuplicates(["doc_id", hashed])
     return named.select(*docs.columns).unionByName(kept.where("doc_id is null").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns)
+    aside = {c: unused(docs, f"{c}_kept") for c in docs.columns if c.lower() in RESULTS}
+    renamed = docs.withColumnsRenamed(aside)
+    found = find_contamination(renamed, table(spark, sf_dir, "benchmark"), carry=renamed.columns)
     _, bad = contaminated(F.col("__spans"), F.col("__n_words"))
-    return found.where(~bad).select(*docs.columns)
+    return found.where(~bad).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    masked = redact(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
