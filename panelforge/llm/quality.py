@@ -10,7 +10,8 @@ The model is fitted on a bounded sample: at most ``BAGS_PER_CLASS`` documents of
 
 Defined results: null, empty and blank texts are one passage of zeros and get a score; without
 labels of both classes every score is the base rate (one half without any); a null doc_id is scored
-and not held out.
+and not held out; repeated rows get equal scores; a text of any length is read whole; an empty table stays empty; a column
+named like the score is replaced, others stay.
 """
 
 from __future__ import annotations

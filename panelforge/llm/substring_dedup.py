@@ -264,7 +264,9 @@ class Repeats:
     def __init__(self, docs: DataFrame, text: str):
         self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession, "repeats")
         whole = F.coalesce(F.col(text), F.lit(""))
-        self.docs = docs.drop(*[c for c in docs.columns if c.lower() in ("__text", "spans", *KEY) and c != text]).withColumn("__text", whole).withColumns(dict(zip(KEY, text_key(F.col("__text")), strict=True)))
+        # The given columns travel in one, so that their names can't clash.
+        keys = dict(zip(KEY, text_key(F.col("__text")), strict=True))
+        self.docs = docs.select(F.struct("*").alias("__row"), whole.alias("__text")).withColumns(keys)
 
     def _texts_of(self, wanted: DataFrame, docs: DataFrame) -> tuple[DataFrame, AbstractContextManager]:
         """The rows of ``docs`` that ``wanted`` names, joined to it, behind a filter on the scan."""
@@ -322,18 +324,19 @@ class Repeats:
         """The columns ``keep`` of every row with n_bytes, n_removed, n_spans, kept_sha256, n_passages and, if wanted, kept, the bytes that are left."""
         spans = self.spans()
         keep = [c for c in keep if c.lower() not in RESULTS]
-        columns = [*keep, *RESULTS[: len(RESULTS) - (not kept)]]
-        carry = [*keep, "n_bytes"]
-        docs = self.docs.withColumn("n_bytes", F.octet_length("__text").cast("long"))
+        results = list(RESULTS[: len(RESULTS) - (not kept)])
+        row = F.struct(*[F.col("__row")[c].alias(c) for c in keep]).alias("__row")
+        docs = self.docs.select(row, "__text", *KEY, F.octet_length("__text").cast("long").alias("n_bytes"))
         texts, filtered = self._texts_of(spans, docs)
-        rows = texts.select(*carry, "__text", "spans")
-        schema = StructType([*(rows.schema[c] for c in carry), *StructType().add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_passages", "long").fields])
+        rows = texts.select("__row", "n_bytes", "__text", "spans")
+        schema = StructType([*(rows.schema[c] for c in ("__row", "n_bytes")), *StructType().add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("n_passages", "long").fields])
         with filtered:
-            some = self.scratch.store(rows.mapInArrow(_without(carry, kept), schema.add("kept", "binary") if kept else schema).select(*columns))
+            some = self.scratch.store(rows.mapInArrow(_without(["__row", "n_bytes"], kept), schema.add("kept", "binary") if kept else schema).select("__row", *results))
         # All that is wanted of the others is worked out before they are shuffled.
         zero = F.lit(0).cast("long")
         rest = docs.withColumns({"n_removed": zero, "n_spans": zero, "n_passages": zero, "kept_sha256": F.sha2(F.col("__text"), 256), "kept": F.encode(F.col("__text"), "UTF-8")})
-        return some.unionByName(rest.select(*columns, *KEY).join(spans.select(*KEY), KEY, "left_anti").select(*columns))
+        whole = some.unionByName(rest.select("__row", *results, *KEY).join(spans.select(*KEY), KEY, "left_anti").select("__row", *results))
+        return whole.select(*[F.col("__row")[c].alias(c) for c in keep], *results)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

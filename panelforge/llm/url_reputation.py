@@ -11,7 +11,8 @@ pages meet their hosts in one equi-join, whose skewed partitions Spark splits at
 
 Defined results: a null url, or one without ``://``, has an empty host and path; an empty host has no
 rule and the overall prior.  A host without labelled pages takes its domain's rate, and so on up;
-without any labelled page nothing is blocked.  Repeated rows are judged row by row.
+without any labelled page nothing is blocked.  Repeated rows are judged row by row; an empty table stays empty; urls
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.tables import table
+from panelforge.llm.tables import table, unused
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 RULES = (
@@ -110,11 +111,12 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """Adds host, path, rule and verdict to every row of ``pages``; columns of these names are replaced."""
     judged = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumn("rule", rule).withColumn("__ruled", verdict)
-    outcomes = judged.select("host", F.when(F.col("__ruled").isNotNull(), (F.col("__ruled") == "block").cast("int")).alias("bad"))
-    reputed = host_reputation(outcomes).select(F.col("host").alias("__host"), (lower_bound(F.col("mean"), F.col("weight")) > BLOCK_ABOVE).alias("__blocked"))
-    by_host = F.when(F.col("__blocked"), "block").otherwise("allow")
-    return judged.join(reputed, F.col("host") == F.col("__host"), "left").withColumn("verdict", F.coalesce("__ruled", by_host)).drop("__ruled", "__host", "__blocked")
+    ruled, its_host, blocked = (unused(pages, c) for c in ("__ruled", "__host", "__blocked"))
+    judged = judged.withColumn("rule", rule).withColumn(ruled, verdict)
+    outcomes = judged.select("host", F.when(F.col(ruled).isNotNull(), (F.col(ruled) == "block").cast("int")).alias("bad"))
+    reputed = host_reputation(outcomes).select(F.col("host").alias(its_host), (lower_bound(F.col("mean"), F.col("weight")) > BLOCK_ABOVE).alias(blocked))
+    by_host = F.when(F.col(blocked), "block").otherwise("allow")
+    return judged.join(reputed, F.col("host") == F.col(its_host), "left").withColumn("verdict", F.coalesce(ruled, by_host)).drop(ruled, its_host, blocked)
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
