@@ -16,7 +16,8 @@ prefixes show which windows, of either length, begin in more than one place.
 
 A shard is bounded.  A core with more than ``CROWD`` segments is split: windows ``STRIDE`` places or fewer apart
 from each other before the anchor share more text than the core, and that text is their key instead.  Where even
-such a part has more than ``CROWD`` segments, its windows are compared singly, by an aggregated count of their hashes.
+such a part has more than ``CROWD`` segments, these are settled as wholes, for each length of string, and the windows of
+those that stay open are compared singly with one example of every settled one, by aggregated counts of hashes.
 
 Texts are told apart by 128-bit hashes, so that equal texts count as different places and are
 settled as whole segments.  Defined results: null and empty texts have no bytes; a text shorter
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager
 
 import numpy as np
@@ -183,21 +184,42 @@ def repeated_in_shard(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(found)
 
 
+def _lengths(part: pd.DataFrame) -> Iterator[tuple[int, int, pd.DataFrame, list[np.ndarray], np.ndarray]]:
+    """kind, length, and of the parts with windows of that length: rows, bytes, and how many windows."""
+    for kind, length in ((REPEATED, LENGTH), (SHARED, PASSAGE)):
+        some = part[part["bytes"].map(len) >= length]
+        texts = [np.frombuffer(x, np.uint8) for x in some["bytes"]]
+        yield kind, length, some, texts, np.minimum(some["last"] - some["first"] + 1, [len(x) - length + 1 for x in texts]).to_numpy(np.int64)
+
+
+def _hashed(rows: pd.DataFrame, hashes: Callable[[int], list[np.ndarray]]) -> pd.DataFrame:
+    for seed, name in enumerate(("h1", "h2")):
+        rows[name] = np.concatenate([np.zeros(0, np.uint64), *hashes(seed)]).view(np.int64)
+    return rows
+
+
+def _whole_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For either length, what the windows of each crowded part span, as two hashes."""
+    for part in frames:
+        for kind, length, some, texts, n in _lengths(part):
+            out = some[[*KEY, "first"]].reset_index(drop=True)
+            out["last"] = (out["first"] + n - 1).astype(np.int32)
+            out["kind"] = np.int32(kind)
+            yield _hashed(out, lambda seed, texts=texts, n=n, length=length: [Windows(x, seed).hash(np.array([0]), np.array([k + length - 1])) for x, k in zip(texts, n, strict=True)])
+
+
 def _single_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Both hashes of every window, of either length, of crowded segments."""
+    """Both hashes of every window, of the lengths asked for, of open parts."""
     for frame in frames:
-        for at in range(0, len(frame), BATCH_ROWS // SPREAD):
-            part = frame.iloc[at : at + BATCH_ROWS // SPREAD]
-            for kind, length in ((REPEATED, LENGTH), (SHARED, PASSAGE)):
-                some = part[part["bytes"].map(len) >= length]
-                texts = [np.frombuffer(x, np.uint8) for x in some["bytes"]]
-                sizes = np.minimum(some["last"] - some["first"] + 1, [len(x) - length + 1 for x in texts]).to_numpy(np.int64)
-                out = pd.DataFrame(np.repeat(some[KEY].to_numpy(np.int64), sizes, axis=0), columns=KEY)
+        for at in range(0, len(frame), BATCH_ROWS // STRIDE):
+            for kind, length, some, texts, n in _lengths(frame.iloc[at : at + BATCH_ROWS // STRIDE]):
+                asked = (some["kinds"] & kind > 0).to_numpy()
+                some, n, texts = some[asked], n[asked], [x for x, a in zip(texts, asked, strict=True) if a]
+                out = pd.DataFrame(np.repeat(some[KEY].to_numpy(np.int64), n, axis=0), columns=KEY)
                 out["kind"] = np.int32(kind)
-                out["at"] = np.concatenate([np.zeros(0, np.int32), *(np.arange(a, a + n, dtype=np.int32) for a, n in zip(some["first"], sizes, strict=True))])
-                for seed, name in enumerate(("h1", "h2")):
-                    out[name] = np.concatenate([np.zeros(0, np.uint64), *(Windows(x, seed).every(length)[:n] for x, n in zip(texts, sizes, strict=True))]).view(np.int64)
-                yield out
+                out["first"] = np.concatenate([np.zeros(0, np.int32), *(np.arange(a, a + k, dtype=np.int32) for a, k in zip(some["first"], n, strict=True))])
+                out["last"] = out["first"]
+                yield _hashed(out, lambda seed, texts=texts, n=n, length=length: [Windows(x, seed).every(length)[:k] for x, k in zip(texts, n, strict=True)])
 
 
 def _covered(n: int, length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -310,14 +332,21 @@ class Repeats:
         sorted_ = cut.where("not crowded").select(*KEY, "first", "last", "bytes", shard)
         found = sorted_.groupBy("shard").applyInPandas(lambda pdf: repeated_in_shard(pdf), _SPANS)
 
-        single = scratch.store(cut.where("crowded").mapInPandas(_single_windows, "k1 long, k2 long, kind int, at int, h1 long, h2 long"))
-        place = F.struct(*KEY, F.when(F.col("kind") == REPEATED, F.col("at")).alias("at"))
-        twice = single.groupBy("kind", "h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("kind", "h1", "h2")
-        crowded = single.join(twice, ["kind", "h1", "h2"]).select(*KEY, F.col("at").alias("first"), F.col("at").alias("last"), "kind")
+        # Strings of LENGTH repeat where they start at another place, those of PASSAGE are shared where they are in another text.
+        place = F.struct(*KEY, F.when(F.col("kind") == REPEATED, F.col("first")).alias("at"))
+        by = ["kind", "h1", "h2"]
+        known = lambda df: df.groupBy(*by).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min(F.struct(*KEY, "first")).alias("e"))
+        marked = lambda df, kinds: df.join(kinds.where("a <> b").select(*by), by).select(*KEY, "first", "last", "kind")
+        hashed = "k1 long, k2 long, first int, last int, kind int, h1 long, h2 long"
+        wholes = scratch.store(cut.where("crowded").mapInPandas(_whole_parts, hashed))
+        kinds = scratch.store(known(wholes))
+        examples = kinds.groupBy("e").agg(F.sum("kind").cast("int").alias("kinds")).select("e.*", "kinds")
+        single = scratch.store(cut.where("crowded").join(examples, [*KEY, "first"]).mapInPandas(_single_windows, hashed))
+        crowded = marked(wholes, kinds).unionByName(marked(single, known(single)))
         marks = settled.unionByName(whole).unionByName(found).unionByName(crowded)
         # A set, as copies of a text bring the same ranges.
         out = scratch.store(marks.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "kind")).alias("spans")))
-        scratch.drop(shared, segments, whole, wanted, once, single)
+        scratch.drop(shared, segments, whole, wanted, once, wholes, kinds, single)
         return out
 
     def removed(self, *keep: str, kept: bool = True) -> DataFrame:
