@@ -7,7 +7,7 @@ import re
 from panelforge.operators.backtest import TRADING_DAYS
 from panelforge.operators.folds import EMBARGO, INITIAL, N_FOLDS
 from panelforge.operators.model import FIXED
-from panelforge.schemas import FEATURES, LABELS
+from panelforge.schemas import DECLARED, FEATURES, LABELS
 
 _F, _L = ", ".join(FEATURES), ", ".join(LABELS)
 
@@ -227,6 +227,27 @@ _QUERIES |= {
     "backtest_series": """SELECT CAST(1000 + fold * 10 + CASE strategy WHEN 'always_long' THEN 1 WHEN 'direction_threshold' THEN 2 ELSE 3 END AS BIGINT) AS backtest_run_id, CAST(fold AS BIGINT) AS model_run_id, strategy, trading_date, round(net_return, 8) AS net_return, round(cum_return, 8) AS cum_return FROM curve""",
     "model_runs": "SELECT CAST(fold AS BIGINT) AS model_run_id, 'logreg' AS model_name, 'v1' AS feature_set_version, train_start, train_end, test_start, test_end, CAST(NULL AS VARCHAR) AS git_commit FROM folds",
 }
+# Declared keys, references and conditions, over the tables in SQL.
+_BACKTEST_IDS = "CAST(fold AS BIGINT) AS model_run_id, unnest([0, 1000]) + fold * 10 + CASE strategy WHEN 'always_long' THEN 1 WHEN 'direction_threshold' THEN 2 ELSE 3 END AS backtest_run_id"
+_TABLES = {
+    "raw_assets": "assets", "raw_prices": "copied", "assets": "assets", "prices": "bars", "events": "ev", "features": "feat", "labels": "lab",
+    "event_asset_map": "(SELECT event_id, asset_id FROM ev JOIN lineitem ON l_orderkey = event_id JOIN supplier ON l_suppkey = s_suppkey JOIN assets ON symbol = s_name GROUP BY ALL)",
+    "model_runs": "(SELECT fold AS model_run_id FROM folds)", "predictions": "(SELECT *, fold AS model_run_id FROM preds)",
+    "backtest_runs": f"(SELECT *, {_BACKTEST_IDS} FROM summary)", "backtest_results": f"(SELECT *, {_BACKTEST_IDS} FROM curve)",
+}
+
+
+def _rules() -> str:
+    found = []
+    for name, (keys, parents, checks) in DECLARED.items():
+        one = f"SELECT '{name}' AS table, '%s' AS rule, count(*) AS n_violations FROM %s"
+        found.append(one % ("key", f"(SELECT 1 FROM {_TABLES[name]} GROUP BY {', '.join(keys)} HAVING count(*) > 1)"))
+        found += [one % (f"{c} of {parent}", f"{_TABLES[name]} WHERE {c} NOT IN (SELECT {c} FROM {_TABLES[parent]})") for c, parent in parents.items()]
+        found += [one % (rule, f"{_TABLES[name]} WHERE NOT ({condition})") for rule, condition in checks.items()]
+    return " UNION ALL ".join(found)
+
+
+_QUERIES["declared_violations"] = _rules()
 # Tables that were written and read again.
 _QUERIES |= {
     "stored_assets": "SELECT s_name AS symbol, s_name AS name, CASE WHEN s_suppkey % 2 <> 0 THEN 'equity' END AS asset_type, CASE WHEN s_suppkey % 3 <> 0 THEN 'EUR' END AS currency, n_name AS exchange, 'supplier' AS source FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",

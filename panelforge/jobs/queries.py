@@ -96,6 +96,28 @@ def _validated(p: Panel) -> DataFrame:
     return validate.validate(_with_customers(p), _copied(p), fixtures.raw_events(p.spark, p.sf_dir), AS_OF)
 
 
+def _declared(p: Panel) -> DataFrame:
+    """Every declared rule over the whole tables; prices include copied series, whose symbols are no asset's."""
+    features, runs = features_daily(p.bars()), p.backtest_runs()
+    key = runs.select(F.col("model_run_id").cast("int").alias("fold"), "strategy", "cost_bps", "model_run_id", "backtest_run_id")
+    return validate.declared_violations(
+        {
+            "raw_assets": p.raw_assets,
+            "raw_prices": _copied(p),
+            "assets": p.assets,
+            "prices": p.bars(),
+            "events": p.events(),
+            "event_asset_map": _event_map(p),
+            "features": features,
+            "labels": labels_daily(p.bars(), features),
+            "model_runs": model_runs(p.folds()),
+            "predictions": p.predictions().withColumn("model_run_id", F.col("fold").cast("long")),
+            "backtest_runs": p.summary().join(key, ["fold", "strategy", "cost_bps"]),
+            "backtest_results": p.curve().join(key, ["fold", "strategy", "cost_bps"]),
+        }
+    )
+
+
 def _with_customers(p: Panel) -> DataFrame:
     """Assets with one for each customer beside the suppliers': none of those has a price."""
     customers = table(p.spark, p.sf_dir, "customer").select(F.col("c_name").alias("symbol"), F.col("c_name").alias("name"), F.lit("customer").alias("source"))
@@ -306,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_dataset_joined": _on(_joined_dataset),
     "settled_bars": _on(lambda p: staging.settled_bars(p.bars(), NOW).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.max("trading_date").alias("last_date"))),
     "validate_summary": _on(_validated),
+    "declared_violations": _on(_declared),
     "dup_keys": _on(lambda p: validate.duplicate_keys(table(p.spark, p.sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])),
     "duplicate_series": _on(lambda p: validate.duplicate_series(_copied(p))),
     "assets_without_prices": _on(lambda p: validate.assets_without_prices(_with_customers(p), p.raw_prices).select("symbol", "name")),

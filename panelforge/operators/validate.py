@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelforge.functions.columns import is_blank
+from panelforge.schemas import DECLARED
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "adj_close", "volume")
 
@@ -125,6 +126,21 @@ def validate(assets: DataFrame, prices: DataFrame, events: DataFrame, as_of: dat
     return reduce(DataFrame.unionByName, parts)
 
 
+def declared_violations(tables: Mapping[str, DataFrame], declared: Mapping[str, tuple] = DECLARED) -> DataFrame:
+    """table, rule, n_violations of every declared key, reference and condition; a table's conditions share one scan."""
+    count = lambda df, name, rule: df.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), "n_violations")
+    parts = []
+    for name, (keys, parents, checks) in declared.items():
+        df = tables[name]
+        parts.append(count(unique_violations(df, keys), name, "key"))
+        parts += [count(orphans(df, tables[parent], column), name, f"{column} of {parent}") for column, parent in parents.items()]
+        if checks:
+            broken = df.agg(*[F.count_if(~F.coalesce(F.expr(c), F.lit(True))).alias(rule) for rule, c in checks.items()])
+            rows = F.array(*[F.struct(F.lit(name).alias("table"), F.lit(rule).alias("rule"), F.col(rule).alias("n_violations")) for rule in checks])
+            parts.append(broken.select(F.inline(rows)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def require_valid(summary: DataFrame) -> None:
     """Raises, naming every check that failed."""
     failed = [f"{r['check']}: {r['n_violations']}" for r in summary.where("n_violations > 0").orderBy("check").collect()]

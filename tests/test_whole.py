@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 import __spark_entry__ as entry
-from panelforge.operators import calibrate, evaluate, ordered
+from panelforge.operators import calibrate, evaluate, ordered, validate
 from panelforge.operators.folds import generate_folds
 from panelforge.operators.model import walk_forward
 from panelforge.schemas import FEATURES
@@ -100,6 +100,19 @@ def test_a_fold_is_calibrated_on_its_own_latest_slice(spark, kind):
         assert abs(q - rates[fold][p]) < 1e-4
 
 
+def test_declared_rules_hold_but_for_copied_symbols(spark):
+    found = {(r["table"], r["rule"]): r["n_violations"] for r in agree(spark, "declared_violations")}
+    assert len(found) == 29 and found["raw_prices", "symbol of raw_assets"] > 0
+    assert not [k for k, n in found.items() if n and k != ("raw_prices", "symbol of raw_assets")]
+
+
+def test_declared_rules_count_what_breaks_them(spark):
+    declared = {"a": (("id",), {}, {}), "b": (("id", "x"), {"id": "a"}, {"sign": "x >= 0", "small": "x < 5"})}
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "id int"), spark.createDataFrame([(1, -1.0), (1, None), (3, 9.0), (3, 9.0), (None, 1.0)], "id int, x double")
+    got = {(r["table"], r["rule"]): r["n_violations"] for r in validate.declared_violations({"a": a, "b": b}, declared).collect()}
+    assert got == {("a", "key"): 1, ("b", "key"): 1, ("b", "id of a"): 2, ("b", "sign"): 1, ("b", "small"): 2}
+
+
 @pytest.mark.parametrize("name", ["surprise_std", "events_staged", "calibration_decile", "auc_by_fold"])
 def test_sliced_windows_over_the_tables(spark, monkeypatch, name):
     monkeypatch.setattr(ordered, "SLICE", 64)
