@@ -23,11 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def filtered_scans(spark: SparkSession):
-    """Lets Spark drop rows by a Bloom filter of the join's other side before it shuffles a text column."""
-    names = ("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold")
-    before = {n: spark.conf.get(n) for n in names}
-    for n, value in zip(names, ("0", "1GB"), strict=True):
+def _set(spark: SparkSession, values: dict[str, str]):
+    before = {n: spark.conf.get(n) for n in values}
+    for n, value in values.items():
         spark.conf.set(n, value)
     try:
         yield
@@ -36,6 +34,16 @@ def filtered_scans(spark: SparkSession):
             spark.conf.set(n, value)
 
 
+def filtered_scans(spark: SparkSession):
+    """Lets Spark drop rows by a Bloom filter of the join's other side before it shuffles a text column."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter"
+    return _set(spark, {f"{prefix}.applicationSideScanSizeThreshold": "0", f"{prefix}.creationSideThreshold": "1GB"})
+
+
+#: Rows handed to a Python worker at once: texts are long, and both sides hold a batch in memory.
+TEXT_ROWS = 2000
+
+
 class Scratch:
     """Written tables of one query; ``drop`` removes one that nothing reads any more, the session's end the others."""
 
@@ -45,7 +53,8 @@ class Scratch:
     def store(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with _set(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(TEXT_ROWS)}):
+            df.write.parquet(path)
         if self.n == 1:
             fs, root = self._at(self.root)
             fs.deleteOnExit(root)
