@@ -252,7 +252,7 @@ _QUERIES["declared_violations"] = _rules()
 _QUERIES |= {
     "stored_assets": "SELECT s_name AS symbol, s_name AS name, CASE WHEN s_suppkey % 2 <> 0 THEN 'equity' END AS asset_type, CASE WHEN s_suppkey % 3 <> 0 THEN 'EUR' END AS currency, n_name AS exchange, 'supplier' AS source FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
     "stored_prices": f"SELECT symbol, trading_date, source, {_r(*_PRICE)} FROM prices",
-    "stored_events": """SELECT event_type, event_ts, event_date, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS source, round(actual, 8) AS actual, round(forecast, 8) AS forecast, round(previous, 8) AS previous, '  ' || cleaned_text || ' ' AS raw_text FROM ev""",
+    "stored_events": """SELECT event_type, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts, event_date, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS source, round(actual, 8) AS actual, round(forecast, 8) AS forecast, round(previous, 8) AS previous, '  ' || cleaned_text || ' ' AS raw_text FROM ev""",
     "vendor_prices": """SELECT 'LINES' AS symbol, 'vendor' AS source, CAST(l_shipdate AS DATE) AS trading_date, count(*) AS n, count(*) FILTER (l_discount <> 0) AS n_adjusted, round(max(l_extendedprice), 8) AS high, round(sum(l_quantity), 8) AS volume FROM lineitem GROUP BY ALL""",
     "stored_layer": _QUERIES["features_daily"],
     "stored_runs": f"SELECT CAST(fold + (SELECT max(fold) FROM folds) AS INTEGER) AS model_run_id, strategy, cost_bps, n_days, n_trades, {_r(*_PER, 'expectancy')} FROM summary",

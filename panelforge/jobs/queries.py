@@ -388,7 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_days": _stream_days,
     "stored_assets": _on(_through_csv(lambda p: p.raw_assets, read_assets)),
     "stored_prices": _on(_through_csv(lambda p: p.raw_prices, read_prices)),
-    "stored_events": _on(_through_csv(_raw_events, read_events)),
+    "stored_events": _on(lambda p: _through_csv(_raw_events, read_events)(p).withColumn("event_ts", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"))),
     "vendor_prices": _on(_vendor_prices),
     "stored_layer": _on(_stored_layer),
     "stored_runs": _on(_stored_runs),
