@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import ann, bpe, decontam, jaccard, langid, lexical, packing, pii, quality, substring_dedup, toxicity, url_reputation
+from panelforge.llm import ann, bpe, decontam, divergence, jaccard, langid, lexical, packing, pii, quality, substring_dedup, toxicity, url_reputation
 
-_MODULES = (pii, decontam, jaccard, toxicity, quality, url_reputation, packing, langid, ann, substring_dedup, bpe, lexical)
+_MODULES = (pii, decontam, jaccard, toxicity, quality, url_reputation, packing, langid, ann, substring_dedup, bpe, lexical, divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -62,6 +62,10 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def again(self, *frames: DataFrame) -> DataFrame:
+        """Stored tables of one schema, read once more together: columns of its own, for joins of a table with itself."""
+        return self.spark.read.schema(frames[0].schema).parquet(*[self.paths[id(df)][0] for df in frames])
+
     def _at(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
