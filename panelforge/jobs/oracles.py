@@ -259,6 +259,22 @@ _QUERIES |= {
     "stream_bars_live": _QUERIES["stream_bars"],
     "stream_days": "SELECT DISTINCT user_id AS asset_id, CAST(ts AS DATE) AS trading_date FROM events",
 }
-_QUERIES["training_dataset_joined"] = _QUERIES["training_dataset"]
+# The market's clock: five hours behind, four from the second Sunday of March, 7:00, to the first of November, 6:00 (fixed values of New York since 2007).
+_SUNDAY = "(CAST(make_date(CAST(year(ts) AS INTEGER), {month}, 1) + CAST((7 - isodow(make_date(CAST(year(ts) AS INTEGER), {month}, 1))) % 7 + {days} AS INTEGER) AS TIMESTAMP) + INTERVAL {hour} HOUR)"
+_YEAR = "(SELECT user_id, value, event_id, TIMESTAMP '2024-01-01' + (ts - TIMESTAMP '2024-01-01') * 12 AS ts FROM events)"
+_LOCAL = f"ts - CASE WHEN ts >= {_SUNDAY.format(month=3, days=7, hour=7)} AND ts < {_SUNDAY.format(month=11, days=0, hour=6)} THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END"
+_QUERIES |= {
+    # Every day but those that end less than an hour before the last tick, or after it.
+    "market_bars_live": f"""SELECT asset_id, trading_date, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, n_ticks FROM (
+      SELECT user_id AS asset_id, CAST({_LOCAL} AS DATE) AS trading_date, arg_min(100 + value / 100, row(ts, event_id)) AS open, max(100 + value / 100) AS high, min(100 + value / 100) AS low, arg_max(100 + value / 100, row(ts, event_id)) AS close, count(*) AS n_ticks FROM {_YEAR} GROUP BY ALL)
+      WHERE trading_date < (SELECT max(CAST({_LOCAL} - INTERVAL 1 HOUR AS DATE)) FROM {_YEAR})""",
+    "surprise_std_all": "SELECT event_id, round(surprise / nullif(stddev_samp(surprise) OVER (PARTITION BY event_type ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 8) AS surprise_std FROM ev",
+    "run_appends": """SELECT CAST(fold + after AS BIGINT) AS model_run_id, 'logreg' AS model_name, 'v1' AS feature_set_version, train_start, train_end, test_start, test_end, CAST(NULL AS VARCHAR) AS git_commit, n_predictions, first_date, last_date, mean_p_up
+      FROM folds JOIN (SELECT fold, count(*) AS n_predictions, min(trading_date) AS first_date, max(trading_date) AS last_date, round(avg(p_up), 8) AS mean_p_up FROM preds GROUP BY fold) USING (fold),
+        (SELECT unnest([0, (SELECT count(*) FROM folds)]) AS after)""",
+    "prices_of_whole_files": f"SELECT symbol, trading_date, source, {_r(*_PRICE)} FROM prices WHERE right(symbol, 1) NOT IN ('3', '7')",
+    "rejected_files": "SELECT symbol, count(*) + CASE WHEN right(symbol, 1) = '3' THEN 1 ELSE 0 END AS n_rows, CASE WHEN right(symbol, 1) = '3' THEN 1 ELSE 0 END AS n_bad, right(symbol, 1) = '3' AS has_header FROM prices WHERE right(symbol, 1) IN ('3', '7') GROUP BY symbol",
+}
+_QUERIES["training_dataset_joined"] = _QUERIES["bucketed_dataset"] = _QUERIES["training_dataset"]
 
 ORACLES = {name: _with(sql) for name, sql in _QUERIES.items()}

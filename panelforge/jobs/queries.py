@@ -17,9 +17,11 @@ from panelforge.operators.labels import labels_daily
 from panelforge.operators.model import fixed_predictions, model_runs, prepared, walk_forward
 from panelforge.schemas import FEATURES, LABELS, RAW_EVENTS
 from panelforge.sources import fixtures
+from panelforge.sources.layers import Layers
 from panelforge.sources.scratch import scratch_path
-from panelforge.sources.tables import append_run, nan_to_null, normalize_prices, number_runs, read_assets, read_events, read_prices, table, write_layer
-from panelforge.streaming.bars import bars_of, dedupe_bars, run_available, stream_bars
+from panelforge.sources.runs import RunSink
+from panelforge.sources.tables import nan_to_null, normalize_prices, read_assets, read_events, read_price_files, read_prices, table, write_layer
+from panelforge.streaming.bars import bars_of, dedupe_bars, market_bars, run_available, stream_bars
 
 PLACES = 8
 AS_OF = date(2000, 6, 15)
@@ -39,6 +41,7 @@ class Panel:
         self.raw_assets = fixtures.raw_assets(spark, sf_dir)
         self.raw_prices = fixtures.raw_prices(spark, sf_dir)
         self.assets = staging.stage_assets(self.raw_assets)
+        self._stored: DataFrame | None = None
 
     def bars(self) -> DataFrame:
         return staging.stage_prices(self.raw_prices, self.assets)
@@ -46,13 +49,18 @@ class Panel:
     def dataset(self) -> DataFrame:
         return panel(self.bars(), self.assets)
 
-    def folds(self, dataset: DataFrame | None = None) -> DataFrame:
-        return generate_folds(self.dataset() if dataset is None else dataset)
+    def stored(self) -> DataFrame:
+        """The training dataset as a layer by asset, written once: folds read its dates, the rest its rows."""
+        if self._stored is None:
+            self._stored = Layers(self.spark).store("dataset", self.dataset())
+        return self._stored
+
+    def folds(self) -> DataFrame:
+        return generate_folds(self.stored())
 
     def predictions(self) -> DataFrame:
         """Fixed-coefficient predictions of every fold's test rows, labels beside them."""
-        dataset = self.dataset()
-        return fixed_predictions(split(dataset, self.folds(dataset)).where("role = 'test'"))
+        return fixed_predictions(split(self.stored(), self.folds()).where("role = 'test'"))
 
     def positions(self) -> DataFrame:
         return backtest.positions(self.predictions()).select("fold", "asset_id", "trading_date", "strategy", "position", "ret_fwd_1d")
@@ -155,23 +163,23 @@ def _symbol_summary(p: Panel) -> DataFrame:
 
 
 def _baseline(p: Panel) -> DataFrame:
-    dataset = p.dataset()
-    return evaluate.naive_baseline(fixed_predictions(split(dataset, p.folds(dataset))))
+    dataset = p.stored()
+    return evaluate.naive_baseline(fixed_predictions(split(dataset, p.folds())))
 
 
 def _embargo(p: Panel) -> DataFrame:
-    dataset = p.dataset()
-    return embargo_reach(dataset, p.folds(dataset), longest_lookback(FEATURES))
+    dataset = p.stored()
+    return embargo_reach(dataset, p.folds(), longest_lookback(FEATURES))
 
 
 def _split_counts(p: Panel) -> DataFrame:
-    dataset = p.dataset()
-    return split(dataset, p.folds(dataset)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"))
+    dataset = p.stored()
+    return split(dataset, p.folds()).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"))
 
 
 def _scalers(p: Panel) -> DataFrame:
-    dataset = p.dataset()
-    return fold_scalers(dataset, p.folds(dataset), FEATURES)
+    dataset = p.stored()
+    return fold_scalers(dataset, p.folds(), FEATURES)
 
 
 def _joined_dataset(p: Panel) -> DataFrame:
@@ -188,8 +196,8 @@ def _assert_pair(check: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 
 
 def _out_of_sample(p: Panel) -> DataFrame:
-    dataset = p.dataset()
-    folds = p.folds(dataset)
+    dataset = p.stored()
+    folds = p.folds()
     return assertions.assert_out_of_sample(fixed_predictions(split(dataset, folds).where("role = 'test'")), folds)
 
 
@@ -227,23 +235,30 @@ def _proportional(p: Panel) -> DataFrame:
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Panel(spark, sf_dir)
-    dataset = p.dataset()
-    return rounded(walk_forward(dataset, p.folds(dataset)), 6)
+    dataset = p.stored()
+    return rounded(walk_forward(dataset, p.folds()), 6)
 
 
-def _calibrated(fit, apply):
+def _calibrated(calibrated: Callable[[DataFrame, str, str], DataFrame]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The large-move score of every fold, calibrated on the latest slice of the fold's training rows."""
         p = Panel(spark, sf_dir)
-        dataset = p.dataset()
-        rows = fixed_predictions(split(dataset, p.folds(dataset))).select("fold", "role", "trading_date", "p_large_move", "y_large_move_next")
-        test = calibrate.calibrate_folds(rows, fit, apply, "p_large_move", "y_large_move_next")
+        rows = fixed_predictions(split(p.stored(), p.folds())).select("fold", "role", "trading_date", "p_large_move", "y_large_move_next")
+        test = calibrated(rows, "p_large_move", "y_large_move_next")
         raw = evaluate.brier(test, "y_large_move_next", "p_large_move", ["fold"]).withColumnRenamed("brier", "brier_raw")
         return rounded(raw.join(evaluate.brier(test, "y_large_move_next", "p_calibrated", ["fold"]).withColumnRenamed("brier", "brier_calibrated"), "fold"), 6)
 
     return query
 
 
+def bucketed_panel(layers: Layers, bars: DataFrame, assets: DataFrame) -> DataFrame:
+    """The training dataset through stored layers of bars, features and labels: rows are shuffled once, into the bars' buckets."""
+    bars, assets = layers.store("bars", bars), layers.store("assets", assets)
+    features = layers.store("features", features_daily(bars), deal=False)
+    labels = layers.store("labels", labels_daily(bars, features).select("asset_id", "trading_date", *LABELS), deal=False)
+    return layers.store("dataset", training_dataset(features, labels, assets), deal=False)
+
+
 def _stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settled days of the tick table: the stream's result in batch form, all days but the last."""
     bars = bars_of(fixtures.ticks(spark, sf_dir))
@@ -297,25 +312,66 @@ def _stored_layer(p: Panel) -> DataFrame:
     return p.spark.read.parquet(path)
 
 
-def _stored_runs(p: Panel) -> DataFrame:
-    """Two appends of numbered runs and their predictions; the second's, joined to labels and backtested."""
-    runs, path = p.folds().select("fold"), scratch_path(p.spark, "runs")
+def _appended(p: Panel) -> RunSink:
+    """A sink after two appends of every fold's run; of the second one try failed before its commit, and one came again after it."""
+    sink = RunSink(p.spark, scratch_path(p.spark, "runs"))
+    runs = model_runs(p.folds()).withColumn("fold", F.col("model_run_id").cast("int")).drop("model_run_id")
     preds = p.predictions().select("fold", "asset_id", "trading_date", "p_up", "p_large_move", "signal")
-    for last in (0, runs.count()):
-        append_run(preds.join(F.broadcast(number_runs(runs, last, ["fold"])), "fold").drop("fold"), path)
-    ids = [r[0] for r in number_runs(runs, runs.count(), ["fold"]).select("model_run_id").collect()]
-    chosen = evaluate.select_runs(p.spark.read.parquet(path), ids).withColumn("model_run_id", F.col("model_run_id").cast("long"))
+    sink.append("first", runs, preds)
+    sink.stage(runs, preds)
+    for _ in range(2):
+        sink.append("second", runs, preds)
+    return sink
+
+
+def _run_appends(p: Panel) -> DataFrame:
+    """Every committed run with its provenance and what its predictions are."""
+    sink = _appended(p)
+    told = sink.predictions().groupBy("model_run_id").agg(F.count(F.lit(1)).alias("n_predictions"), F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"), F.avg("p_up").alias("mean_p_up"))
+    return sink.runs().drop("created_at", "fold").join(told, "model_run_id")
+
+
+def _stored_runs(p: Panel) -> DataFrame:
+    """The second append's runs as the sink gives them, joined to labels and backtested."""
+    sink = _appended(p)
+    ids = sink.append("second", p.folds(), p.predictions())
+    chosen = evaluate.select_runs(sink.predictions(), ids)
     labels = labels_daily(p.bars(), features_daily(p.bars())).select("asset_id", "trading_date", "ret_fwd_1d")
     scored = evaluate.scored_predictions(chosen, labels, p.assets).withColumn("fold", F.col("model_run_id").cast("int"))
     positions = backtest.positions(scored).select("fold", "asset_id", "trading_date", "strategy", "position", "ret_fwd_1d")
     return backtest.summarize(backtest.equity_curve(backtest.daily_portfolio(positions))).withColumnRenamed("fold", "model_run_id")
 
 
+def _price_files(p: Panel) -> tuple[DataFrame, DataFrame]:
+    """A file of prices for each symbol, as vendors send them: those of symbols ending in 3 have a line that is none, those in 7 no header."""
+    path, last = scratch_path(p.spark, "files"), F.substring("symbol", -1, 1)
+    names = p.raw_prices.columns
+    lines = p.raw_prices.select(*[F.col(c).cast("string") for c in names], F.col("symbol").alias("file"))
+    symbols = p.assets.where(last == "3").select("symbol", F.lit("no date").alias("trading_date"), *[F.lit("x").alias(c) for c in names[2:]], F.col("symbol").alias("file"))
+    dealt = lines.unionByName(symbols).repartition("file")
+    for part, header in ((dealt.where(last != "7"), True), (dealt.where(last == "7"), False)):
+        part.write.mode("append").partitionBy("file").csv(path, header=header)
+    return read_price_files(p.spark, [path], scratch_path(p.spark, "lines") + "/rows")
+
+
+def _rejected_files(p: Panel) -> DataFrame:
+    files = _price_files(p)[1].where("not accepted")
+    return files.select(F.url_decode(F.url_decode(F.regexp_extract("file", "/file=([^/]*)/", 1))).alias("symbol"), "n_rows", "n_bad", "has_header")
+
+
+def _market_bars_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled days of the market as the watermarked stream gives them; the month of ticks is stretched over a year, with both changes of the clock."""
+    begin = datetime(2024, 1, 1)
+    micros = F.unix_micros(F.lit(begin.isoformat(sep=" ")).cast("timestamp"))
+    ticks = fixtures.tick_stream(spark, sf_dir).withColumn("ts", F.timestamp_micros(micros + (F.unix_micros("ts") - micros) * 12))
+    return rounded(run_available(market_bars(ticks), scratch_path(spark, "stream")))
+
+
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over standardised training features: near zero by construction."""
     p = Panel(spark, sf_dir)
-    dataset = p.dataset()
-    rows = prepared(dataset, p.folds(dataset)).where("role = 'train'")
+    dataset = p.stored()
+    rows = prepared(dataset, p.folds()).where("role = 'train'")
     return rounded(rows.groupBy("fold").agg(*[F.avg(f).alias(f) for f in FEATURES]), 6).withColumns({f: F.abs(F.col(f)) for f in FEATURES})
 
 
@@ -326,6 +382,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labels_daily": _on(lambda p: labels_daily(p.bars(), features_daily(p.bars())).select("asset_id", "trading_date", *LABELS)),
     "training_dataset": _on(lambda p: p.dataset()),
     "training_dataset_joined": _on(_joined_dataset),
+    "bucketed_dataset": _on(lambda p: bucketed_panel(Layers(p.spark), p.bars(), p.assets)),
     "settled_bars": _on(lambda p: staging.settled_bars(p.bars(), NOW).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.max("trading_date").alias("last_date"))),
     "validate_summary": _on(_validated),
     "declared_violations": _on(_declared),
@@ -336,7 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orphan_offenders": _on(lambda p: validate.offender_list(validate.orphans(_copied(p).select("symbol").distinct(), p.raw_assets, "symbol"), "symbol")),
     "embargo_reach": _on(_embargo),
     "folds": _on(lambda p: p.folds()),
-    "rolling_folds": _on(lambda p: generate_folds(p.dataset(), train_window=500)),
+    "rolling_folds": _on(lambda p: generate_folds(p.stored(), train_window=500)),
     "fold_split_counts": _on(_split_counts),
     "fold_scalers": _on(_scalers),
     "predictions_fixed": _on(lambda p: p.predictions().select("fold", "asset_id", "trading_date", "p_up", "p_large_move", F.col("signal").cast("int").alias("signal")), 9),
@@ -381,8 +438,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_day_slice": _on(_event_slice),
     "scaled_training_means": _prepared,
     "logreg_walkforward": _model,
-    "platt": _calibrated(calibrate.fit_platt, calibrate.apply_platt),
-    "isotonic": _calibrated(calibrate.fit_isotonic, calibrate.apply_isotonic),
+    "platt": _calibrated(lambda rows, p, y: calibrate.calibrate_folds(rows, calibrate.fit_platt, calibrate.apply_platt, p, y)),
+    "isotonic": _calibrated(calibrate.calibrate_isotonic),
     "stream_bars": _stream_bars,
     "stream_bars_live": _stream_bars_live,
     "stream_days": _stream_days,
@@ -392,4 +449,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vendor_prices": _on(_vendor_prices),
     "stored_layer": _on(_stored_layer),
     "stored_runs": _on(_stored_runs),
+    "run_appends": _on(_run_appends),
+    "prices_of_whole_files": _on(lambda p: _price_files(p)[0]),
+    "rejected_files": _on(_rejected_files),
+    "market_bars_live": _market_bars_live,
+    "surprise_std_all": _on(lambda p: events.standardised_surprise(staging.stage_events(fixtures.raw_events(p.spark, p.sf_dir))).select("event_id", "surprise_std")),
 }

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.operators.isotonic import isotonic_blocks, isotonic_map, map_scores
+
 CALIBRATION_SHARE = 0.2
 
 
@@ -69,3 +71,9 @@ def calibrate_folds(rows: DataFrame, fit: Callable, apply: Callable, p: str, y:
     fitted = rows.sparkSession.createDataFrame(maps, "fold int, __a array<double>, __b array<double>")
     test = rows.where("role = 'test'").join(F.broadcast(fitted), "fold")
     return test.withColumn("p_calibrated", apply(F.col(p), F.col("__a"), F.col("__b"))).drop("__a", "__b")
+
+
+def calibrate_isotonic(rows: DataFrame, p: str, y: str) -> DataFrame:
+    """The same by an isotonic map of each fold, for any number of scores: all folds are fitted and mapped together."""
+    pieces = isotonic_map(isotonic_blocks(calibration_slice(rows), p, y, ["fold"]), ["fold"])
+    return map_scores(rows.where("role = 'test'"), pieces, p, ["fold"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.operators.ordered import over_last
+from panelforge.operators.ordered import moments_before, over_last
 
 
 def next_sessions(calendar: DataFrame) -> DataFrame:
@@ -44,13 +44,14 @@ def last_event_asof(calendar: DataFrame, events: DataFrame, value: str = "surpri
 def standardised_surprise(events: DataFrame, n: int | None = None) -> DataFrame:
     """Surprise over the deviation of the type's earlier surprises, all or the last n of them.
 
-    With n, a type's events are ordered in slices; without, each type is one running window.
+    A type's events are ordered in slices, and what a slice needs of those before it is carried over.
     """
-    spread = lambda w: F.try_divide("surprise", F.stddev_samp("surprise").over(w))
+    at = (F.to_date("event_ts"), ("event_ts", "event_id"))
     if n is None:
-        past = Window.partitionBy("event_type").orderBy("event_ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-        return events.withColumn("surprise_std", spread(past))
-    return over_last(events, "event_type", F.to_date("event_ts"), ("event_ts", "event_id"), n, {"surprise_std": spread})
+        past = moments_before(events, "event_type", *at, "surprise")
+        spread = F.when(F.col("__n") > 1, F.sqrt(F.col("__m2") / (F.col("__n") - 1)))
+        return past.withColumn("surprise_std", F.try_divide("surprise", spread)).drop("__n", "__m2")
+    return over_last(events, "event_type", *at, n, {"surprise_std": lambda w: F.try_divide("surprise", F.stddev_samp("surprise").over(w))})
 
 
 def event_distance(calendar: DataFrame, events: DataFrame, cap: int = 30, date: str = "session") -> DataFrame:

@@ -6,34 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.operators.dataset import trading_calendar
-
 N_FOLDS, INITIAL, EMBARGO = 5, 0.5, 60
 
 
 def fold_bounds(n: int, n_folds: int = N_FOLDS, initial: float = INITIAL, embargo: int = EMBARGO, train_window: int | None = None) -> list[tuple[int, int, int, int, int]]:
-    """fold, then calendar indices of first and last training date and first and last test date."""
-    start = int(n * initial)
-    block = (n - start) // n_folds
-    if block <= embargo:
-        raise ValueError(f"embargo_days={embargo} leaves no test dates: a block has {block}")
-    found = []
-    for i in range(n_folds):
-        cut = start + i * block
-        last = n - 1 if i == n_folds - 1 else cut + block
-        if cut + embargo + 1 <= last:
-            found.append((i + 1, 0 if train_window is None else max(0, cut - train_window + 1), cut, cut + embargo + 1, last))
-    if not found:
-        raise ValueError("no usable folds")
-    return found
+    """fold, then places in a calendar of ``n`` dates: first and last of training, first and last of test.
+
+    Training ends at evenly spaced cuts; a test reaches to the next cut, the last one to the calendar's end.
+    """
+    first_cut = int(n * initial)
+    width = (n - first_cut) // n_folds
+    if width <= embargo:
+        raise ValueError(f"{n} dates make blocks of {width}, which embargo_days={embargo} uses up")
+    cuts = [first_cut + k * width for k in range(n_folds)]
+    held = n if train_window is None else train_window
+    rows = zip(range(1, n_folds + 1), (max(c + 1 - held, 0) for c in cuts), cuts, (c + 1 + embargo for c in cuts), [*cuts[1:], n - 1], strict=True)
+    return [r for r in rows if r[3] <= r[4]]
 
 
 def generate_folds(dataset: DataFrame, n_folds: int = N_FOLDS, initial: float = INITIAL, embargo: int = EMBARGO, train_window: int | None = None) -> DataFrame:
-    """fold, train_start, train_end, test_start, test_end; training windows expand unless ``train_window`` fixes their length."""
-    # A calendar has a row for each day at most; the folds are cut from it on the driver.
-    dates = [r[0] for r in trading_calendar(dataset).orderBy("idx").select("trading_date").collect()]
-    bounds = fold_bounds(len(dates), n_folds, initial, embargo, train_window)
-    return dataset.sparkSession.createDataFrame([(f, *(dates[i] for i in indices)) for f, *indices in bounds], "fold int, train_start date, train_end date, test_start date, test_end date")
+    """fold, train_start, train_end, test_start, test_end; training windows expand unless ``train_window`` fixes their length.
+
+    The dates of ``dataset`` are read when this is called: pass a stored one, of which only that column is read.
+    """
+    # A calendar has a row for each day at most.
+    dates = sorted(r[0] for r in dataset.select("trading_date").distinct().collect())
+    rows = [(fold, *(dates[i] for i in places)) for fold, *places in fold_bounds(len(dates), n_folds, initial, embargo, train_window)]
+    return dataset.sparkSession.createDataFrame(rows, "fold int, train_start date, train_end date, test_start date, test_end date")
 
 
 def split(rows: DataFrame, folds: DataFrame) -> DataFrame:

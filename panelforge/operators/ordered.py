@@ -38,3 +38,24 @@ def over_last(rows: DataFrame, by: str, day: Column, order: Sequence[str], n: in
     w = Window.partitionBy(by, "__into").orderBy("__place").rowsBetween(-n, -1)
     whole = dealt.withColumns({name: make(w) for name, make in columns.items()})
     return whole.where(F.col("__into") == F.col("__slice")).drop("__place", "__slice", "__into")
+
+
+def moments_before(rows: DataFrame, by: str, day: Column, order: Sequence[str], value: str, size: int | None = None) -> DataFrame:
+    """Adds __n and __m2: of the known values in all earlier rows of the group, how many, and the squared deviations from their mean.
+
+    A group is cut into slices of ``size`` rows.  Counts, sums and squares are taken about the group's mean, so that little is
+    lost to rounding, and can be added: a slice starts from the totals of those before it, and no task orders a group.
+    """
+    size = SLICE if size is None else size
+    centres = rows.groupBy(F.col(by).alias("__by")).agg(F.avg(value).alias("__centre"))
+    placed = numbered(rows, by, day, order, "__place").withColumn("__slice", F.floor(F.col("__place") / size))
+    off = placed.join(centres, F.col(by).eqNullSafe(F.col("__by"))).drop("__by").withColumn("__d", F.col(value) - F.col("__centre"))
+    parts = {"n": F.col("__d").isNotNull().cast("long"), "s": F.coalesce("__d", F.lit(0.0)), "q": F.coalesce(F.col("__d") * F.col("__d"), F.lit(0.0))}
+    totals = off.groupBy(F.col(by).alias("__by"), F.col("__slice").alias("__at")).agg(*[F.sum(c).alias(f"__all_{k}") for k, c in parts.items()])
+    ahead = Window.partitionBy("__by").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("__by", "__at", *[F.coalesce(F.sum(f"__all_{k}").over(ahead), F.lit(0)).alias(f"__before_{k}") for k in parts])
+    within = Window.partitionBy(by, "__slice").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = off.withColumns({f"__in_{k}": F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in parts.items()})
+    joined = summed.join(carried, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__slice") == F.col("__at")))
+    n, s, q = (F.col(f"__in_{k}") + F.col(f"__before_{k}") for k in parts)
+    return joined.select(*rows.columns, n.alias("__n"), F.greatest(q - s * F.try_divide(s, n), F.lit(0.0)).alias("__m2"))

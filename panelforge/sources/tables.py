@@ -1,12 +1,12 @@
-"""Readers and sinks: CSV with declared schemas, rebuilt layers, appended runs."""
+"""Readers and sinks: CSV with declared schemas, files put aside, rebuilt layers."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelforge.schemas import RAW_ASSETS, RAW_EVENTS, RAW_PRICES
 
@@ -34,6 +34,31 @@ def read_prices(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return _csv(spark, path, RAW_PRICES)
 
 
+def read_price_files(spark: SparkSession, paths: Sequence[str], scratch: str) -> tuple[DataFrame, DataFrame]:
+    """Daily prices of the files that are whole, and what each file was: file, n_rows, n_bad, has_header, accepted.
+
+    A file is whole if every line fits the declared schema and one of them is the header.  A file that is not is left out with all its rows and
+    listed; if no file is left, that is an error.  The text is read once, into ``scratch``; files are judged there.
+    """
+    if not paths:
+        raise ValueError("no input files")
+    names = [c.split()[0] for c in RAW_PRICES.split(", ")]
+    text = spark.read.csv(list(paths), schema=f"{RAW_PRICES}, __bad string", header=False, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", recursiveFileLookup=True)
+    lines = text.select(*names, (F.col("__bad") == ",".join(names)).alias("__header"), F.col("__bad").isNotNull().alias("__bad"), F.col("_metadata.file_path").alias("file"))
+    lines.withColumn("__header", F.coalesce("__header", F.lit(False))).write.parquet(scratch)
+    stored = spark.read.parquet(scratch)
+    own = F.count_if(~F.col("__header"))
+    seen = stored.groupBy("file").agg(own.alias("n_rows"), F.count_if(F.col("__bad") & ~F.col("__header")).alias("n_bad"), F.max("__header").alias("has_header"))
+    # A listed file without an authority is written with three strokes, a row's own file with one.
+    given = spark.createDataFrame([(re.sub("^([^:/]+):///", r"\1:/", f),) for f in text.inputFiles()], "file string")
+    files = given.join(seen, "file", "left").select("file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"), F.coalesce("has_header", F.lit(False)).alias("has_header"))
+    files = files.withColumn("accepted", F.col("has_header") & (F.col("n_bad") == 0))
+    if files.where("accepted").isEmpty():
+        raise ValueError(f"none of {len(paths)} inputs has a whole file")
+    good = stored.where("not __header").join(files.where("accepted").select("file"), "file", "left_semi")
+    return good.select(*names), files
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events; a file with a header only is an empty, typed table."""
     return _csv(spark, path, RAW_EVENTS)
@@ -54,20 +79,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating})
 
 
-def write_layer(df: DataFrame, name: str, buckets: int | None = None) -> None:
-    """Rebuilds a layer.  With ``buckets`` it is laid out by asset, so later windows and joins on assets need no shuffle."""
-    writer = nan_to_null(df).write.mode("overwrite")
-    if buckets:
-        writer.bucketBy(buckets, "asset_id").sortBy("asset_id", "trading_date").saveAsTable(name)
-    else:
-        writer.parquet(name)
-
-
-def append_run(df: DataFrame, path: str, partition: str = "model_run_id") -> None:
-    """Adds runs; rows that are there stay."""
-    nan_to_null(df).write.mode("append").partitionBy(partition).parquet(path)
-
-
-def number_runs(runs: DataFrame, last_id: int, order: Sequence[str], name: str = "model_run_id") -> DataFrame:
-    """Ids after ``last_id`` for a few new runs."""
-    return runs.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + last_id).cast("long"))
+def write_layer(df: DataFrame, path: str) -> None:
+    """Rebuilds a layer as files.  ``layers.Layers`` lays layers out by asset."""
+    nan_to_null(df).write.mode("overwrite").parquet(path)
