@@ -275,6 +275,12 @@ _QUERIES |= {
     "prices_of_whole_files": f"SELECT symbol, trading_date, source, {_r(*_PRICE)} FROM prices WHERE right(symbol, 1) NOT IN ('3', '7')",
     "rejected_files": "SELECT symbol, count(*) + CASE WHEN right(symbol, 1) = '3' THEN 1 ELSE 0 END AS n_rows, CASE WHEN right(symbol, 1) = '3' THEN 1 ELSE 0 END AS n_bad, right(symbol, 1) = '3' AS has_header FROM prices WHERE right(symbol, 1) IN ('3', '7') GROUP BY symbol",
 }
+_COPIES = "FROM (SELECT DISTINCT symbol FROM copied WHERE symbol NOT IN (SELECT symbol FROM assets))"
+_QUERIES |= {
+    "orphan_message": f"""SELECT 'orphan prices' AS check, count(*) AS n_offenders, 'orphan prices: ' || CASE WHEN count(*) = 0 THEN 'none' ELSE min(symbol) || CASE WHEN count(*) > 1 THEN ' and ' || (count(*) - 1) || ' more' ELSE '' END END AS message {_COPIES}""",
+    "auc_report": f"""SELECT 'pooled' AS level, target, 0 AS fold, 'all' AS symbol, round(auc, 8) AS auc, n_pos, n_neg FROM (SELECT * EXCLUDE (one) FROM ({_aucs("one").replace("FROM preds", "FROM (SELECT *, 1 AS one FROM preds)")}))
+      UNION ALL SELECT 'fold', target, fold, 'all', round(auc, 8), n_pos, n_neg FROM aucs UNION ALL SELECT 'symbol', target, fold, symbol, round(auc, 8), n_pos, n_neg FROM aucs_symbol""",
+}
 _QUERIES["training_dataset_joined"] = _QUERIES["bucketed_dataset"] = _QUERIES["training_dataset"]
 
 ORACLES = {name: _with(sql) for name, sql in _QUERIES.items()}

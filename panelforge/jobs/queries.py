@@ -96,8 +96,13 @@ def _on(build: Callable[[Panel], DataFrame], places: int = PLACES) -> Callable[[
 
 def _copied(p: Panel) -> DataFrame:
     """Prices with the series of every fiftieth asset under a second symbol."""
-    again = p.raw_prices.where(F.substring("symbol", -2, 2).isin("00", "50")).withColumn("symbol", F.concat(F.lit("COPY "), "symbol"))
-    return p.raw_prices.unionByName(again)
+    own = F.array("symbol")
+    both = F.when(F.substring("symbol", -2, 2).isin("00", "50"), F.array_append(own, F.concat(F.lit("COPY "), "symbol"))).otherwise(own)
+    return p.raw_prices.withColumn("symbol", F.explode(both))
+
+
+def _orphan_symbols(p: Panel) -> DataFrame:
+    return validate.orphans(_copied(p).select("symbol").distinct(), p.raw_assets, "symbol")
 
 
 def _validated(p: Panel) -> DataFrame:
@@ -157,6 +162,16 @@ def _aucs(p: Panel, *by: str) -> DataFrame:
     return evaluate.auc(p.predictions().select(*by, F.inline(both)), "y", "score", [*by, "target"])
 
 
+def _auc_report(p: Panel) -> DataFrame:
+    """Both targets' AUC pooled, by fold, and by fold and symbol, from one count of the scores."""
+    of = lambda target, y, score: F.struct(F.lit(target).alias("target"), F.col(y).alias("y"), F.col(score).alias("score"))
+    both = F.array(of("up", "y_up_next_day", "p_up"), of("large_move", "y_large_move_next", "p_large_move"))
+    rows = p.predictions().select("fold", "symbol", F.inline(both))
+    named = F.element_at(F.array(*map(F.lit, ("pooled", "fold", "symbol"))), F.col("level") + 1)
+    levels = evaluate.auc_levels(rows, "y", "score", [["target"], ["target", "fold"], ["target", "fold", "symbol"]])
+    return levels.withColumns({"level": named, "fold": F.coalesce("fold", F.lit(0)), "symbol": F.coalesce("symbol", F.lit("all"))})
+
+
 def _symbol_summary(p: Panel) -> DataFrame:
     aucs = _aucs(p, "fold", "symbol")
     return evaluate.symbol_distribution(aucs.where("target = 'up'"), aucs.where("target = 'large_move'"))
@@ -390,7 +405,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_series": _on(lambda p: validate.duplicate_series(_copied(p))),
     "assets_without_prices": _on(lambda p: validate.assets_without_prices(_with_customers(p), p.raw_prices).select("symbol", "name")),
     "inverted_and_future": _on(lambda p: validate.future_dates(p.raw_prices, AS_OF).unionByName(validate.inverted_range(p.raw_prices)).select("symbol", "trading_date", "close")),
-    "orphan_offenders": _on(lambda p: validate.offender_list(validate.orphans(_copied(p).select("symbol").distinct(), p.raw_assets, "symbol"), "symbol")),
+    "orphan_offenders": _on(lambda p: validate.offender_list(_orphan_symbols(p), "symbol").select("offenders")),
+    "orphan_message": _on(lambda p: validate.offender_message(_orphan_symbols(p), "symbol", "orphan prices", 1)),
     "embargo_reach": _on(_embargo),
     "folds": _on(lambda p: p.folds()),
     "rolling_folds": _on(lambda p: generate_folds(p.stored(), train_window=500)),
@@ -413,6 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "naive_baseline": _on(_baseline),
     "auc_by_fold": _on(lambda p: _aucs(p, "fold")),
     "auc_by_symbol": _on(lambda p: _aucs(p, "fold", "symbol")),
+    "auc_report": _on(_auc_report),
     "auc_summary": _on(lambda p: evaluate.fold_distribution(_aucs(p, "fold"), ["target"])),
     "auc_symbol_summary": _on(_symbol_summary),
     "paired_deltas": _on(_paired),

@@ -29,27 +29,47 @@ def evaluation_rows(preds: DataFrame, labels: DataFrame, assets: DataFrame) -> D
     return scored_predictions(preds, labels, assets).dropna(subset=["y_up_next_day", "y_large_move_next"])
 
 
-def auc(rows: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """Tie-aware AUC for each group: null where only one class occurs.
+def score_counts(rows: DataFrame, y: str, p: str, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """level (its place in ``levels``), their columns, score, pos, neg: labels counted by score at several levels, in one shuffle of the rows."""
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    label = F.col(y).cast("int")
+    known = rows.where(label.isNotNull() & F.col(p).isNotNull()).select(*columns, F.col(p).alias("__p"), label.alias("__y"))
+    sums = (F.sum("__y").alias("pos"), F.sum(1 - F.col("__y")).alias("neg"))
+    if len(levels) == 1:
+        return known.groupBy(*columns, "__p").agg(*sums).withColumn("level", F.lit(0))
+    # A bit of the grouping's number is set for a column that the level lacks; a null in a level's own column is a group.
+    number = lambda level: sum((c not in level) << (len(columns) - i) for i, c in enumerate(columns))
+    which = F.element_at(F.create_map(*[F.lit(x) for i, level in enumerate(levels) for x in (number(level), i)]), F.grouping_id().cast("int"))
+    return known.groupingSets([[*level, "__p"] for level in levels], *columns, "__p").agg(*sums, which.alias("level"))
+
 
-    Scores are counted first.  A group's scores, in [0, 1], are ordered in slices; totals of slices carry the
-    count of lower negatives over, so no task orders a whole group.
+def auc_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Tie-aware AUC of each group from its counted scores: null where only one class occurs.
+
+    A group's scores, in [0, 1], are ordered in slices; a slice's totals carry the count of lower negatives over to the next, so no
+    task orders a group.
     """
     keys = list(by)
-    label = F.col(y).cast("int")
-    known = rows.where(label.isNotNull() & F.col(p).isNotNull())
-    counts = known.groupBy(*keys, F.col(p).alias("__p")).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
-    counts = counts.withColumn("__slice", F.floor(F.col("__p") * SLICES))
-    totals = counts.groupBy(*keys, "__slice").agg(F.sum("neg").alias("slice_neg"))
-    lower = F.coalesce(F.sum("slice_neg").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(*keys, "__slice", lower.alias("below"))
-    within = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys, "__slice").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("within", within).join(offsets, [*keys, "__slice"])
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("within") + F.col("neg") / 2))
-    out = ranked.groupBy(*keys).agg(won.alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    sliced = counts.withColumn("__slice", F.floor(F.col("__p") * SLICES))
+    lower = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = sliced.withColumn("__within", lower(Window.partitionBy(*keys, "__slice").orderBy("__p")))
+    own = F.sum(F.col("pos") * (F.col("__within") + F.col("neg") / 2)).alias("__own")
+    slices = within.groupBy(*keys, "__slice").agg(own, F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    carried = slices.withColumn("__below", lower(Window.partitionBy(*keys).orderBy("__slice")))
+    out = carried.groupBy(*keys).agg(F.sum(F.col("__own") + F.col("pos") * F.col("__below")).alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*keys, F.try_divide("won", F.col("n_pos") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
+def auc(rows: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
+    """Tie-aware AUC for each group: null where only one class occurs.  Scores are counted first."""
+    return auc_of_counts(score_counts(rows, y, p, [by]), by)
+
+
+def auc_levels(rows: DataFrame, y: str, p: str, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """level, the levels' columns (null where a level lacks one), auc, n_pos, n_neg: several tables of AUC from one count of scores."""
+    return auc_of_counts(score_counts(rows, y, p, levels), ["level", *dict.fromkeys(c for level in levels for c in level)])
+
+
 def confusion(rows: DataFrame, by: Sequence[str], threshold: float = LONG_THRESHOLD) -> DataFrame:
     up, said = F.col("y_up_next_day"), F.col("p_up") > threshold
     counts = {"tp": said & up, "fp": said & ~up, "fn": ~said & up, "tn": ~said & ~up}
@@ -117,7 +137,7 @@ def brier(rows: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
 
 def event_day_slice(rows: DataFrame, flags: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean prediction, realised rate and Brier score on event days and on others; with ``by``, flags have every date of each group."""
-    marked = rows.join(F.broadcast(flags.select("trading_date", *by, "is_event_day")), "trading_date", "left").withColumn("is_event_day", F.coalesce("is_event_day", F.lit(False)))
+    marked = rows.join(flags.select("trading_date", *by, "is_event_day"), "trading_date", "left").withColumn("is_event_day", F.coalesce("is_event_day", F.lit(False)))
     hit = F.col(y).cast("int")
     return marked.groupBy(*by, "is_event_day").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(hit).alias("realized"), F.avg(F.pow(F.col(p) - hit, F.lit(2))).alias("brier"))
 

@@ -74,7 +74,7 @@ def event_distance(calendar: DataFrame, events: DataFrame, cap: int = 30, date:
 def event_features(dataset: DataFrame, distances: DataFrame) -> DataFrame:
     """Each type's distances, its indicator and the indicator's product with momentum, joined to the panel by date."""
     flags = distances.select("trading_date", "event_type", "days_since", "days_until", "is_event_day")
-    return dataset.join(F.broadcast(flags), "trading_date", "left").withColumn("mom_20d_event", F.when(F.col("is_event_day"), F.col("mom_20d")).otherwise(0.0))
+    return dataset.join(flags, "trading_date", "left").withColumn("mom_20d_event", F.when(F.col("is_event_day"), F.col("mom_20d")).otherwise(0.0))
 
 
 def event_car(returns: DataFrame, events: DataFrame, est: tuple[int, int] = (-60, -6), win: tuple[int, int] = (-5, 5), date: str = "session") -> DataFrame:
@@ -100,4 +100,4 @@ def event_car(returns: DataFrame, events: DataFrame, est: tuple[int, int] = (-60
     )
     full = (F.col("n_est") == est[1] - est[0] + 1) & (F.col("n_win") == win[1] - win[0] + 1)
     car = F.when(full, F.col("sum_ret") - F.col("n_win") * F.col("alpha") - F.col("beta") * F.col("sum_mkt"))
-    return fitted.join(F.broadcast(days), "trading_date").select("asset_id", "trading_date", "event_type", car.alias("car"))
+    return fitted.join(days, "trading_date").select("asset_id", "trading_date", "event_type", car.alias("car"))

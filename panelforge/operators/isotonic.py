@@ -21,8 +21,8 @@ SLICE, FAN_IN, BUCKETS = 100_000, 16, 8192
 
 
 def bucket(c: Column) -> Column:
-    """The bucket of a score in [0, 1]; a score outside counts to the nearest one."""
-    return F.least(F.greatest(F.floor(c * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+    """The bucket of a score in [0, 1]; a score outside counts to the nearest one, null to none."""
+    return F.when(c.isNotNull(), F.least(F.greatest(F.floor(c * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))).cast("int")
 
 
 def pool(low: np.ndarray, high: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[tuple]:

@@ -93,37 +93,65 @@ def range_violations(df: DataFrame, holds: Column) -> DataFrame:
     return df.where(~F.coalesce(holds, F.lit(True)))
 
 
-def offender_list(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sorted, comma-joined values of a column, for a message."""
-    return df.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(F.col(column).cast("string"))), ", ").alias("offenders"))
+def offender_list(df: DataFrame, column: str, n: int = 50) -> DataFrame:
+    """offenders, n_offenders: the ``n`` least values of a column, comma-joined for a message, and how many rows there are in all.
+
+    Each task hands on its n least rows; the rows themselves, all of them, are what the check gives.
+    """
+    value = F.col(column).cast("string")
+    least = df.select(value.alias("value")).orderBy("value").limit(n).select("value", F.lit(0).cast("long").alias("n"))
+    whole = df.agg(F.count(value).alias("n")).select(F.lit(None).cast("string").alias("value"), "n")
+    return least.unionByName(whole).agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("offenders"), F.sum("n").alias("n_offenders"))
+
+
+def offender_message(df: DataFrame, column: str, check: str, n: int = 5) -> DataFrame:
+    """check, n_offenders, message: what a failed check says, of any number of offenders."""
+    rest = F.col("n_offenders") - n
+    more = F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise("")
+    said = F.when(F.col("n_offenders") == 0, F.lit(f"{check}: none")).otherwise(F.concat(F.lit(f"{check}: "), "offenders", more))
+    return offender_list(df, column, n).select(F.lit(check).alias("check"), "n_offenders", said.alias("message"))
+
+
+def profile_prices(prices: DataFrame, as_of: date, slack: int = 3) -> DataFrame:
+    """Each symbol's rows in one: counts of what is wrong with single rows and keys, its length and its series' fingerprint.
+
+    Rows are first put together by key, so duplicate keys are counted there, and places in date order are those of keys.
+    """
+    row = {"negative_values": _negative(), "inverted_range": F.coalesce(F.col("high") < F.col("low"), F.lit(False)), "future_dates": F.coalesce(_future(as_of, slack), F.lit(False))}
+    parts = [p for c in ("close", "volume") for p in (F.coalesce(c, F.lit(0.0)), F.col(c).isNull())]
+    total = lambda c: F.sum(c.cast("decimal(38,0)"))
+    own = {k: total(F.xxhash64(F.lit(k), *parts)) for k in (1, 2)}
+    keyed = prices.groupBy("symbol", "trading_date").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(name) for name, c in row.items()], *[h.alias(f"h{k}") for k, h in own.items()])
+    placed = keyed.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("trading_date")))
+    marks = [total(F.xxhash64(F.lit(k), "place", F.col(f"h{k}").cast("string"))).alias(f"f{k}") for k in own]
+    missing = F.when(is_blank(F.col("symbol")) | F.col("trading_date").isNull(), F.col("n")).otherwise(0)
+    return placed.groupBy("symbol").agg(F.sum("n").alias("n"), F.sum(missing).alias("missing_keys"), *[F.sum(c).alias(c) for c in row], F.count_if(F.col("n") > 1).alias("duplicate_prices"), *marks)
 
 
 def validate(assets: DataFrame, prices: DataFrame, events: DataFrame, as_of: date) -> DataFrame:
-    """check and n_violations of every check.  All checks of single rows of a table share one scan."""
-
-    def counted(df: DataFrame, **conditions: Column) -> DataFrame:
-        one = df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
-        pairs = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n_violations")) for n in conditions])
-        return one.select(F.inline(pairs))
-
-    n_rows = lambda df, name: df.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
-    parts = [
-        counted(assets, blank_symbols=is_blank(F.col("symbol"))),
-        counted(
-            prices,
-            missing_keys=is_blank(F.col("symbol")) | F.col("trading_date").isNull(),
-            negative_values=_negative(),
-            inverted_range=F.col("high") < F.col("low"),
-            future_dates=_future(as_of, 3),
-        ),
-        counted(events, blank_event_types=is_blank(F.col("event_type")), undated_events=F.col("event_ts").isNull() & F.col("event_date").isNull()),
-        n_rows(duplicate_keys(assets, ["symbol"]), "duplicate_symbols"),
-        n_rows(duplicate_keys(prices, ["symbol", "trading_date"]), "duplicate_prices"),
-        n_rows(duplicate_series(prices), "duplicate_series"),
-        n_rows(assets_without_prices(assets, prices), "assets_without_prices"),
-        n_rows(orphans(prices, assets, "symbol"), "orphan_prices"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """check and n_violations of every check, from one pass over each table.
+
+    Prices become a row for each symbol, which meets the assets' row for it; what is left is counted by fingerprint, then in all.
+    """
+    summed = ("missing_keys", "negative_values", "inverted_range", "future_dates", "duplicate_prices")
+    held = assets.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_assets"))
+    both = profile_prices(prices, as_of).alias("p").join(held.alias("a"), F.col("p.symbol") == F.col("a.symbol"), "full")
+    orphan = F.col("p.symbol").isNotNull() & F.col("n_assets").isNull()
+    per_symbol = both.select(
+        "n", "f1", "f2", *summed,
+        F.when(F.col("n_assets").isNotNull() & is_blank(F.col("a.symbol")), F.col("n_assets")).otherwise(0).alias("blank_symbols"),
+        F.when(F.col("n_assets") > 1, 1).otherwise(0).alias("duplicate_symbols"),
+        F.when(F.col("n").isNull(), F.col("n_assets")).otherwise(0).alias("assets_without_prices"),
+        F.when(orphan, F.col("n")).otherwise(0).alias("orphan_prices"),
+    )
+    counts = (*summed, "blank_symbols", "duplicate_symbols", "assets_without_prices", "orphan_prices")
+    series = per_symbol.groupBy("n", "f1", "f2").agg(F.count("n").alias("members"), *[F.sum(c).alias(c) for c in counts])
+    whole = series.agg(F.count_if(F.col("members") > 1).alias("duplicate_series"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    of_events = events.agg(
+        F.count_if(is_blank(F.col("event_type"))).alias("blank_event_types"), F.count_if(F.col("event_ts").isNull() & F.col("event_date").isNull()).alias("undated_events")
+    )
+    named = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n_violations")) for c in df.columns])))
+    return named(whole).unionByName(named(of_events))
 
 
 def declared_violations(tables: Mapping[str, DataFrame], declared: Mapping[str, tuple] = DECLARED) -> DataFrame:

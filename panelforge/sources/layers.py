@@ -61,3 +61,8 @@ def shuffles(df: DataFrame) -> int:
     """Exchanges of rows between tasks in a plan, broadcasts left out."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     return sum("Exchange" in line and "BroadcastExchange" not in line for line in plan.splitlines())
+
+
+def report(df: DataFrame, first: Sequence[str] = ("model_run_id", "backtest_run_id", "fold", "symbol", "asset_id", "trading_date")) -> DataFrame:
+    """Rows in the order in which people read them: by run, then asset, then date, as far as there are such columns.  Layers are not put in one order."""
+    return df.orderBy(*[c for c in first if c in df.columns])
