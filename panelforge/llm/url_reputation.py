@@ -1,16 +1,18 @@
 """URL filters: explicit rules first, then empirical-Bayes reputation of the host.
 
-Pages that a rule decides are labelled outcomes.  A host's block rate is shrunk towards its
-registered domain's, the domain's towards its suffix's, and the suffix's towards the rate of all
-labelled pages: each level is beta-binomial, and its prior's strength comes from how much the
-children's rates differ (method of moments).  A page without a rule is blocked when the lower
-posterior bound of its host's block rate is above one half.
-
-Labelled outcomes are aggregated before anything is joined; a frequent host is one row there.  The
+Pages that a rule decides are labelled outcomes.  A rule that names a path says little about the rest of a host, so a
+host's block rate is that of its labelled pages times the share of its pages that rules reach: where rules reach a
+host, its other pages count as not blocked.  A host that no rule reaches has no outcomes.  A
+host's rate is shrunk towards its registered domain's, the domain's towards its suffix's, and the suffix's towards the
+rate of all: each level is beta-binomial, and its prior's strength comes from how much the children's rates differ
+(method of moments).  A page without a rule is blocked when its suffix at least has outcomes of its own and the lower
+posterior bound of its host's block rate is above one half; the rate of all alone blocks nothing.
+
+Outcomes are aggregated before anything is joined; a frequent host is one row there.  The
 pages meet their hosts in one equi-join, whose skewed partitions Spark splits at run time.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; an empty host has no
-rule and the overall prior.  A host without labelled pages takes its domain's rate, and so on up;
+rule and no outcomes, and is allowed.  A host without outcomes takes its domain's rate, and so on up;
 without any labelled page nothing is blocked.  Repeated rows are judged row by row; an empty table stays empty; urls
 of any length are read whole.
 """
@@ -87,13 +89,14 @@ def lower_bound(mean: Column, weight: Column, z: float = BOUND_Z) -> Column:
 
 
 def host_reputation(pages: DataFrame, host: str = "host", bad: str = "bad") -> DataFrame:
-    """host, mean, weight: the posterior block rate of every host and how many pages it is worth.
+    """host, mean, weight, known: the posterior block rate of every host, how many pages it is worth, and whether its suffix has outcomes.
 
-    ``bad`` is 1 or 0 for a labelled page and null for any other.
+    ``bad`` is 1 or 0 for a labelled page and null for any other.  A host's unlabelled pages count as 0 if it has labelled ones.
     """
     sums = lambda n, b: [F.sum(n).alias("n"), F.sum(b).alias("bad")]
     suffix = suffix_of(F.col("host"))
-    hosts = pages.groupBy(F.col(host).alias("host")).agg(F.count(bad).alias("n"), F.coalesce(F.sum(F.col(bad).cast("long")), F.lit(0)).alias("bad"))
+    reached = F.when(F.count(bad) > 0, F.count(F.lit(1))).otherwise(0)
+    hosts = pages.groupBy(F.col(host).alias("host")).agg(reached.alias("n"), F.coalesce(F.sum(F.col(bad).cast("long")), F.lit(0)).alias("bad"))
     hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), suffix))
     level = lambda df, *keys: df.groupBy(*keys).agg(*sums("n", "bad"), _strength(F.col("n"), F.col("bad")).alias("k"))
     domains = level(hosts, "suffix", "domain")
@@ -102,9 +105,9 @@ def host_reputation(pages: DataFrame, host: str = "host", bad: str = "bad") -> D
     # The prior of a level is the posterior of the one above, as strong as that level's own children differ.
     shrunk = lambda prior, k: (F.col("bad") + k * prior) / (F.col("n") + k)
     suffixes = suffixes.join(F.broadcast(overall.withColumnsRenamed({"mean": "prior", "k": "prior_k"})))
-    suffixes = suffixes.select("suffix", shrunk(F.col("prior"), F.col("prior_k")).alias("prior"), F.col("k").alias("prior_k"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("prior"), F.col("prior_k")).alias("prior"), F.col("k").alias("prior_k"))
-    return hosts.join(domains, "domain").select("host", shrunk(F.col("prior"), F.col("prior_k")).alias("mean"), (F.col("n") + F.col("prior_k")).alias("weight"))
+    suffixes = suffixes.select("suffix", shrunk(F.col("prior"), F.col("prior_k")).alias("prior"), F.col("k").alias("prior_k"), (F.col("n") > 0).alias("known"))
+    domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("prior"), F.col("prior_k")).alias("prior"), F.col("k").alias("prior_k"), "known")
+    return hosts.join(domains, "domain").select("host", shrunk(F.col("prior"), F.col("prior_k")).alias("mean"), (F.col("n") + F.col("prior_k")).alias("weight"), "known")
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -114,7 +117,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     ruled, its_host, blocked = (unused(pages, c) for c in ("__ruled", "__host", "__blocked"))
     judged = judged.withColumn("rule", rule).withColumn(ruled, verdict)
     outcomes = judged.select("host", F.when(F.col(ruled).isNotNull(), (F.col(ruled) == "block").cast("int")).alias("bad"))
-    reputed = host_reputation(outcomes).select(F.col("host").alias(its_host), (lower_bound(F.col("mean"), F.col("weight")) > BLOCK_ABOVE).alias(blocked))
+    reputed = host_reputation(outcomes).select(F.col("host").alias(its_host), (F.col("known") & (lower_bound(F.col("mean"), F.col("weight")) > BLOCK_ABOVE)).alias(blocked))
     by_host = F.when(F.col(blocked), "block").otherwise("allow")
     return judged.join(reputed, F.col("host") == F.col(its_host), "left").withColumn("verdict", F.coalesce(ruled, by_host)).drop(ruled, its_host, blocked)
 
@@ -139,14 +142,14 @@ def _sql() -> str:
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (SELECT *, CASE {" ".join(f"WHEN {fits(x)} THEN '{x[1] + x[2]}'" for x in rules)} END AS rule, CASE {" ".join(f"WHEN {fits(x)} THEN '{x[0]}'" for x in rules)} END AS ruled FROM u),
-h0 AS (SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS bad, string_split(host, '.') AS parts FROM r GROUP BY host),
+h0 AS (SELECT host, CASE WHEN count(ruled) > 0 THEN CAST(count(*) AS DOUBLE) ELSE 0 END AS n, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS bad, string_split(host, '.') AS parts FROM r GROUP BY host),
 h1 AS (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({suffixes}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM h0),
 h AS (SELECT *, CASE WHEN contains(suffix, '.') THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain FROM h1),
 d AS ({level("h", "suffix, domain")}), s AS ({level("d", "suffix")}), o AS ({level("s", "")}),
-sp AS (SELECT suffix, (s.bad + o.k * coalesce(o.bad / nullif(o.n, 0), 0)) / (s.n + o.k) AS m, s.k FROM s, o),
-dp AS (SELECT domain, (d.bad + sp.k * sp.m) / (d.n + sp.k) AS m, d.k FROM d JOIN sp USING (suffix)),
-hp AS (SELECT host, (h.bad + dp.k * dp.m) / (h.n + dp.k) AS m, h.n + dp.k AS w FROM h JOIN dp USING (domain))
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN m - {BOUND_Z} * sqrt(m * (1 - m) / (w + 1)) > {BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict
+sp AS (SELECT suffix, (s.bad + o.k * coalesce(o.bad / nullif(o.n, 0), 0)) / (s.n + o.k) AS m, s.k, s.n > 0 AS known FROM s, o),
+dp AS (SELECT domain, (d.bad + sp.k * sp.m) / (d.n + sp.k) AS m, d.k, known FROM d JOIN sp USING (suffix)),
+hp AS (SELECT host, (h.bad + dp.k * dp.m) / (h.n + dp.k) AS m, h.n + dp.k AS w, known FROM h JOIN dp USING (domain))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN known AND m - {BOUND_Z} * sqrt(m * (1 - m) / (w + 1)) > {BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN hp USING (host)
 """
 
