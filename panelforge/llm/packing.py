@@ -29,8 +29,8 @@ from panelforge.llm.stored import Scratch
 from panelforge.llm.tables import table
 
 CAPACITIES = (256, 512, 1024, 2048)
-#: Pieces of one length ranked together.
-RANKED_TOGETHER = 512
+#: Pieces of one length ranked together, and parts of ranked pieces summed up together.
+RANKED_TOGETHER, SUMMED_TOGETHER = 512, 4096
 
 
 def sequence_cost(capacity: int) -> float:
@@ -133,8 +133,13 @@ def pack(df: DataFrame, key: str = "doc_id", n_tokens: str = "n_tokens", capacit
     part = F.pmod(F.xxhash64(key, "piece", F.lit(7)), F.col("parts"))
     parted = pieces.join(F.broadcast(parts), "length").withColumn("part", part)
     sizes = parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    # Parts are summed up in blocks, and the blocks in turn, so that no task orders all parts of a frequent length.
+    sizes = sizes.withColumn("block", F.floor(F.col("part") / SUMMED_TOGETHER))
+    before = lambda c, *by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_block = sizes.withColumn("ahead", before("size", "length", "block", order="part"))
+    blocks = sizes.groupBy("length", "block").agg(F.sum("size").alias("size"))
+    blocks = blocks.select("length", "block", before("size", "length", order="block").alias("blocks_ahead"))
+    offsets = in_block.join(blocks, ["length", "block"]).select("length", "part", (F.col("ahead") + F.col("blocks_ahead")).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy(key, "piece")) - 1
     ranked = parted.withColumn("within", within).join(offsets, ["length", "part"]).withColumn("rank", F.col("ahead") + F.col("within"))
 
