@@ -7,9 +7,10 @@ small part of the text.  All windows of one length are searched backward togethe
 from sampled suffixes; the covered words are merged into removal spans.
 
 A shard is a bounded number of documents of one input partition.  A document lies in one shard, so
-nothing is shuffled.  The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words.  A
-benchmark of several blocks takes as many passes over the text: each pass writes what it found to the
-shared folder, and its block is freed, in the driver and the tasks, before the next one is taken.
+nothing is shuffled.  The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words.  For a
+benchmark of several blocks the rows are stored once under row numbers; each block then takes a pass that reads them and writes only
+what it found to the shared folder, and is freed, in the driver and the tasks, before the next one is taken.  What all passes
+found is put together by row number and joined to the rows once.
 
 Defined results: null and empty texts have no words and no hits; an empty benchmark hits nothing;
 items without words have no windows; rows with one item_id count as one item, and a null item_id's
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from panelforge.llm.fm_index import FMIndex
 from panelforge.llm.stored import Scratch
-from panelforge.llm.tables import table
+from panelforge.llm.tables import table, unused
 
 WINDOW = 13
 #: Benchmark words in one pass, of which each begins one window at most, and words in one shard's index.
@@ -105,26 +107,19 @@ def _spans(covered: np.ndarray) -> list[dict]:
 #: The windows of the block that this worker searched last, under the block's name.
 _HELD: dict[str, Windows] = {}
 RESULTS = ("__n_words", "__spans", "__items")
-#: Under these names a pass finds what earlier ones found.
-_EARLIER = {c: f"{c}_before" for c in RESULTS[1:]}
 
 
-def _search(broadcast, text: str, window: int, carry: list[str]):
-    """One pass over whole rows, handing on ``carry``; earlier passes' spans and items are taken up."""
+def _search(broadcast, text: str, window: int, carry: list[str], item_type: pa.DataType):
+    """One pass over whole rows, handing on ``carry``."""
 
     def judged(windows: Windows, rows: pa.Table, ids: list[np.ndarray]) -> pa.RecordBatch:
         bounds, cover, found = windows.occurrences(ids)
-        if _EARLIER["__spans"] in rows.column_names:
-            for at, spans, items, into in zip(bounds, rows[_EARLIER["__spans"]].to_pylist(), rows[_EARLIER["__items"]].to_pylist(), found, strict=False):
-                into.update(items)
-                for s in spans:
-                    cover[at + s["start"] : at + s["stop"]] += 1
         spans = [_spans(cover[at : at + len(x)] > 0) for at, x in zip(bounds, ids, strict=False)]
         items = [sorted(i for i in s if i is not None) for s in found]
         columns = {c: rows[c].combine_chunks() for c in carry}
         columns["__n_words"] = pa.array([len(x) for x in ids], pa.int64())
         columns["__spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-        columns["__items"] = pa.array(items, pa.list_(pa.int64()))
+        columns["__items"] = pa.array(items, pa.list_(item_type))
         return pa.Table.from_pydict(columns).combine_chunks().to_batches()[0]
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,28 +168,38 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_words: in
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns ``carry`` of every row of ``df``, with __n_words, __spans (word ranges to remove) and __items (found)."""
     spark = df.sparkSession
-    carry = [c for c in carry if c.lower() not in RESULTS]
+    carry = list(dict.fromkeys(c for c in carry if c.lower() not in RESULTS))
     rows = df.select(*dict.fromkeys([*carry, text]))
-    span = StructType().add("start", "long").add("stop", "long")
-    found = StructType().add("__n_words", "long").add("__spans", ArrayType(span)).add("__items", ArrayType(LongType()))
+    span, kind = StructType().add("start", "long").add("stop", "long"), benchmark.schema[item].dataType
+    found = StructType().add("__n_words", "long").add("__spans", ArrayType(span)).add("__items", ArrayType(kind))
 
     def searched(rows: DataFrame, block: list[tuple], handed: list[str]):
         held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         schema = StructType([*(rows.schema[c] for c in handed), *found.fields])
-        return held, rows.mapInArrow(_search(held, text, window, handed), schema)
+        return held, rows.mapInArrow(_search(held, text, window, handed, to_arrow_type(kind)), schema)
 
-    stored = scratch = None
+    stored, passes, number, scratch = None, [], unused(rows, "__row"), None
     for block, more in benchmark_blocks(benchmark, item, item_text, block_words):
-        held, judged = searched(rows, block, list(dict.fromkeys([*carry, text])) if more else carry)
-        if not more:
-            return judged
-        scratch = scratch or Scratch(spark, "decontamination")
-        before, stored = stored, scratch.store(judged)
+        if stored is None and not more:
+            return searched(rows, block, carry)[1]
+        if stored is None:
+            scratch = Scratch(spark, "decontamination")
+            stored = scratch.store(rows.withColumn(number, F.monotonically_increasing_id()))
+        held, judged = searched(stored, block, [number])
+        # The first pass counts every row's words; the others only add what they found.
+        passes.append(scratch.store(judged.where(F.size("__spans") > 0) if passes else judged))
         held.destroy()
-        if before is not None:
-            scratch.drop(before)
-        rows = stored.withColumnsRenamed(_EARLIER).drop("__n_words")
-    raise AssertionError("a benchmark has a last block")
+    both = scratch.again(*passes).groupBy(number).agg(
+        F.max("__n_words").alias("__n_words"), F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items")
+    )
+    return stored.select(*carry, number).join(both, number).select(*carry, "__n_words", _merged(F.col("__spans")).alias("__spans"), "__items")
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order of their starts, those that touch put together."""
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["stop"], s["stop"]).alias("stop"))))
+    return F.aggregate(spans, F.slice(spans, 1, 0), lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["stop"] >= s["start"]), grown(a, s)).otherwise(F.concat(a, F.array(s))))
 
 
 def contaminated(spans: Column, n_words: Column) -> tuple[Column, Column]:
