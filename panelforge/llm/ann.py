@@ -1,12 +1,17 @@
 """Approximate nearest neighbours by multi-index hashing of learned binary codes.
 
 Vectors get ``BITS``-bit codes: principal axes, then rotations learned so that signs lose least.  Codes
-are cut into ``TABLES`` substrings, each with its own index table keyed by the leading bits of the
-substring.  By the pigeonhole principle two codes within a Hamming radius of r agree in some substring up
-to r // TABLES bits, or one less beyond the first r % TABLES + 1 tables.  A query probes every key that can hold
+are cut into substrings, each with its own index table keyed by the leading bits of the
+substring.  By the pigeonhole principle two codes within a Hamming radius of r agree in some substring, of m,
+up to r // m bits, or one less beyond the first r % m + 1 tables.  A query probes every key that can hold
 such a substring; inside, rows are kept by their substring's distance, then by their whole code's, each
 in the first table that finds them, and only the vectors of those are read for the exact cosine.
 
+The number of tables is that of least probing: the share of its keys that a table must probe, summed over the tables, which
+follows from the radius and the number of rows.  Near neighbours make many short substrings pay; where the radius is so
+wide that no key could be ruled out, one table over the whole code takes each row once and not once a table.  A table
+that rules no key out has one key.
+
 The radius comes from the fitting sample: it covers ``COVERED`` of the sample's own true neighbours.
 A query that finds fewer than k neighbours is searched again in growing radius, so no one gets too few.
 
@@ -33,8 +38,7 @@ from pyspark.sql.window import Window
 from panelforge.llm.stored import Scratch
 from panelforge.llm.tables import table
 
-#: A substring is one 64-bit word.
-BITS, TABLES = 256, 4
+BITS, TABLES = 256, (1, 2, 4, 8, 16)
 #: Bounds of the fitting sample, and of the queries that set the radius.
 FIT_ROWS, FIT_QUERIES = 8000, 400
 COVERED = 0.96
@@ -70,8 +74,8 @@ class Codes:
         self.radius = self._radius(unit)
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
-        """n x (BITS / 64) words."""
-        return np.packbits(vectors @ self.weights >= 0, axis=1).view(">u8").astype(np.uint64)
+        """n x (BITS / 8) bytes."""
+        return np.packbits(vectors @ self.weights >= 0, axis=1)
 
     def _radius(self, unit: np.ndarray, k: int = 5) -> int:
         """Within which the given share of the sample's k nearest lie."""
@@ -91,22 +95,50 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
-def thresholds(radius: int) -> np.ndarray:
+def thresholds(radius: int, tables: int) -> np.ndarray:
     """Of each table: codes within ``radius`` are within the table's threshold in one substring at least."""
-    return radius // TABLES - (np.arange(TABLES) > radius % TABLES)
+    return radius // tables - (np.arange(tables) > radius % tables)
+
+
+def key_width(threshold: int, bits: int, tables: int) -> int:
+    """Leading bits of a substring that make its table's key; none where the threshold rules no key out."""
+    bits = min(bits, BITS // tables)
+    return bits if threshold < bits else 0
+
+
+def probed_share(threshold: int, width: int) -> float:
+    """Share of a table's keys within the threshold of a query's."""
+    return sum(math.comb(width, i) for i in range(min(threshold, width) + 1)) / 2**width if threshold >= 0 else 0.0
+
 
+def least_probing(radius: int, bits: int) -> int:
+    """The number of tables whose probed shares sum to least."""
+    total = lambda m: sum(probed_share(t, key_width(t, bits, m)) for t in thresholds(radius, m).tolist())
+    return min(TABLES, key=lambda m: (total(m), m))
 
-def retrieved(table_: int, asked: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions of the pairs of codes within the radius that this table is the first to find, and how many pairs it probed."""
-    within = thresholds(radius)
-    q, r = np.nonzero(np.bitwise_count(asked[:, table_, None] ^ rows[None, :, table_]) <= within[table_])
-    probed = len(q)
-    apart = np.bitwise_count(asked[q] ^ rows[r])
+
+def distances(asked: np.ndarray, rows: np.ndarray, table_: int, tables: int) -> np.ndarray:
+    """Hamming distances of all pairs in one substring."""
+    size = BITS // 8 // tables
+    kind = np.dtype(f"u{min(size, 8)}")
+    q, r = (np.ascontiguousarray(x[:, table_ * size : (table_ + 1) * size]).view(kind) for x in (asked, rows))
+    total = np.zeros((len(q), len(r)), np.uint16)
+    for word in range(q.shape[1]):
+        total += np.bitwise_count(q[:, word, None] ^ r[None, :, word])
+    return total
+
+
+def retrieved(table_: int, tables: int, asked: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions of the pairs of codes within the radius that this table is the first to find, and how many pairs its substring let pass."""
+    within = thresholds(radius, tables)
+    q, r = np.nonzero(distances(asked, rows, table_, tables) <= within[table_])
+    passed = len(q)
+    apart = np.bitwise_count(asked[q] ^ rows[r]).reshape(passed, tables, BITS // 8 // tables).sum(axis=2, dtype=np.int64)
     mine = (apart.sum(axis=1) <= radius) & ~(apart[:, :table_] <= within[:table_]).any(axis=1)
-    return q[mine], r[mine], probed
+    return q[mine], r[mine], passed
 
 
-def _nearest(k: int, codes: Codes, radius: int):
+def _nearest(k: int, codes: Codes, radius: int, tables: int):
     """The k best rows of a block for each query of a block, of those that the block's table retrieves."""
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,11 +151,15 @@ def _nearest(k: int, codes: Codes, radius: int):
         for at in range(0, len(queries), CHUNK):
             some = queries.iloc[at : at + CHUNK]
             q, own = _stack(some["query"]), some["query_id"].to_numpy(np.int64)
-            i, j, _ = retrieved(table_, codes.of(q), row_codes, radius)
+            i, j, _ = retrieved(table_, tables, codes.of(q), row_codes, radius)
             other = own[i] != ids[j]
             i, j = i[other], j[other]
             # Sums in one order for every pair, so that equal vectors score alike.
             score = (x[j] * q[i]).sum(axis=1) / (np.sqrt(np.einsum("ij,ij->i", q, q))[i] * sizes[j])
+            # Of rows that share an id, the best.
+            order = np.lexsort((-score, ids[j], i))
+            again = np.append(False, (i[order][1:] == i[order][:-1]) & (ids[j[order]][1:] == ids[j[order]][:-1]))[: len(order)]
+            i, j, score = (v[order[~again]] for v in (i, j, score))
             order = np.lexsort((ids[j], -score, i))
             i, j, score = i[order], j[order], score[order]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -147,28 +183,42 @@ class Index:
             self.codes = Codes(np.array([r[0] for r in sample]))
 
     def key_bits(self) -> int:
-        """How many leading bits of a substring make a key."""
+        """Bits of a key that leave about a block's rows to each."""
         return min(LARGEST_KEY, max(LEAST_KEY, math.ceil(math.log2(max(1, self.count / BLOCK_ROWS)))))
 
-    def _keyed(self, df: DataFrame, radius: int | None = None) -> DataFrame:
-        """Adds table and key: a row's own key in each table, or with a radius all keys that it probes."""
-        codes, bits = self.codes, self.key_bits()
+    def tables(self, radius: int) -> int:
+        return least_probing(radius, self.key_bits())
+
+    def probed(self, radius: int) -> float:
+        """Share of all tables' keys that a query probes."""
+        m = self.tables(radius)
+        return sum(probed_share(t, key_width(t, self.key_bits(), m)) for t in thresholds(radius, m).tolist()) / m
+
+    def _keyed(self, df: DataFrame, radius: int, probing: bool) -> DataFrame:
+        """Adds table and key: a row's own key in each table, or all keys that a query probes."""
+        codes, m = self.codes, self.tables(radius)
+        within, size = thresholds(radius, m).tolist(), BITS // 8 // m
+        widths = [key_width(t, self.key_bits(), m) for t in within]
+        # A table with a threshold below zero finds nothing that the others do not.
+        used = [t for t in range(m) if within[t] >= 0]
 
         @F.pandas_udf("array<int>")
         def leading(vectors: pd.Series) -> pd.Series:
-            return pd.Series(list((codes.of(_stack(vectors)) >> np.uint64(64 - bits)).astype(np.int32)))
-
-        keyed = df.select("*", F.posexplode(leading("vector")).alias("table", "own"))
-        if radius is None:
-            return keyed.withColumnRenamed("own", "key")
-        masks = [[m for m in range(1 << bits) if m.bit_count() <= t] for t in thresholds(radius).tolist()]
+            code = codes.of(_stack(vectors)).astype(np.int32)
+            first = np.stack([code[:, t * size] << 8 | (code[:, t * size + 1] if size > 1 else 0) for t in range(m)], axis=1)
+            return pd.Series(list((first >> (16 - np.array(widths))).astype(np.int32)))
+
+        keyed = df.select("*", F.posexplode(leading("vector")).alias("table", "key")).where(F.col("table").isin(used))
+        if not probing:
+            return keyed
+        masks = [[mask for mask in range(1 << w) if mask.bit_count() <= t] if t >= 0 else [] for w, t in zip(widths, within, strict=True)]
         probes = df.sparkSession.createDataFrame(list(enumerate(masks)), "table int, masks array<int>")
-        return keyed.join(F.broadcast(probes), "table").withColumn("mask", F.explode("masks")).withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask", "masks")
+        return keyed.join(F.broadcast(probes), "table").withColumn("mask", F.explode("masks")).withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask", "masks")
 
     def search(self, queries: DataFrame, k: int, radius: int) -> DataFrame:
         """query_id, vec_id, score: at most k best for each query and group, codes within the radius only."""
-        rows, asked = self._keyed(self.vectors), self._keyed(queries, radius)
-        # At most TABLES * 2 ** LARGEST_KEY keys.
+        rows, asked = self._keyed(self.vectors, radius, False), self._keyed(queries, radius, True)
+        # At most 16 * 2 ** LARGEST_KEY keys.
         blocks = rows.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
         parts = asked.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts"))
         keys = F.broadcast(self.scratch.store(blocks.join(parts, ["table", "key"])))
@@ -177,7 +227,7 @@ class Index:
         rows = rows.join(keys, ["table", "key"]).select("id", "vector", "table", "key", place(1, "blocks").alias("block"), each("parts").alias("part"))
         asked = asked.join(keys, ["table", "key"]).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "table", "key", each("blocks").alias("block"), place(2, "parts").alias("part"))
         by = ["table", "key", "block", "part"]
-        return asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_nearest(k, self.codes, radius), "query_id long, vec_id long, score double")
+        return asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_nearest(k, self.codes, radius, self.tables(radius)), "query_id long, vec_id long, score double")
 
     def nearest(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """query_id, rank, vec_id, score of each query's k nearest; queries are rows of id and vector."""

@@ -324,16 +324,34 @@ def test_ann_recall(spark, monkeypatch, tight):
     assert hits >= 0.9 * 36 and set(got.query_id) == set(range(0, 600, 50))
 
 
-def test_every_code_within_the_radius_is_retrieved_once():
+@pytest.mark.parametrize("tables", ann.TABLES)
+def test_every_code_within_the_radius_is_retrieved_once(tables):
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 1 << 63, (300, ann.TABLES), dtype=np.uint64) ^ rng.integers(0, 2, (300, ann.TABLES), dtype=np.uint64)
-    codes[150:] = codes[:150] ^ (rng.random((150, ann.TABLES)) * 2**40).astype(np.uint64)
-    near = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+    codes = rng.integers(0, 256, (300, ann.BITS // 8), dtype=np.uint8)
+    codes[150:] = codes[:150] ^ (rng.random((150, ann.BITS // 8)) < 0.1) * rng.integers(0, 256, (150, ann.BITS // 8), dtype=np.uint8)
+    near = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2, dtype=int)
     for radius in (0, 3, 50, 101, 115, ann.BITS):
-        got = [p for t in range(ann.TABLES) for p in zip(*(a.tolist() for a in ann.retrieved(t, codes, codes, radius)[:2]), strict=True)]
+        got = [p for t in range(tables) for p in zip(*(a.tolist() for a in ann.retrieved(t, tables, codes, codes, radius)[:2]), strict=True)]
         assert sorted(got) == list(zip(*(a.tolist() for a in np.nonzero(near <= radius)), strict=True))
 
 
+def test_tables_follow_the_radius():
+    """Wide radii rule nothing out: one table, one key.  Near neighbours in many rows: most keys are left alone."""
+    assert ann.least_probing(105, 4) == ann.least_probing(105, 16) == 1 and ann.key_width(105, 16, 1) == 0
+    m = ann.least_probing(20, 14)
+    shares = [ann.probed_share(t, ann.key_width(t, 14, m)) for t in ann.thresholds(20, m).tolist()]
+    assert m > 1 and sum(shares) < 0.05
+    assert ann.probed_share(-1, 4) == 0
+
+
+def test_ann_with_ties_repeated_ids_and_null_components(spark):
+    rows = [(0, [1.0, 0.0]), (7, [2.0, 0.0]), (3, [3.0, 0.0]), (3, [0.0, 1.0]), (5, [1.0, None]), (50, [1.0, 1.0]), (None, [1.0, 0.0]), (9, [4.0, 0.0]), (11, [math.inf, 1.0]), (0, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = ann.Index(df, Scratch(spark, "test")).nearest(df.where("id % 50 = 0 and vector[0] > 0"), 3).collect()
+    # Equal vectors go by id; the rows of id 3 count once, by the better; other rows of a query's id are its own.
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(0, 1, 3), (0, 2, 7), (0, 3, 9), (50, 1, 0), (50, 2, 3), (50, 3, 7)]
+
+
 def test_ann_of_nothing(spark):
     df = spark.createDataFrame([(0, None)], "id long, vector array<float>")
     assert ann.Index(df, Scratch(spark, "test")).nearest(df).count() == 0
