@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a folder that all executors see.
-
-    In local mode, as in tests, that is one of this machine's own; on a cluster, one in the warehouse.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        given = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given
+from panelforge.sources.scratch import shared_dir
 
 
 @contextmanager
@@ -48,7 +36,7 @@ class Scratch:
     """Written tables of one query; ``drop`` removes one that nothing reads any more, the session's end the others."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", {}, 0
+        self.spark, self.root, self.paths, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
 
     def store(self, df: DataFrame) -> DataFrame:
         self.n += 1
