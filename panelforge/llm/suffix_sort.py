@@ -83,7 +83,7 @@ def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(0, n - k)] = rank[k:]
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys share a rank, so their order does not matter
         key = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate(([1], 1 + np.cumsum(key[1:] != key[:-1])))
@@ -125,11 +125,12 @@ def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndar
         open_ = open_[length[index[a[open_]]] > step]
     names = np.empty(len(lms), np.int64)
     names[index[by_substring]] = np.concatenate(([0], np.cumsum(~same)))
-    order = lms[_sort_names(names, len(lms) if depth is None else depth)]
+    # LMS suffixes are two symbols apart at least.
+    order = lms[_sort_names(names, len(lms) if depth is None else depth // 2 + 1)]
     return induce(s, order, sigma)
 
 
-def permuted_lcp(text: np.ndarray, sa: np.ndarray, most: int, block: int = 64) -> np.ndarray:
+def permuted_lcp(text: np.ndarray, sa: np.ndarray, most: int, block: int = 16) -> np.ndarray:
     """For each text position the common prefix with its predecessor in ``sa``, up to ``most`` bytes.
 
     In text order the value falls by at most one from a position to the next, so each block of positions
