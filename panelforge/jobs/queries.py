@@ -455,7 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_day_slice": _on(_event_slice),
     "scaled_training_means": _prepared,
     "logreg_walkforward": _model,
-    "platt": _calibrated(lambda rows, p, y: calibrate.calibrate_folds(rows, calibrate.fit_platt, calibrate.apply_platt, p, y)),
+    "platt": _calibrated(calibrate.calibrate_platt),
     "isotonic": _calibrated(calibrate.calibrate_isotonic),
     "stream_bars": _stream_bars,
     "stream_bars_live": _stream_bars_live,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -77,3 +79,46 @@ def calibrate_isotonic(rows: DataFrame, p: str, y: str) -> DataFrame:
     """The same by an isotonic map of each fold, for any number of scores: all folds are fitted and mapped together."""
     pieces = isotonic_map(isotonic_blocks(calibration_slice(rows), p, y, ["fold"]), ["fold"])
     return map_scores(rows.where("role = 'test'"), pieces, p, ["fold"])
+
+
+def platt_maps(rows: DataFrame, p: str, y: str, by: str, tol: float = 1e-9, max_steps: int = 100) -> list[tuple]:
+    """(group, intercept, slope) of every group's logistic map, without penalty; groups are a handful.
+
+    All groups take their Newton steps together: a pass over the counted scores gives each one's loss, gradient and Hessian.  A step that does
+    not lower a group's loss is halved.
+    """
+    counts = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(by, _logit(F.col(p)).alias("__x")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("double")).alias("__s")).persist()
+    try:
+        totals = {r[0]: (r[1], r[2]) for r in counts.groupBy(by).agg(F.sum("__n"), F.sum("__s")).collect()}
+        for group, (n, hits) in totals.items():
+            if not 0 < hits < n:
+                raise ValueError(f"{by} {group}: {y} has one class only among {n} rows")
+        base, step = {g: np.zeros(2) for g in totals}, {g: np.zeros(2) for g in totals}
+        least = dict.fromkeys(totals, math.inf)
+        kind = counts.schema[by].dataType.simpleString()
+        for _ in range(max_steps):
+            tried = {g: base[g] + step[g] for g in totals}
+            at = rows.sparkSession.createDataFrame([(g, *map(float, v)) for g, v in tried.items()], f"{by} {kind}, __a double, __b double")
+            z = F.col("__a") + F.col("__b") * F.col("__x")
+            q, n, x = 1 / (1 + F.exp(-z)), F.col("__n"), F.col("__x")
+            loss = n * F.greatest(z, F.lit(0.0)) + n * F.log1p(F.exp(-F.abs(z))) - F.col("__s") * z
+            sums = (loss, n * q - F.col("__s"), (n * q - F.col("__s")) * x, n * q * (1 - q), n * q * (1 - q) * x, n * q * (1 - q) * x * x)
+            for r in counts.join(F.broadcast(at), by).groupBy(by).agg(*[F.sum(c) for c in sums]).collect():
+                g, now = r[0], r[1]
+                if now > least[g] + 1e-12 * abs(least[g]):
+                    step[g] = step[g] / 2
+                    continue
+                base[g], least[g] = tried[g], now
+                step[g] = -np.linalg.lstsq(np.array([[r[4], r[5]], [r[5], r[6]]]), np.array([r[2], r[3]]), rcond=None)[0]
+            if max(np.abs(v).max() for v in step.values()) < tol:
+                break
+    finally:
+        counts.unpersist()
+    return [(g, *map(float, v)) for g, v in sorted(base.items())]
+
+
+def calibrate_platt(rows: DataFrame, p: str, y: str) -> DataFrame:
+    """The same by a logistic map of each fold: all folds are fitted and mapped together."""
+    maps = rows.sparkSession.createDataFrame(platt_maps(calibration_slice(rows), p, y, "fold"), "fold int, __a double, __b double")
+    test = rows.where("role = 'test'").join(F.broadcast(maps), "fold")
+    return test.withColumn("p_calibrated", 1 / (1 + F.exp(-(F.col("__a") + F.col("__b") * _logit(F.col(p)))))).drop("__a", "__b")

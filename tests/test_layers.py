@@ -127,6 +127,17 @@ def test_isotonic_map_is_not_broadcast_by_force(spark):
     assert "broadcast" not in plan.lower()
 
 
+def test_platt_maps_fitted_together_are_those_fitted_apart(spark):
+    rng = random.Random(9)
+    rows = [(g, round(rng.uniform(0.02, 0.98), 3), rng.random() < rng.uniform(0.1, 0.5) * (g + 1) / 2) for g in (0, 1, 2) for _ in range(500)] + [(0, None, True), (1, 0.5, None)]
+    df = spark.createDataFrame(rows, "g int, p double, y boolean")
+    for g, a, b in calibrate.platt_maps(df, "p", "y", "g"):
+        (want_a,), (want_b,) = calibrate.fit_platt(df.where((F.col("g") == g) & F.col("p").isNotNull() & F.col("y").isNotNull()), "p", "y")
+        assert (a, b) == pytest.approx((want_a, want_b), abs=1e-5)
+    with pytest.raises(ValueError, match="one class"):
+        calibrate.platt_maps(df.where("y"), "p", "y", "g")
+
+
 # the run sink ---------------------------------------------------------------------------------------
 def _runs(spark, n=2):
     return spark.createDataFrame([(i, f"r{i}") for i in range(n)], "fold int, note string"), spark.createDataFrame([(i, j, float("nan") if j else 0.5) for i in range(n) for j in range(3)], "fold int, asset_id int, p double")
