@@ -8,8 +8,8 @@ terms: that is the threshold it starts with.  Its terms are ordered by largest i
 largest impacts sum to less than the threshold can't carry a document into the result alone and is pruned.
 Documents that hold one of the remaining terms are candidates.  A candidate whose remaining terms, with the
 suffix's bound, stay below the threshold goes; the others are scored exactly over all terms.  A task raises an
-item's threshold to the kth of the exact scores it has seen, so it hands on k rows of an item at most, and ties
-with the last.  No bound ever drops a document that belongs in the result.
+item's threshold to the kth of the exact scores it has seen and prunes again, so it hands on k rows of an item at most,
+and ties with the last.  No bound ever drops a document that belongs in the result.
 
 Query items are taken in blocks of about ``BLOCK_WORDS`` terms against all documents; what a block brings to the
 driver and the tasks (its terms, their statistics, its plan) is bounded by that.  A further block takes a further pass.
@@ -96,19 +96,25 @@ def pruned(items: DataFrame, statistics: DataFrame) -> DataFrame:
     bounded = joined.withColumns({"threshold": F.max("kth").over(by_item), "suffix": suffix})
     told = bounded.withColumn("essential", F.col("suffix") >= F.col("threshold"))
     rest = F.coalesce(F.max(F.when(~F.col("essential"), F.col("suffix"))).over(by_item), F.lit(0))
-    return told.withColumn("rest", rest).select("item", "term", "w", "threshold", "essential", "rest")
+    return told.withColumn("rest", rest).select("item", "term", "w", "threshold", "suffix", "essential", "rest")
 
 
 class _Plan:
-    """What a block's items look for, as arrays: by term the items that hold it, and by item its bounds."""
+    """What a block's items look for, as arrays: weights, thresholds, and each item's terms with the bounds of their suffixes."""
 
     def __init__(self, n_terms: int, n_items: int, rows: list[tuple]):
-        item, term, w, threshold, essential, rest = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 6
+        self.item, self.term, w, threshold, self.suffix = (np.array([r[i] for r in rows], np.int64) for i in range(5))
         self.weight = np.zeros(n_terms, np.int64)
-        self.weight[term] = w
-        self.threshold, self.rest = np.ones(n_items, np.int64), np.zeros(n_items, np.int64)
-        self.threshold[item], self.rest[item] = np.maximum(threshold, 1), rest
-        self.seeking, self.other = (self._by_term(term[chosen], item[chosen], n_terms) for chosen in (essential > 0, essential == 0))
+        self.weight[self.term] = w
+        self.threshold = np.ones(n_items, np.int64)
+        self.threshold[self.item] = np.maximum(threshold, 1)
+
+    def split(self, threshold: np.ndarray) -> tuple[tuple, tuple, np.ndarray]:
+        """By term the items that seek it, and those that have pruned it; and by item what its pruned terms add at most."""
+        pruned = self.suffix < threshold[self.item]
+        rest = np.zeros(len(threshold), np.int64)
+        np.maximum.at(rest, self.item[pruned], self.suffix[pruned])
+        return (*(self._by_term(self.term[chosen], self.item[chosen], len(self.weight)) for chosen in (~pruned, pruned)), rest)
 
     @staticmethod
     def _by_term(term: np.ndarray, item: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,21 +141,21 @@ def _summed(pair: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _search(shared, best: int, total: int, length: int):
     """Rows of (item, key, score) that can be among an item's best."""
 
-    def scored(plan: _Plan, threshold: np.ndarray, doc: np.ndarray, terms: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scored(seeking: tuple, other: tuple, rest: np.ndarray, threshold: np.ndarray, doc: np.ndarray, terms: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n_items = len(threshold)
-        place, item = _spread(plan.seeking, terms)
+        place, item = _spread(seeking, terms)
         pair, partial = _summed(doc[place] * n_items + item, impact[place])
         item = pair % n_items
-        able = partial + plan.rest[item] >= threshold[item]
+        able = partial + rest[item] >= threshold[item]
         pair, partial = pair[able], partial[able]
         # The pruned terms of candidates, to make their scores exact.
         candidate = np.zeros(doc[-1] + 1 if len(doc) else 0, bool)
         candidate[pair // n_items] = True
         wanted = np.flatnonzero(candidate[doc])
-        place, item = _spread(plan.other, terms[wanted])
-        other = doc[wanted][place] * n_items + item
-        at = np.minimum(np.searchsorted(pair, other), max(len(pair) - 1, 0))
-        hit = np.flatnonzero(pair[at] == other) if len(pair) else np.zeros(0, np.int64)
+        place, item = _spread(other, terms[wanted])
+        sought = doc[wanted][place] * n_items + item
+        at = np.minimum(np.searchsorted(pair, sought), max(len(pair) - 1, 0))
+        hit = np.flatnonzero(pair[at] == sought) if len(pair) else np.zeros(0, np.int64)
         np.add.at(partial, at[hit], impact[wanted][place[hit]])
         item = pair % n_items
         good = partial >= threshold[item]
@@ -158,13 +164,14 @@ def _search(shared, best: int, total: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: _Plan = shared.value
         threshold, n_items = plan.threshold.copy(), len(plan.threshold)
-        spread = 1 + np.diff(plan.seeking[0]) + np.diff(plan.other[0])
+        parts = plan.split(threshold)
+        spread = 1 + np.diff(parts[0][0]) + np.diff(parts[1][0])
         held: list[pa.RecordBatch] = []
         waiting = 0
 
-        def kept(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        def kept(found: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
             """The rows of each item that no k others have beaten; raises the thresholds."""
-            rows = pa.Table.from_batches(parts).combine_chunks()
+            rows = pa.Table.from_batches(found).combine_chunks()
             item, score = rows["item"].to_numpy(), rows["score"].to_numpy()
             order = np.lexsort((-score, item))
             first = np.searchsorted(item[order], np.arange(n_items + 1))
@@ -184,13 +191,13 @@ def _search(shared, best: int, total: int, length: int):
             while begin < len(sizes):
                 end = max(begin + 1, int(np.searchsorted(work, work[begin] + TOGETHER, side="right")) - 1)
                 here = slice(ends[begin] - sizes[begin], ends[end - 1])
-                row, item, score = scored(plan, threshold, doc[here] - begin, terms[here], impact[here])
+                row, item, score = scored(*parts, threshold, doc[here] - begin, terms[here], impact[here])
                 keys = batch.column("key").take(pa.array(row + begin))
                 held.append(pa.RecordBatch.from_arrays([pa.array(item), keys, pa.array(score)], names=["item", "key", "score"]))
                 waiting += len(row)
-                if waiting > max(20_000, 2 * best * n_items):
+                if waiting > best * n_items:
                     held = kept(held)
-                    waiting = 0
+                    waiting, parts = 0, plan.split(threshold)
                 begin = end
         if held:
             yield from kept(held)
