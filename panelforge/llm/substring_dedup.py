@@ -11,8 +11,9 @@ their starts span is its segment.
 A core that occurs once cannot hold a repeated window, which rules out most of the text without moving it.
 A segment that occurs again as a whole holds repeated windows only, which settles most of each copy.
 The rest, where texts agree in part of a segment, goes to shards by core with one example of every
-settled segment.  In a shard, a suffix array built by induced sorting and its permuted common
-prefixes show which windows, of either length, begin in more than one place.
+settled segment.  Cores that lie close together in the least text that holds them share a shard, their home, so that
+segments of one text that overlap travel and are sorted as one.  In a shard, a suffix array built by induced sorting and its
+permuted common prefixes show which windows, of either length, begin in more than one place.
 
 A shard is bounded.  A core with more than ``CROWD`` segments is split: windows ``STRIDE`` places or fewer apart
 from each other before the anchor share more text than the core, and that text is their key instead.  Where even
@@ -30,13 +31,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import AbstractContextManager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -54,6 +55,8 @@ CORE = PASSAGE - SPREAD + 1
 #: What a range of window starts is known for: strings of LENGTH repeated anywhere, of PASSAGE in another document.
 REPEATED, SHARED = 1, 2
 SHARD_BYTES = 768 << 10
+#: Bytes of a text whose cores go to one shard together, if no more than so many bytes come with them.
+HOME, HOME_BYTES = 4096, SHARD_BYTES // 2
 CROWD = 1500
 STRIDE = 16
 #: Window starts of one text handled at once.
@@ -66,53 +69,79 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def anchored(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first and last window start of each group of windows of a text."""
+def _least(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Where the least hash is among the SPREAD from each of the first ``size`` places."""
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
+    while width < SPREAD:
+        step = min(width, SPREAD - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least[:size] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchored(data: np.ndarray, hashes: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchor, first and last window start of each group of windows of a text, or of texts in a row that end at ``ends``.
+
+    Texts in a row bring their bytes' hashes and are no longer than a piece together.
+    """
     n = len(data) - PASSAGE + 1
+    if ends is not None:
+        anchor = _least(hashes, n)
+        inside = np.ones(n, bool)
+        for end in ends[:-1].tolist():
+            inside[end - PASSAGE + 1 : end] = False
+        first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])))
+        last = np.append(first[1:], n) - 1
+        whole = inside[first]
+        return anchor[first[whole]], first[whole], last[whole]
     found = []
     for at in range(0, n, PIECE):
         size = min(PIECE, n - at)
-        hashes = Windows(data[at : at + size + SPREAD + RUN - 2]).every(RUN)
-        least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        width = 1
-        while width < SPREAD:
-            step = min(width, SPREAD - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
-        anchor = (least[:size] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        anchor = _least(Windows(data[at : at + size + SPREAD + RUN - 2]).every(RUN), size)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         found.append(np.stack((anchor[first], first, np.append(first[1:], size) - 1)) + at)
     return tuple(np.concatenate(found, axis=1))
 
 
-#: Rows handed on together.
+#: Rows handed on together, and bytes of short texts that are hashed together.
 BATCH_ROWS = 100_000
+ROW_BYTES = 64 << 10
 
 
-def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["core", "segment", "first", "last"]
-    for frame in frames:
-        keys, parts, size = [], [], 0
+def _groups_of(texts: list[bytes], keys: list[tuple[int, int]]) -> pd.DataFrame:
+    """The groups of windows of texts, hashed in a row."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(x) for x in texts])
+    cores = Windows(data)
+    anchor, first, last = anchored(data) if len(texts) == 1 else anchored(data, cores.every(RUN), ends)
+    owner = np.searchsorted(ends, first, side="right")
+    # The count of windows goes in as well: near a text's end, equal bytes can hold fewer.
+    segment = mix(Windows(data, 1).hash(first, np.minimum(last + LENGTH, ends[owner])) ^ (last - first).astype(np.uint64))
+    begin = ends[owner] - np.array([len(x) for x in texts])[owner]
+    k1, k2 = np.array(keys, np.int64)[owner].T
+    core = cores.hash(anchor, anchor + CORE).view(np.int64)
+    return pd.DataFrame({"k1": k1, "k2": k2, "core": core, "segment": segment.view(np.int64), "first": (first - begin).astype(np.int32), "last": (last - begin).astype(np.int32)})
 
-        def joined() -> pd.DataFrame:
-            out = pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-            out[KEY] = np.repeat(np.array(keys, np.int64).reshape(-1, 2), [len(p[0]) for p in parts], axis=0)
-            return out[[*KEY, *columns]]
 
+def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        texts, keys, size, found = [], [], 0, []
         for k1, k2, text in zip(frame["k1"], frame["k2"], frame["text"], strict=True):
-            data = np.frombuffer(text.encode(), np.uint8)
-            anchor, first, last = anchored(data)
-            core = Windows(data).hash(anchor, anchor + CORE)
-            # The count of windows goes in as well: near a text's end, equal bytes can hold fewer.
-            segment = mix(Windows(data, 1).hash(first, np.minimum(last + LENGTH, len(data))) ^ (last - first).astype(np.uint64))
+            data = text.encode()
+            if texts and size + len(data) > ROW_BYTES:
+                found.append(_groups_of(texts, keys))
+                texts, keys, size = [], [], 0
+                if sum(map(len, found)) >= BATCH_ROWS:
+                    yield pd.concat(found)
+                    found = []
+            texts.append(data)
             keys.append((k1, k2))
-            parts.append((core.view(np.int64), segment.view(np.int64), first.astype(np.int32), last.astype(np.int32)))
-            size += len(first)
-            if size >= BATCH_ROWS:
-                yield joined()
-                keys, parts, size = [], [], 0
-        if parts:
-            yield joined()
+            size += len(data)
+        if texts:
+            found.append(_groups_of(texts, keys))
+        if found:
+            yield pd.concat(found)
 
 
 def _parted(data: bytes, core: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
@@ -125,16 +154,27 @@ def _parted(data: bytes, core: int, first: int, last: int) -> Iterator[tuple[int
             yield int.from_bytes(hashlib.blake2b(common, digest_size=8, key=f"{core} {near}".encode()).digest(), "big", signed=True), a, b
 
 
+def _joined(segments: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Home, first and last window start of segments; those of a home whose bytes overlap are joined."""
+    out: list[tuple[int, int, int]] = []
+    for home, first, last in sorted(segments):
+        if out and out[-1][0] == home and first < out[-1][2] + LENGTH:
+            out[-1] = (home, out[-1][1], max(last, out[-1][2]))
+        else:
+            out.append((home, first, last))
+    return out
+
+
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of each wanted segment of a text."""
+    """The bytes of each wanted segment of a text; segments of one home that overlap as one."""
     columns = ["k1", "k2", "core", "crowded", "first", "last", "bytes"]
     for frame in frames:
         rows: list[tuple] = []
         for k1, k2, text, wanted in zip(frame["k1"], frame["k2"], frame["text"], frame["wanted"], strict=True):
             data = text.encode()
-            for w in wanted:
-                whole = [(w["core"], w["first"], w["last"])]
-                rows += [(k1, k2, key, w["crowded"], a, b, data[a : b + LENGTH]) for key, a, b in (_parted(data, *whole[0]) if w["crowded"] else whole)]
+            crowded = [part for w in wanted if w["crowded"] for part in _parted(data, w["core"], w["first"], w["last"])]
+            joined = _joined((w["home"], w["first"], w["last"]) for w in wanted if not w["crowded"])
+            rows += [(k1, k2, key, c, a, b, data[a : b + LENGTH]) for c, parts in ((True, crowded), (False, joined)) for key, a, b in parts]
             if len(rows) >= BATCH_ROWS // 10:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
@@ -157,7 +197,7 @@ def repeated_in_shard(shard: pd.DataFrame) -> pd.DataFrame:
     symbols = np.frombuffer(b"\0".join(shard["bytes"]) + b"\0", np.uint8)
     coded = symbols.astype(np.uint16) + 1
     coded[begin + sizes] = 0
-    order = suffix_array(coded, 257, depth=LENGTH)
+    order = suffix_array(coded, 257)
     common = permuted_lcp(symbols, order, LENGTH)[order]
     text = shard.groupby(KEY, sort=False).ngroup().to_numpy()
     owner = np.repeat(np.arange(len(shard)), sizes + 1)
@@ -245,7 +285,9 @@ def shared_passages(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> in
     if not known.all():
         # A segment that recurs within its text was compared with other texts at one of its places only.
         hashes = Windows(data).every(PASSAGE)
-        known = np.isin(hashes, hashes[known])
+        ordered = np.sort(hashes)
+        if (ordered[1:] == ordered[:-1]).any():
+            known = np.isin(hashes, hashes[known])
     begin, end = _runs(_covered(len(data), PASSAGE, *_runs(known)))
     starts, stops = word_bounds(data)
     words = np.searchsorted(stops, end + 1, side="right") - np.searchsorted(starts, begin)
@@ -316,9 +358,16 @@ class Repeats:
         kind = F.when(F.col("crosses"), REPEATED | SHARED).otherwise(REPEATED).alias("kind")
         settled = shared.join(segments.where("n > 1").select("core", "segment", kind), ["core", "segment"]).select(*KEY, "first", "last", "kind")
 
-        open_cores = segments.groupBy("core").agg(F.count_if(~F.col("crosses")).alias("own"), F.count(F.lit(1)).alias("kinds")).where("own > 0 and kinds > 1")
-        open_segments = segments.join(open_cores, "core").select("core", (F.col("kinds") > CROWD).alias("crowded"), "e.*")
-        wanted = scratch.store(open_segments.groupBy(*KEY).agg(F.collect_list(F.struct("core", "crowded", "first", "last")).alias("wanted")))
+        windows = F.sum(F.col("e.last") - F.col("e.first") + 1).alias("windows")
+        open_cores = segments.groupBy("core").agg(F.count_if(~F.col("crosses")).alias("own"), F.count(F.lit(1)).alias("kinds"), windows, F.min("e").alias("e")).where("own > 0 and kinds > 1")
+        block = F.xxhash64("e.k1", "e.k2", F.floor(F.col("e.first") / HOME)).alias("block")
+        open_cores = open_cores.select("core", "kinds", "windows", (F.col("kinds") > CROWD).alias("crowded"), block)
+        # At most HOME cores are least in a block.
+        near = Window.partitionBy("block", "crowded")
+        roomy = F.sum("windows").over(near) + LENGTH * F.max("kinds").over(near) <= HOME_BYTES
+        open_cores = open_cores.select("core", "crowded", F.when(roomy, F.col("block")).otherwise(F.col("core")).alias("home"))
+        open_segments = segments.select("core", "e.*").join(open_cores, "core")
+        wanted = scratch.store(open_segments.groupBy(*KEY).agg(F.collect_list(F.struct("core", "home", "crowded", "first", "last")).alias("wanted")))
         texts, filtered = self._texts_of(wanted, self.docs.select(*KEY, "__text"))
         with filtered:
             cut = texts.select(*KEY, F.col("__text").alias("text"), "wanted").mapInPandas(_cut, "k1 long, k2 long, core long, crowded boolean, first int, last int, bytes binary")

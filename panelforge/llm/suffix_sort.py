@@ -76,24 +76,34 @@ def induce(s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by at least their first ``depth``."""
-    n, rank, k = len(names), names.astype(np.int64) + 1, 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - k)] = rank[k:]
-        key = rank * (n + 2) + after
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names, which are below its length.
+
+    A rank is the place where its group of suffixes that agree so far begins; only groups of several are sorted on.
+    """
+    n, k = len(names), 1
+    counts = np.bincount(names)
+    rank = (np.cumsum(counts) - counts)[names]
+    tied = np.flatnonzero(counts[names] > 1)
+    while len(tied):
+        after = tied + k
+        # The end is less than any name.
+        key = rank[tied] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         order = np.argsort(key)  # equal keys share a rank, so their order does not matter
-        key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([1], 1 + np.cumsum(key[1:] != key[:-1])))
-        rank, k = new, 2 * k
-        if new.max() == n or k >= min(n, depth):
-            return order
+        key, tied = key[order], tied[order]
+        old = key // (n + 1)
+        place = np.arange(len(key))
+        group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), place, 0))
+        edge = np.append(True, key[1:] != key[:-1])
+        rank[tied] = old + np.maximum.accumulate(np.where(edge, place, 0)) - group
+        tied, k = tied[~(edge & np.append(edge[1:], True))], 2 * k
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
-def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
-    """Suffix array of symbols below ``sigma``; with ``depth``, exact for the first so many symbols."""
+def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix array of symbols below ``sigma``."""
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -125,16 +135,15 @@ def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndar
         open_ = open_[length[index[a[open_]]] > step]
     names = np.empty(len(lms), np.int64)
     names[index[by_substring]] = np.concatenate(([0], np.cumsum(~same)))
-    # LMS suffixes are two symbols apart at least.
-    order = lms[_sort_names(names, len(lms) if depth is None else depth // 2 + 1)]
-    return induce(s, order, sigma)
+    return induce(s, lms[_sort_names(names)], sigma)
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, most: int, block: int = 16) -> np.ndarray:
     """For each text position the common prefix with its predecessor in ``sa``, up to ``most`` bytes.
 
     In text order the value falls by at most one from a position to the next, so each block of positions
-    carries it along; all blocks advance together, eight bytes in a comparison.
+    carries it along; all blocks advance together, eight bytes in a comparison.  That holds for a whole order only,
+    not for one by so many first symbols: ``sa`` must be exact.
     """
     n = len(text)
     before = np.empty(n, np.int64)

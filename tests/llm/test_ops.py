@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,69 @@ def test_repeats_match_brute_force(spark, monkeypatch, crowd):
     assert all(passages[11:15]) and not any(passages[:3])
 
 
+def test_shard_of_long_repeats():
+    rng = np.random.default_rng(3)
+    length, passage = substring_dedup.LENGTH, substring_dedup.PASSAGE
+    block = rng.integers(97, 101, 2500, dtype=np.uint8)
+    pieces = []
+    for i in range(40):
+        x = block[(a := int(rng.integers(0, 900))) : a + int(rng.integers(900, 1600))].copy()
+        x[rng.integers(0, len(x), i % 3)] = 120
+        pieces.append((i, 0, 10, 10 + len(x) - passage, x.tobytes()))
+    found = substring_dedup.repeated_in_shard(pd.DataFrame(pieces, columns=["k1", "k2", "first", "last", "bytes"]))
+    for kind, size in ((substring_dedup.REPEATED, length), (substring_dedup.SHARED, passage)):
+        at: dict[bytes, list] = {}
+        for k1, _, first, _, x in pieces:
+            for j in range(len(x) - size + 1):
+                at.setdefault(x[j : j + size], []).append((k1, first + j))
+        want = {p for places in at.values() if len(places if size == length else {k for k, _ in places}) > 1 for p in places}
+        rows = found[found["kind"] == kind]
+        assert {(k, p) for k, a, b in zip(rows["k1"], rows["first"], rows["last"], strict=True) for p in range(a, b + 1)} == want
+
+
+@pytest.mark.parametrize("home, most", [(4096, 393_216), (512, 393_216), (4096, 0)])
+def test_repeats_of_near_copies(spark, monkeypatch, home, most):
+    monkeypatch.setattr(substring_dedup, "HOME", home)
+    monkeypatch.setattr(substring_dedup, "HOME_BYTES", most)
+    rng = random.Random(8)
+    base, texts = [prose(rng, 900) for _ in range(2)], []
+    for i in range(24):
+        x = list(base[i % 2][rng.randrange(700) :])
+        for _ in range(i % 5):
+            x[rng.randrange(len(x))] = "#"
+        texts.append("".join(x))
+    length, seen = substring_dedup.LENGTH, {}
+    for i, x in enumerate(texts):
+        for j in range(len(x) - length + 1):
+            seen.setdefault(x[j : j + length], []).append((i, j))
+    gone = [np.zeros(len(x), bool) for x in texts]
+    for places in seen.values():
+        for i, j in places if len(places) > 1 else ():
+            gone[i][j : j + length] = True
+    want = [(i, int(g.sum()), hashlib.sha256(np.frombuffer(x.encode(), np.uint8)[~g].tobytes()).hexdigest()) for i, (x, g) in enumerate(zip(texts, gone, strict=True))]
+    got = substring_dedup.Repeats(docs(spark, texts), "text").removed("doc_id", kept=False)
+    assert sorted(map(tuple, got.select("doc_id", "n_removed", "kept_sha256").collect())) == want
+
+
+def test_overlapping_segments_travel_as_one():
+    text = prose(random.Random(2), 600)
+    _, first, last = substring_dedup.anchored(np.frombuffer(text.encode(), np.uint8))
+    wanted = [{"core": i, "home": 7, "crowded": False, "first": int(a), "last": int(b)} for i, (a, b) in enumerate(zip(first, last, strict=True))]
+    apart = {"core": 99, "home": 8, "crowded": False, "first": int(first[0]), "last": int(last[0])}
+    out = pd.concat(substring_dedup._cut(iter([pd.DataFrame({"k1": [1], "k2": [2], "text": [text], "wanted": [[apart, *wanted]]})])))
+    assert sorted(out["bytes"].map(len)) == sorted([len(text), int(last[0]) + substring_dedup.LENGTH])
+
+
+def test_texts_in_a_row_have_the_groups_of_each():
+    rng = random.Random(4)
+    texts = [prose(rng, n) for n in (60, 700, 61, 90, 4000, 300)] + ["é" * 128, "x" * 256]
+    texts = [t for t in texts if len(t.encode()) >= substring_dedup.PASSAGE]
+    frame = pd.DataFrame({"k1": range(len(texts)), "k2": range(len(texts)), "text": texts})
+    together = pd.concat(substring_dedup._groups(iter([frame])))
+    single = pd.concat([pd.concat(substring_dedup._groups(iter([frame.iloc[[i]]]))) for i in range(len(texts))])
+    assert together.to_numpy().tolist() == single.to_numpy().tolist()
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.Repeats(docs(spark, []), "text").removed("doc_id").count() == 0
 
