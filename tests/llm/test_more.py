@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -90,6 +91,50 @@ def test_bands_lose_no_link(spark, monkeypatch):
         assert got == {i: root(i) for i in range(len(rows))}
 
 
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_the_join_does_not_pile_up_shuffle_files(spark, monkeypatch):
+    """What a step shuffles goes when its table is written; it used to lie there until the driver collected its garbage.  Spark takes files away beside other work."""
+    write, left = DataFrameWriter.parquet, []
+
+    def written(self, *args, **kwargs):
+        before = _shuffle_files(spark)
+        write(self, *args, **kwargs)
+        left.append(_shuffle_files(spark) - before)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", written)
+    rng = random.Random(3)
+    jaccard.near_duplicate_classes(spark.createDataFrame(_template(rng, 60, 12), "doc_id long, text string"), k=3, percent=90)
+    assert len(left) > 10 and sum(bool(x & _shuffle_files(spark)) for x in left) < len(left) / 5
+
+
+def test_passes_give_the_same_classes(spark, monkeypatch):
+    """Posting lists, plans, met pairs, verified pairs and blocks of families in several passes each; tables that are read no more are gone."""
+    rng = random.Random(12)
+    rows = _template(rng, 40, 30, 120)
+    rows += [(100 + i, " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))) for i in range(30)]
+    for i, text in rows[:]:
+        words = text.split()
+        for j in range(1, 4):
+            words[rng.randrange(len(words))] = f"q{rng.randrange(10**6)}"
+            rows.append((1000 * j + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    want = sorted(map(tuple, jaccard.near_duplicate_classes(df, k=3, percent=80).collect()))
+    assert len({c for _, _, c in want}) < len(want)
+    for name, value in (("PASS", 1500), ("PAIRS", 400), ("passes", None)):
+        monkeypatch.setattr(jaccard.Join if value is None else jaccard, name, value or (lambda self, n: min(3, max(1, n // 10))))
+    for crowd in (10**6, 4):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        join = jaccard.Join(df, "doc_id", "text", 3, 80)
+        assert 3 < join.parts < 9
+        assert sorted(map(tuple, join.classes().collect())) == want
+        assert id(join.postings) not in join.scratch.paths
+
+
 # op4, op5 -------------------------------------------------------------------------------------------
 def _held_out(rows, label):
     labels = rows.sparkSession.read.parquet(f"{LARGER}/labels.parquet").groupBy("doc_id").agg(F.max(label).alias("y"))
